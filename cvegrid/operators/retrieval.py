@@ -92,14 +92,16 @@ def _top(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def _age_days(now: datetime) -> Column:
+def age_days(now: datetime) -> Column:
     """Whole days back that a date filter must reach to admit the row.
 
     All filters of one run start a whole number of days before the same
     ``now``, so rows of equal age pass or fail together.
     """
     micros = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("published_at")
-    return F.greatest(F.ceil(micros / F.lit(86_400_000_000)), F.lit(0)).cast("bigint")
+    age = F.greatest(F.ceil(micros / F.lit(86_400_000_000)), F.lit(0)).cast("bigint")
+    # a row without a date passes no date filter
+    return F.when(F.col("published_at").isNotNull(), age)
 
 
 def _passes(filters: DataFrame) -> DataFrame:
@@ -131,7 +133,7 @@ def retrieve_many(
     corpus = vulns.select(
         "cve_id", "severity", F.coalesce("cisa_kev", F.lit(False)).alias("cisa_kev"),
         "epss_score", "cvss_score", "published_at",
-    ).withColumn("age", _age_days(now))
+    ).withColumn("age", age_days(now))
 
     by_id, by_class = F.col("cve_ids").isNotNull(), F.col("cve_ids").isNull()
     with_eco, with_pkg = F.col("ecosystems").isNotNull(), F.col("packages").isNotNull()

@@ -42,21 +42,31 @@ class _TopK:
     """Running top ``k`` of a block of queries over batches of vectors, ordered
     by similarity and then by the smaller id."""
 
-    def __init__(self, query_ids, queries: np.ndarray, k: int):
-        self.query_ids, self.queries, self.k = np.asarray(query_ids), queries, k
-        self.ids = np.empty((len(queries), 0), dtype=str)
-        self.sims = np.empty((len(queries), 0))
-
-    def add(self, item_ids, vectors) -> None:
-        ids = np.asarray(item_ids, dtype=str)
-        for start in range(0, len(ids), _ROWS):
-            part = ids[start:start + _ROWS]
-            sims = np.round(self.queries @ _unit(vectors[start:start + _ROWS]).T, _DIGITS)
-            by_id = np.argsort(part)
-            part, sims = part[by_id], sims[:, by_id]
+    def __init__(self, block: pd.DataFrame, k: int):
+        self.query_ids, self.queries, self.k = block["query_id"].to_numpy(), _unit(block["embedding"]), k
+        self.ids = np.empty((len(block), 0), dtype=str)
+        self.sims = np.empty((len(block), 0))
+        self.days = block["days"].to_numpy(dtype=float, na_value=np.nan)[:, None]
+        self.any_level = block["levels"].isna().to_numpy()[:, None]
+        # one row per query, one column per level named by any query, the last for others
+        self.levels = sorted({x for row in block["levels"].dropna() for x in row})
+        self.admits = np.array(
+            [[x in (() if row is None else row) for x in self.levels] + [False] for row in block["levels"]]
+        ).reshape(len(block), -1)
+
+    def add(self, items: pd.DataFrame) -> None:
+        for start in range(0, len(items), _ROWS):
+            rows = items.iloc[start:start + _ROWS].sort_values("item_id")
+            sims = np.round(self.queries @ _unit(rows["embedding"]).T, _DIGITS)
+            sims[~self._admissible(rows)] = np.nan
             # NaN sorts last; a stable sort leaves ties in id order
             top = np.argsort(-sims, axis=1, kind="stable")[:, :self.k]
-            self._merge(part[top], np.take_along_axis(sims, top, 1))
+            self._merge(rows["item_id"].to_numpy(dtype=str)[top], np.take_along_axis(sims, top, 1))
+
+    def _admissible(self, rows: pd.DataFrame) -> np.ndarray:
+        age = rows["age"].to_numpy(dtype=float, na_value=np.nan)[None, :]
+        level = [self.levels.index(x) if x in self.levels else len(self.levels) for x in rows["severity"]]
+        return (np.isnan(self.days) | (age <= self.days)) & (self.any_level | self.admits[:, level])
 
     def _merge(self, ids: np.ndarray, sims: np.ndarray) -> None:
         ids, sims = np.hstack([self.ids, ids]), np.hstack([self.sims, sims])
@@ -73,17 +83,28 @@ class _TopK:
         return out[out["similarity"].notna()]
 
 
+_QUERY = {"query_id": "string", "embedding": "array<double>", "days": "bigint", "levels": "array<string>"}
+_ITEM = {"item_id": "string", "embedding": "array<double>", "age": "bigint", "severity": "string"}
+
+
+def _shaped(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.select(*[
+        (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name) for name, kind in columns.items()
+    ])
+
+
 def nearest(
     queries: DataFrame, vectors: DataFrame, k: int = SEMANTIC_K, query_block: int = QUERY_BLOCK
 ) -> DataFrame:
     """Exact top ``k`` vectors per query: ``(query_id, rank, item_id, similarity)``.
 
     ``queries`` is ``(query_id, embedding)``, ``vectors`` ``(item_id, embedding)``.
+    A query may carry ``days`` and ``levels``; it then only admits vectors whose
+    ``age`` and ``severity`` pass, before the best are chosen.
     Up to ``query_block`` queries travel to the vectors; more are matched block
     against block. Tasks multiply matrices and emit only their own top ``k``.
     """
-    queries = queries.select(F.col("query_id").cast("string"), "embedding")
-    vectors = vectors.select(F.col("item_id").cast("string"), "embedding")
+    queries, vectors = _shaped(queries, _QUERY), _shaped(vectors, _ITEM)
     head = queries.limit(query_block + 1).toPandas()
     if len(head) == 0:
         found = queries.sparkSession.createDataFrame([], _OUT)
@@ -96,18 +117,20 @@ def nearest(
 
 
 def _to_vectors(head: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    block = vectors.sparkSession.sparkContext.broadcast((head["query_id"].to_numpy(), _unit(head["embedding"])))
+    block = vectors.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top = _TopK(*block.value, k)
+        top = _TopK(block.value, k)
         for batch in batches:
-            top.add(batch["item_id"].to_numpy(), batch["embedding"].to_numpy())
+            top.add(batch)
         yield top.frame()
 
     return vectors.mapInPandas(run, _OUT)
 
 
 def _blockwise(queries: DataFrame, vectors: DataFrame, k: int, query_block: int) -> DataFrame:
+    """Both sides hashed into blocks of bounded size, every query block meeting
+    every vector block in a task of its own."""
     q_blocks = -(-2 * queries.count() // query_block)
     v_blocks = max(1, -(-2 * vectors.count() // VECTOR_BLOCK))
 
@@ -124,8 +147,8 @@ def _blockwise(queries: DataFrame, vectors: DataFrame, k: int, query_block: int)
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
-        top = _TopK(left["query_id"].to_numpy(), _unit(left["embedding"]), k)
-        top.add(right["item_id"].to_numpy(), right["embedding"].to_numpy())
+        top = _TopK(left, k)
+        top.add(right)
         return top.frame()
 
     return qs.groupBy("qb", "vb").cogroup(vs.groupBy("qb", "vb")).applyInPandas(run, _OUT)

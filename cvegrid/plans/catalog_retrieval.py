@@ -186,8 +186,8 @@ def _all_blocks(c: Corpus, budget_tokens: int) -> DataFrame:
 
 _BLOCKS = """
 , texts AS (
-  SELECT cve_id, kind, string_agg(segment, CASE kind WHEN 'reference' THEN ', ' ELSE '; ' END
-      ORDER BY key1, key2, key3, segment) AS txt,
+  SELECT cve_id, kind, CASE kind WHEN 'reference' THEN string_agg(segment, ', ' ORDER BY key1, key2, key3, segment)
+      ELSE string_agg(segment, '; ' ORDER BY key1, key2, key3, segment) END AS txt,
     CAST(sum(length(segment)) AS BIGINT) AS chars FROM kids GROUP BY cve_id, kind),
 totals AS (SELECT cve_id, CAST(sum(chars) AS BIGINT) AS chars FROM texts GROUP BY cve_id),
 blocks AS (

@@ -41,6 +41,7 @@ def differences(df, con, sql: str) -> list[str]:
         out.append(f"{len(actual)} rows != {len(expected)}")
     a, b = canonical(df.columns, actual), canonical(names, expected)
     if a != b:
-        extra, missing = [x for x in a if x not in set(b)][:2], [x for x in b if x not in set(a)][:2]
+        in_a, in_b = set(a), set(b)
+        extra, missing = [x for x in a if x not in in_b][:2], [x for x in b if x not in in_a][:2]
         out.append(f"columns {sorted(names)}\n  spark only {extra}\n  sql only   {missing}")
     return out
