@@ -2,18 +2,23 @@
 
 from pyspark.sql import Column, functions as F
 
-#: A range as stored: bounds are comparable arrays; ``known`` is false where a
-#: bound is not dotted-numeric.
-RANGE = "struct<lo:array<bigint>,lo_in:boolean,hi:array<bigint>,hi_in:boolean,known:boolean>"
+#: A range as stored: bounds are version keys; ``known`` is false where a bound
+#: is not dotted-numeric.
+RANGE = "struct<lo:string,lo_in:boolean,hi:string,hi_in:boolean,known:boolean>"
+
+_DIGITS = 18
 
 
 def version_key(text: Column) -> Column:
-    """``1.10.0`` -> [1, 10]. Arrays compare element by element, so trailing
-    zeros go. Anything but dotted numbers gives NULL."""
+    """A key whose text order is version order: ``1.10.0`` -> ``…01.…10``.
+
+    Components are padded to equal width, and trailing zeros go, so that 1.10
+    and 1.10.0 are one version. Anything but dotted numbers gives NULL.
+    """
     plain = F.regexp_replace(F.trim(text), r"^[vV]", "")
     short = F.regexp_replace(plain, r"(\.0+)+$", "")
-    parts = F.transform(F.split(short, r"\."), lambda x: x.try_cast("bigint"))
-    return F.when(plain.rlike(r"^\d{1,18}(\.\d{1,18})*$"), parts)
+    parts = F.transform(F.split(short, r"\."), lambda x: F.lpad(F.regexp_replace(x, "^0+", ""), _DIGITS, "0"))
+    return F.when(plain.rlike(rf"^\d{{1,{_DIGITS}}}(\.\d{{1,{_DIGITS}}})*$"), F.array_join(parts, "."))
 
 
 def parse_ranges(text: Column) -> Column:
@@ -24,7 +29,7 @@ def parse_ranges(text: Column) -> Column:
     closes the open one, or stands alone as a range from the beginning.
     """
     tokens = F.filter(F.split(text, r"\s*,\s*"), lambda t: F.trim(t) != "")
-    lowest = F.array().cast("array<bigint>")
+    lowest = F.lit("")
 
     def bound(t: Column) -> Column:
         return version_key(F.regexp_replace(t, r"^[<>=\s]+", ""))
@@ -62,14 +67,13 @@ def parse_ranges(text: Column) -> Column:
     return F.aggregate(tokens, F.array().cast(f"array<{RANGE}>"), step)
 
 
-def _inside(version: Column, r: Column) -> Column:
-    above = F.when(r["lo_in"], version >= r["lo"]).otherwise(version > r["lo"])
-    below = r["hi"].isNull() | F.when(r["hi_in"], version <= r["hi"]).otherwise(version < r["hi"])
-    return above & below
+def inside(version: Column, lo: Column, lo_in: Column, hi: Column, hi_in: Column) -> Column:
+    """Whether a version key lies in a range; the upper bound may be missing."""
+    above = F.when(lo_in, version >= lo).otherwise(version > lo)
+    return above & (hi.isNull() | F.when(hi_in, version <= hi).otherwise(version < hi))
 
 
-def match_status(version: Column, ranges: Column) -> Column:
-    """2 = affected, 1 = cannot tell, 0 = not affected."""
-    hit = F.exists(ranges, lambda r: r["known"] & F.coalesce(_inside(version, r), F.lit(False)))
-    unclear = version.isNull() | ranges.isNull() | (F.size(ranges) == 0) | F.exists(ranges, lambda r: ~r["known"])
-    return F.when(hit, 2).when(F.coalesce(unclear, F.lit(True)), 1).otherwise(0)
+def match_level(version: Column, lo: Column, lo_in: Column, hi: Column, hi_in: Column, known: Column) -> Column:
+    """2 = affected, 1 = cannot tell, 0 = not in this range."""
+    unclear = version.isNull() | ~F.coalesce(known, F.lit(False))
+    return F.when(unclear, 1).when(inside(version, lo, lo_in, hi, hi_in), 2).otherwise(0)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.severity import allowed_levels_of
-from ..functions.versions import match_status, parse_ranges, version_key
+from ..functions.versions import match_level, parse_ranges, version_key
 from ..schemas import SEVERITY_LADDER
 
 
@@ -24,20 +24,23 @@ def match(dependencies: DataFrame, packages: DataFrame) -> DataFrame:
     )
     keys = ["ecosystem_lc", "package_lc"]
     versions = deps.select(*keys, "version").distinct().withColumn("_key", version_key(F.col("version")))
-    ranges = packages.select(
-        *keys, "cve_id", "patched_version", parse_ranges(F.col("vulnerable_versions")).alias("_ranges")
+    # only packages somebody uses, one row per range; without a range nothing can be told
+    ranges = (
+        packages.join(deps.select(*keys).distinct(), keys, "left_semi")
+        .select(*keys, "cve_id", "patched_version", F.explode_outer(parse_ranges(F.col("vulnerable_versions"))).alias("r"))
+        .select(*keys, "cve_id", "patched_version", "r.*")
     )
-    status = match_status(F.col("_key"), F.col("_ranges"))
+    level = match_level(*[F.col(c) for c in ("_key", "lo", "lo_in", "hi", "hi_in", "known")])
     hits = (
         versions.join(ranges, keys)
-        .withColumn("_status", status)
-        .where(F.col("_status") > 0)
+        .withColumn("_level", level)
+        .where(F.col("_level") > 0)
         .groupBy(*keys, "version", "cve_id")
-        .agg(F.max("_status").alias("_status"), F.max("patched_version").alias("patched_version"))
+        .agg(F.max("_level").alias("_level"), F.max("patched_version").alias("patched_version"))
     )
     return deps.join(hits, [*keys, "version"]).select(
         "project", "ecosystem", "package", "version", "cve_id",
-        F.when(F.col("_status") == 2, "affected").otherwise("unknown").alias("status"), "patched_version",
+        F.when(F.col("_level") == 2, "affected").otherwise("unknown").alias("status"), "patched_version",
     )
 
 

@@ -30,7 +30,7 @@ FROM merged""")
 
 @query("merge_last_non_null", _FLAT_VULNS)
 def merge_last_non_null(c: Corpus) -> DataFrame:
-    return flat_vulns(c.merged)
+    return flat_vulns(c.merged_vulns())
 
 
 def _slices(c: Corpus) -> list[DataFrame]:
@@ -59,18 +59,18 @@ def overlap_resync(c: Corpus) -> DataFrame:
 
 @query("merge_packages_overwrite", with_sql("packages", "SELECT * FROM packages"))
 def merge_packages(c: Corpus) -> DataFrame:
-    return c.packages
+    return c.merged_packages()
 
 
 @query("merge_exploits", with_sql("exploits", f"""SELECT * REPLACE (
   strftime(discovered_at, {_SQL_STAMP}) AS discovered_at) FROM exploits"""))
 def merge_exploits(c: Corpus) -> DataFrame:
-    return c.exploits.withColumn("discovered_at", F.date_format("discovered_at", _STAMP))
+    return c.merged_exploits().withColumn("discovered_at", F.date_format("discovered_at", _STAMP))
 
 
 @query("merge_references", with_sql("refs", "SELECT * FROM refs"))
 def merge_references(c: Corpus) -> DataFrame:
-    return c.references
+    return c.merged_references()
 
 
 @query("package_lists_last_wins", with_sql("package_rows", """

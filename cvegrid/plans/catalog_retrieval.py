@@ -7,6 +7,7 @@ from ..functions.text import estimate_tokens
 from ..operators import answers, children, context, retrieval, semantic
 from ..operators.intents import Intent, cutoff, has_filter, phrase_days, with_filters
 from ..schemas import CHARS_PER_TOKEN
+from ..session import cut
 from .ask import ask
 from .corpus import NOW, NOW_SQL, Corpus, with_sql
 from .registry import query
@@ -180,7 +181,7 @@ def enrich_children(c: Corpus) -> DataFrame:
 
 
 def _all_blocks(c: Corpus, budget_tokens: int) -> DataFrame:
-    kids = children.children_of(c.vulns, c.packages, c.exploits, c.references)
+    kids = cut(children.children_of(c.vulns, c.packages, c.exploits, c.references))
     return context.blocks(c.vulns, kids, budget_tokens * CHARS_PER_TOKEN)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import merge
 from ..operators.crawl_state import fold_progress
+from ..session import scratch, spread
 
 #: The instant questions are asked at.
 NOW = datetime(2024, 12, 31, 6, tzinfo=timezone.utc)
@@ -138,6 +139,12 @@ SQL = {
   FROM orders)""",
 }
 
+#: Tables with costly work per row, and a column to spread them by.
+_SPREAD = {"lineitem": "l_orderkey", "orders": "o_orderkey", "pages": "page_id", "documents": "doc_id"}
+
+#: Tables already written in this application.
+_PATHS: dict[tuple[str, str, str], str] = {}
+
 _NEEDS = {
     "packages": ["package_rows"],
     "exploits": ["exploit_rows"],
@@ -172,7 +179,17 @@ class Corpus:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(rows, _SPREAD[name]) if name in _SPREAD else rows
+
+    def _stored(self, name: str, rows: DataFrame, *layout: str) -> DataFrame:
+        """A merged table as questions find it: written once, laid out for their filters."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _PATHS:
+            path = scratch(self.spark, name)
+            rows.repartitionByRange(*layout).sortWithinPartitions(*layout).write.parquet(path)
+            _PATHS[key] = path
+        return self.spark.read.parquet(_PATHS[key])
 
     @cached_property
     def vulns(self) -> DataFrame:
@@ -219,6 +236,9 @@ class Corpus:
 
     @cached_property
     def packages(self) -> DataFrame:
+        return self._stored("packages", self.merged_packages(), "ecosystem_lc", "package_lc", "cve_id")
+
+    def merged_packages(self) -> DataFrame:
         return merge.package_table(merge.fold_packages(merge.package_states(self.package_rows)))
 
     @cached_property
@@ -239,6 +259,9 @@ class Corpus:
 
     @cached_property
     def exploits(self) -> DataFrame:
+        return self._stored("exploits", self.merged_exploits(), "cve_id")
+
+    def merged_exploits(self) -> DataFrame:
         return merge.exploit_table(merge.fold_exploits(merge.exploit_states(self.exploit_rows)))
 
     @cached_property
@@ -258,6 +281,9 @@ class Corpus:
 
     @cached_property
     def references(self) -> DataFrame:
+        return self._stored("references", self.merged_references(), "cve_id")
+
+    def merged_references(self) -> DataFrame:
         return merge.reference_table(merge.fold_references(merge.reference_states(self.reference_rows)))
 
     @cached_property
@@ -292,6 +318,9 @@ class Corpus:
 
     @cached_property
     def merged(self) -> DataFrame:
+        return self._stored("merged", self.merged_vulns(), "cve_id")
+
+    def merged_vulns(self) -> DataFrame:
         """Merged CVE table without the sync times, which the projection has none of."""
         folded = merge.fold_vulnerabilities(merge.vulnerability_states(self.observations))
         return merged_view(folded)

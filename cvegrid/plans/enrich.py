@@ -1,13 +1,14 @@
 """One crawl round: seed, claim, join what was fetched, append the outcome."""
 
-from datetime import datetime
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.crawl_state import expired_claims, log_rows, progress_table
 from ..operators.frontier import claim, new_addresses
 from ..operators.merge import union_all
-from ..schemas import CLAIM_LIMIT, EMBEDDING_WIDTH
+from ..schemas import CLAIM_LIMIT, CRAWL_LOG, EMBEDDING_WIDTH
 from ..sources.crawl import extracted, fetched, valid_vectors
 
 
@@ -59,3 +60,40 @@ def outcome_rows(jobs: DataFrame, now: datetime) -> DataFrame:
         log_rows(failed, "fail", now),
         log_rows(stored, "complete", now, content=F.col("text"), embedding=F.col("embedding")),
     )
+
+
+def run_round(
+    spark: SparkSession,
+    path: str,
+    references: DataFrame,
+    vulns: DataFrame,
+    pages: DataFrame,
+    vectors: DataFrame,
+    now: datetime,
+    limit: int = CLAIM_LIMIT,
+    lease_hours: int | None = None,
+    width: int = EMBEDDING_WIDTH,
+) -> DataFrame:
+    """One round on the log at ``path``; returns the work queue after it.
+
+    Each step is one folder named after ``now``, so repeating a round that
+    was interrupted writes the same folders again.
+    """
+    mark = f"{now.astimezone(timezone.utc):%Y%m%dT%H%M%S%f}"
+    earlier = read_log(spark, path).where(F.col("at") < F.lit(now))
+    claims = f"{path}/step={mark}-claims"
+    seed_and_claim(earlier, references, vulns, now, limit, lease_hours).write.mode("overwrite").parquet(claims)
+    claimed = spark.read.schema(CRAWL_LOG).parquet(claims).where(F.col("event") == "claim")
+    jobs = outcomes(claimed, pages, vectors, width)
+    outcome_rows(jobs, now).write.mode("overwrite").parquet(f"{path}/step={mark}-outcomes")
+    return progress_table(read_log(spark, path))
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """All logged crawl events; none before the first round."""
+    try:
+        return spark.read.schema(CRAWL_LOG).parquet(path).select(*CRAWL_LOG.fieldNames())
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], CRAWL_LOG)

@@ -15,6 +15,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # split hot join keys even where that costs one more shuffle
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # hash instead of sort where every partition of a side is measured small
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     }.items():
         spark.conf.set(key, value)
     return spark
@@ -61,6 +63,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores for a table that was written with fewer splits than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from the written copy."""
     shared_folder(df.sparkSession)
