@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import estimate_tokens
@@ -19,6 +20,7 @@ _ROWS = 1_024
 _DIGITS = 6
 
 _OUT = "query_id STRING, item_id STRING, similarity DOUBLE"
+_RESULT = pa.schema([("query_id", pa.string()), ("item_id", pa.string()), ("similarity", pa.float64())])
 
 
 def search(vectors: DataFrame, query: list[float], k: int = SEMANTIC_K) -> DataFrame:
@@ -144,14 +146,14 @@ def _blockwise(queries: DataFrame, vectors: DataFrame, k: int, query_block: int)
     qs = blocked(queries, "query_id", "qb", q_blocks, "vb", v_blocks)
     vs = blocked(vectors, "item_id", "vb", v_blocks, "qb", q_blocks)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
-        top = _TopK(left, k)
-        top.add(right)
-        return top.frame()
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _RESULT.empty_table()
+        top = _TopK(left.to_pandas(), k)
+        top.add(right.to_pandas())
+        return pa.Table.from_pandas(top.frame(), _RESULT, preserve_index=False)
 
-    return qs.groupBy("qb", "vb").cogroup(vs.groupBy("qb", "vb")).applyInPandas(run, _OUT)
+    return qs.groupBy("qb", "vb").cogroup(vs.groupBy("qb", "vb")).applyInArrow(run, _OUT)
 
 
 def nearest_within(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, k: int = SEMANTIC_K) -> DataFrame:
@@ -199,7 +201,7 @@ def nearest_in_cells(
     spark = queries.sparkSession
     centres = [(str(i), [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     cells = spark.createDataFrame(centres, "item_id STRING, embedding ARRAY<DOUBLE>")
-    probed = nearest(queries, cells, probes).select("query_id", F.col("item_id").cast("int").alias("cell"))
+    probed = nearest(queries.select("query_id", "embedding"), cells, probes).select("query_id", F.col("item_id").cast("int").alias("cell"))
     pairs = probed.join(indexed.select("cell", "item_id"), "cell").select("query_id", "item_id")
     return nearest_within(pairs, queries, indexed, k)
 
