@@ -64,7 +64,8 @@ def blocks(rows: DataFrame, children: DataFrame, budget_chars: int) -> DataFrame
     """
     per_kind = sizes(children)
     totals = per_kind.groupBy("cve_id").agg(
-        F.sum("chars").alias("total_chars"),
+        # segments and the two characters between any two of a kind
+        F.sum(F.col("chars") + 2 * (F.col("n") - 1)).alias("total_chars"),
         F.sum(F.when(F.col("kind") == "exploit", F.col("n"))).alias("exploit_n"),
     )
     return (

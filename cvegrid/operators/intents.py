@@ -90,3 +90,30 @@ def with_filters(intents: DataFrame) -> DataFrame:
         "cve_ids", "packages", "ecosystems", "levels", "days",
         (F.col("_dated") & F.col("days").isNull()).alias("date_range_ignored"),
     )
+
+
+# --- package conditions as tags ---------------------------------------------------
+
+def _tag(ecosystem: Column, package: Column) -> Column:
+    return F.concat(F.coalesce(ecosystem, F.lit("")), F.lit("\u0001"), F.coalesce(package, F.lit("")))
+
+
+def wanted_tags() -> Column:
+    """One tag per (ecosystem, package) combination a question asks for, NULL
+    without a package condition. A missing side of the pair stays empty."""
+    any_one = F.array(F.lit(None).cast("string"))
+    ecosystems, packages = F.coalesce("ecosystems", any_one), F.coalesce("packages", any_one)
+    pairs = F.flatten(F.transform(ecosystems, lambda e: F.transform(packages, lambda p: _tag(e, p))))
+    return F.when(F.col("ecosystems").isNotNull() | F.col("packages").isNotNull(), pairs)
+
+
+def package_tags(packages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Distinct ``(cve_id, tag)`` for the tags in ``wanted``.
+
+    Both conditions of a pair hold on one package row. However many package
+    rows a CVE has, it keeps at most one row per wanted tag.
+    """
+    none = F.lit(None).cast("string")
+    eco, pkg = F.col("ecosystem_lc"), F.col("package_lc")
+    tags = packages.select("cve_id", F.explode(F.array(_tag(eco, pkg), _tag(eco, none), _tag(none, pkg))).alias("tag"))
+    return tags.join(wanted.select("tag").distinct(), "tag", "left_semi").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.severity import allowed_levels_of
 from ..schemas import RESULT_LIMIT
-from .intents import Intent, cutoff, days_of, with_filters
+from .intents import Intent, cutoff, days_of, package_tags, wanted_tags, with_filters
 
 RESULT_COLUMNS = [
     "cve_id", "description", "cvss_score", "cvss_vector", "severity",
@@ -122,7 +122,7 @@ def retrieve_many(
 
     The ranking is the same for all questions, so a question's top rows are
     among the top rows of the classes it admits, a class being rows of equal
-    (ecosystem, package, severity, age in days). Each class is cut to ``limit``
+    package condition, severity and age in days. Each class is cut to ``limit``
     first; what questions are joined with is bounded by the number of classes
     and not by the size of the corpus. Questions naming CVEs join on the id.
     """
@@ -135,23 +135,14 @@ def retrieve_many(
         "epss_score", "cvss_score", "published_at",
     ).withColumn("age", age_days(now))
 
-    by_id, by_class = F.col("cve_ids").isNotNull(), F.col("cve_ids").isNull()
-    with_eco, with_pkg = F.col("ecosystems").isNotNull(), F.col("packages").isNotNull()
-
-    def atoms(kind: Column) -> DataFrame:
-        """One row per (ecosystem, package) combination a question asks for."""
-        return (
-            signatures.where(kind)
-            .select("signature", "cve_ids", "levels", "days", F.explode_outer("ecosystems").alias("ecosystem_lc"), "packages")
-            .select("signature", "cve_ids", "levels", "days", "ecosystem_lc", F.explode_outer("packages").alias("package_lc"))
-        )
-
+    by_class, tagged = F.col("cve_ids").isNull(), F.col("tags").isNotNull()
+    signatures = signatures.withColumn("tags", wanted_tags())
+    atoms = signatures.select("signature", "cve_ids", "levels", "days", F.explode_outer("tags").alias("tag"))
+    tags = package_tags(packages, atoms.where(F.col("tag").isNotNull()))
     parts = [
-        _join_classes(atoms(by_class & with_eco & with_pkg), packages, corpus, ["ecosystem_lc", "package_lc"], limit),
-        _join_classes(atoms(by_class & ~with_eco & with_pkg), packages, corpus, ["package_lc"], limit),
-        _join_classes(atoms(by_class & with_eco & ~with_pkg), packages, corpus, ["ecosystem_lc"], limit),
-        _join_severity(signatures.where(by_class & ~with_eco & ~with_pkg), corpus, limit),
-        _join_ids(atoms(by_id), corpus, packages),
+        _join_classes(atoms.where(by_class & F.col("tag").isNotNull()), tags, corpus, limit),
+        _join_severity(signatures.where(by_class & ~tagged), corpus, limit),
+        _join_ids(atoms.where(~by_class), tags, corpus),
     ]
     found = reduce(DataFrame.unionByName, parts).dropDuplicates(["signature", "cve_id"])
     best = _top(found, ["signature"], limit).select("signature", "rank", "cve_id")
@@ -159,16 +150,9 @@ def retrieve_many(
     return answers.drop("signature").join(vulns.select(*RESULT_COLUMNS), "cve_id")
 
 
-def _join_classes(
-    atoms: DataFrame, packages: DataFrame, corpus: DataFrame, keys: list[str], limit: int
-) -> DataFrame:
-    wanted = atoms.select("signature", "levels", "days", *keys).distinct()
-    affected = packages.select("cve_id", *keys).join(wanted.select(*keys).distinct(), keys, "left_semi")
-    # several packages of a CVE may fall into one class; after the join on the
-    # id the rows already lie where this needs them
-    rows = affected.join(corpus, "cve_id").dropDuplicates([*keys, "cve_id"])
-    classes = _top(rows, [*keys, "severity", "age"], limit).drop("rank")
-    return _passes(wanted.join(classes, keys)).select("signature", *_RANK_COLUMNS)
+def _join_classes(atoms: DataFrame, tags: DataFrame, corpus: DataFrame, limit: int) -> DataFrame:
+    classes = _top(tags.join(corpus, "cve_id"), ["tag", "severity", "age"], limit).drop("rank")
+    return _passes(atoms.join(classes, "tag")).select("signature", *_RANK_COLUMNS)
 
 
 def _join_severity(signatures: DataFrame, corpus: DataFrame, limit: int) -> DataFrame:
@@ -182,17 +166,10 @@ def _join_severity(signatures: DataFrame, corpus: DataFrame, limit: int) -> Data
     return _passes(wanted.join(listed, "level")).select("signature", *_RANK_COLUMNS)
 
 
-def _join_ids(atoms: DataFrame, corpus: DataFrame, packages: DataFrame) -> DataFrame:
+def _join_ids(atoms: DataFrame, tags: DataFrame, corpus: DataFrame) -> DataFrame:
     """Questions that name CVEs, with their other filters checked afterwards."""
-    named = atoms.select("*", F.explode("cve_ids").alias("cve_id")).drop("cve_ids")
-    free = named.where(F.col("ecosystem_lc").isNull() & F.col("package_lc").isNull())
-    bound = named.where(F.col("ecosystem_lc").isNotNull() | F.col("package_lc").isNotNull())
-    pkg = packages.select("cve_id", F.col("ecosystem_lc").alias("_eco"), F.col("package_lc").alias("_pkg"))
-    same = (
-        (F.col("n.cve_id") == F.col("p.cve_id"))
-        & (F.col("n.ecosystem_lc").isNull() | (F.col("n.ecosystem_lc") == F.col("p._eco")))
-        & (F.col("n.package_lc").isNull() | (F.col("n.package_lc") == F.col("p._pkg")))
-    )
-    bound = bound.alias("n").join(pkg.alias("p"), same, "left_semi")
-    hits = free.unionByName(bound).select("signature", "levels", "days", "cve_id").distinct()
+    named = atoms.select("signature", "levels", "days", "tag", F.explode("cve_ids").alias("cve_id"))
+    free = named.where(F.col("tag").isNull())
+    bound = named.join(tags, ["cve_id", "tag"], "left_semi")
+    hits = free.unionByName(bound.select(*free.columns)).drop("tag").distinct()
     return _passes(hits.join(corpus, "cve_id")).select("signature", *_RANK_COLUMNS)

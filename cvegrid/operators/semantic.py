@@ -1,6 +1,7 @@
 """Vector search over advisory pages."""
 
 from collections.abc import Iterator
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.text import estimate_tokens
 from ..functions.vectors import cosine
 from ..schemas import IVF_LISTS, SEMANTIC_K
-from .retrieval import risk_order
+from .intents import package_tags, wanted_tags, with_filters
+from .retrieval import age_days, risk_order
 
 #: Queries that travel to every task; 2,048 vectors of 1,536 doubles are 25 MB.
 QUERY_BLOCK = 2_048
@@ -40,6 +42,27 @@ def _unit(rows) -> np.ndarray:
     return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
 
 
+class _Membership:
+    """Which queries admit which items: their lists share an entry, or the query has no list."""
+
+    def __init__(self, wanted: pd.Series):
+        self.free = wanted.isna().to_numpy()[:, None]
+        self.index = {x: i for i, x in enumerate(sorted({x for row in wanted.dropna() for x in row}))}
+        self.wanted = self._matrix(wanted)
+
+    def _matrix(self, lists: pd.Series) -> np.ndarray:
+        out = np.zeros((len(lists), len(self.index)), dtype=np.float32)
+        for i, row in enumerate(lists):
+            if row is not None:
+                out[i, [self.index[x] for x in row if x in self.index]] = 1
+        return out
+
+    def admits(self, offered: pd.Series) -> np.ndarray:
+        if self.free.all():
+            return np.ones((len(self.wanted), len(offered)), dtype=bool)
+        return self.free | (self.wanted @ self._matrix(offered).T > 0)
+
+
 class _TopK:
     """Running top ``k`` of a block of queries over batches of vectors, ordered
     by similarity and then by the smaller id."""
@@ -49,12 +72,7 @@ class _TopK:
         self.ids = np.empty((len(block), 0), dtype=str)
         self.sims = np.empty((len(block), 0))
         self.days = block["days"].to_numpy(dtype=float, na_value=np.nan)[:, None]
-        self.any_level = block["levels"].isna().to_numpy()[:, None]
-        # one row per query, one column per level named by any query, the last for others
-        self.levels = sorted({x for row in block["levels"].dropna() for x in row})
-        self.admits = np.array(
-            [[x in (() if row is None else row) for x in self.levels] + [False] for row in block["levels"]]
-        ).reshape(len(block), -1)
+        self.lists = {name: _Membership(block[name]) for name in _LISTS}
 
     def add(self, items: pd.DataFrame) -> None:
         for start in range(0, len(items), _ROWS):
@@ -67,8 +85,10 @@ class _TopK:
 
     def _admissible(self, rows: pd.DataFrame) -> np.ndarray:
         age = rows["age"].to_numpy(dtype=float, na_value=np.nan)[None, :]
-        level = [self.levels.index(x) if x in self.levels else len(self.levels) for x in rows["severity"]]
-        return (np.isnan(self.days) | (age <= self.days)) & (self.any_level | self.admits[:, level])
+        ok = np.isnan(self.days) | (age <= self.days)
+        for name, member in self.lists.items():
+            ok &= member.admits(rows[name])
+        return ok
 
     def _merge(self, ids: np.ndarray, sims: np.ndarray) -> None:
         ids, sims = np.hstack([self.ids, ids]), np.hstack([self.sims, sims])
@@ -85,8 +105,10 @@ class _TopK:
         return out[out["similarity"].notna()]
 
 
-_QUERY = {"query_id": "string", "embedding": "array<double>", "days": "bigint", "levels": "array<string>"}
-_ITEM = {"item_id": "string", "embedding": "array<double>", "age": "bigint", "severity": "string"}
+#: List filters: a query that carries the column only admits items sharing an entry.
+_LISTS = ["ids", "tags", "levels", "cells"]
+_QUERY = {"query_id": "string", "embedding": "array<double>", "days": "bigint", **dict.fromkeys(_LISTS, "array<string>")}
+_ITEM = {"item_id": "string", "embedding": "array<double>", "age": "bigint", **dict.fromkeys(_LISTS, "array<string>")}
 
 
 def _shaped(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -101,8 +123,8 @@ def nearest(
     """Exact top ``k`` vectors per query: ``(query_id, rank, item_id, similarity)``.
 
     ``queries`` is ``(query_id, embedding)``, ``vectors`` ``(item_id, embedding)``.
-    A query may carry ``days`` and ``levels``; it then only admits vectors whose
-    ``age`` and ``severity`` pass, before the best are chosen.
+    A query may carry ``days``, against the vectors' ``age``, and any of the list
+    filters; only vectors that pass all of them compete.
     Up to ``query_block`` queries travel to the vectors; more are matched block
     against block. Tasks multiply matrices and emit only their own top ``k``.
     """
@@ -156,20 +178,32 @@ def _blockwise(queries: DataFrame, vectors: DataFrame, k: int, query_block: int)
     return qs.groupBy("qb", "vb").cogroup(vs.groupBy("qb", "vb")).applyInArrow(run, _OUT)
 
 
-def nearest_within(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, k: int = SEMANTIC_K) -> DataFrame:
-    """Top ``k`` per query among its own admissible items ``(query_id, item_id)``.
+def nearest_filtered(
+    intents: DataFrame,
+    queries: DataFrame,
+    vectors: DataFrame,
+    vulns: DataFrame,
+    packages: DataFrame,
+    now: datetime,
+    k: int = SEMANTIC_K,
+) -> DataFrame:
+    """Top ``k`` per question among the CVEs its structured filters admit.
 
-    Used where the structured filters differ from query to query.
+    ``queries`` is ``(intent_id, embedding)``, ``vectors`` ``(cve_id, embedding)``.
+    A question without filters searches all vectors.
     """
-    q = queries.select("query_id", F.col("embedding").alias("_q"))
-    scored = (
-        pairs.join(vectors.select("item_id", "embedding"), "item_id")
-        .join(q, "query_id")
-        .select("query_id", "item_id", F.round(cosine(F.col("embedding"), F.col("_q")), _DIGITS).alias("similarity"))
-        .where(F.col("similarity").isNotNull())
+    filters = with_filters(intents).withColumn("tags", wanted_tags()).select(
+        "intent_id", F.col("cve_ids").alias("ids"), "tags", "levels", "days"
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asked = queries.join(filters, "intent_id", "left").withColumnRenamed("intent_id", "query_id")
+    wanted = filters.select(F.explode("tags").alias("tag"))
+    # at most one entry per wanted tag
+    tags = package_tags(packages, wanted).groupBy("cve_id").agg(F.collect_set("tag").alias("tags"))
+    facts = vulns.select("cve_id", F.array("severity").alias("levels"), age_days(now).alias("age"))
+    items = vectors.select("cve_id", "embedding").join(facts, "cve_id").join(tags, "cve_id", "left")
+    items = items.withColumn("ids", F.array("cve_id")).withColumnRenamed("cve_id", "item_id")
+    found = nearest(asked, items, k)
+    return found.select(F.col("query_id").alias("intent_id"), F.col("item_id").alias("cve_id"), "similarity", "rank")
 
 
 # --- coarse cells ---------------------------------------------------------------------
@@ -201,9 +235,12 @@ def nearest_in_cells(
     spark = queries.sparkSession
     centres = [(str(i), [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     cells = spark.createDataFrame(centres, "item_id STRING, embedding ARRAY<DOUBLE>")
-    probed = nearest(queries.select("query_id", "embedding"), cells, probes).select("query_id", F.col("item_id").cast("int").alias("cell"))
-    pairs = probed.join(indexed.select("cell", "item_id"), "cell").select("query_id", "item_id")
-    return nearest_within(pairs, queries, indexed, k)
+    probed = nearest(queries.select("query_id", "embedding"), cells, probes)
+    lists = probed.groupBy("query_id").agg(F.collect_list("item_id").alias("cells"))
+    asked = queries.select("query_id", "embedding").join(lists, "query_id")
+    read = probed.select(F.col("item_id").cast("int").alias("cell")).distinct()
+    items = indexed.join(read, "cell", "left_semi").withColumn("cells", F.array(F.col("cell").cast("string")))
+    return nearest(asked, items.select("item_id", "embedding", "cells"), k)
 
 
 # --- merging with structured hits -------------------------------------------------------

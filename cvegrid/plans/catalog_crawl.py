@@ -4,10 +4,9 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.severity import allowed_levels
 from ..functions.text import content_type, domain_of, estimate_tokens, html_text
 from ..operators import crawl_state, frontier, semantic
-from ..operators.retrieval import age_days, retrieve_many
+from ..operators.retrieval import retrieve_many
 from ..operators.stats import funnel
 from .corpus import NOW, NOW_SQL, Corpus, cve, with_sql
 from .enrich import outcomes
@@ -189,6 +188,22 @@ def _centres(c: Corpus) -> DataFrame:
     return lists.select(F.col("label").cast("string").alias("query_id"), F.transform("l", lambda e: e.m).alias("embedding"))
 
 
+def _asked(c: Corpus) -> DataFrame:
+    """One question per label, without filters yet."""
+    none = F.lit(None).cast("array<string>")
+    return c.table("embeddings").select(F.col("label").cast("string").alias("intent_id")).distinct().select(
+        "intent_id", none.alias("ecosystems"), none.alias("package_names"), none.alias("cve_ids"),
+        F.lit(None).cast("string").alias("severity_filter"), F.lit(None).cast("string").alias("date_range"),
+    )
+
+
+def _semantic(c: Corpus, intents: DataFrame) -> DataFrame:
+    queries = _centres(c).withColumnRenamed("query_id", "intent_id")
+    vectors = _vectors(c).withColumnRenamed("item_id", "cve_id")
+    found = semantic.nearest_filtered(intents, queries, vectors, c.vulns, c.packages, NOW)
+    return found.select(F.col("intent_id").alias("query_id"), F.col("cve_id").alias("item_id"), "similarity", "rank")
+
+
 def _vectors(c: Corpus) -> DataFrame:
     return c.table("embeddings").select(cve(F.col("vec_id")).alias("item_id"), "embedding")
 
@@ -208,13 +223,12 @@ SELECT CAST(label AS VARCHAR) AS query_id, item_id, similarity,
 FROM pairs QUALIFY rank <= 10"""))
 def semantic_filtered(c: Corpus) -> DataFrame:
     """Nearest advisories per question, each within its own window and levels."""
-    label = F.col("query_id").cast("int")
-    queries = _centres(c).withColumns({
-        "days": 30 * (label + 1),
-        "levels": F.when(label % 2 == 1, allowed_levels(F.lit("HIGH+"))),
+    label = F.col("intent_id").cast("int")
+    intents = _asked(c).withColumns({
+        "date_range": F.concat(F.lit("last "), (label + 1).cast("string"), F.lit(" months")),
+        "severity_filter": F.when(label % 2 == 1, "HIGH+"),
     })
-    facts = c.vulns.select(F.col("cve_id").alias("item_id"), "severity", age_days(NOW).alias("age"))
-    return semantic.nearest(queries, _vectors(c).join(facts, "item_id")).select("query_id", "item_id", "similarity", "rank")
+    return _semantic(c, intents)
 
 
 @query("semantic_in_ecosystem", with_sql("packages", f"""
@@ -229,11 +243,8 @@ FROM pairs QUALIFY rank <= 10"""))
 def semantic_in_ecosystem(c: Corpus) -> DataFrame:
     """Nearest advisories per question among those of its ecosystem."""
     names = F.array(*[F.lit(x) for x in ("pypi", "npm", "maven", "go", "crates.io", "nuget")])
-    queries = _centres(c)
-    asked = queries.select("query_id", F.get(names, F.col("query_id").cast("int") % 6).alias("ecosystem_lc"))
-    items = c.packages.select(F.col("cve_id").alias("item_id"), "ecosystem_lc").distinct()
-    pairs = asked.join(items, "ecosystem_lc").select("query_id", "item_id")
-    return semantic.nearest_within(pairs, queries, _vectors(c))
+    name = F.get(names, F.col("intent_id").cast("int") % 6)
+    return _semantic(c, _asked(c).withColumn("ecosystems", F.array(F.upper(name))))
 
 
 @query("hybrid_merge", with_sql("vulns exploits", f"""
@@ -261,12 +272,8 @@ def hybrid_merge(c: Corpus) -> DataFrame:
     near = semantic.nearest(centres, _vectors(c)).select(
         F.col("query_id").alias("intent_id"), F.col("item_id").alias("cve_id"), "similarity"
     )
-    nothing = F.lit(None).cast("array<string>")
-    intents = centres.select(
-        F.col("query_id").alias("intent_id"), nothing.alias("ecosystems"), nothing.alias("package_names"),
-        nothing.alias("cve_ids"), F.lit(None).cast("string").alias("date_range"),
-        F.when(F.col("query_id").cast("int") % 2 == 1, "HIGH+").otherwise("CRITICAL").alias("severity_filter"),
-    )
+    odd = F.col("intent_id").cast("int") % 2 == 1
+    intents = _asked(c).withColumn("severity_filter", F.when(odd, "HIGH+").otherwise("CRITICAL"))
     strict = retrieve_many(intents, c.vulns, c.packages, NOW)
     merged = semantic.hybrid(strict, near, c.vulns, c.exploits)
     return merged.select("intent_id", "cve_id", "similarity", "from_sql", "has_exploit", "relevance", "rank")

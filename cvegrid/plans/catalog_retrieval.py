@@ -189,7 +189,7 @@ _BLOCKS = """
 , texts AS (
   SELECT cve_id, kind, CASE kind WHEN 'reference' THEN string_agg(segment, ', ' ORDER BY key1, key2, key3, segment)
       ELSE string_agg(segment, '; ' ORDER BY key1, key2, key3, segment) END AS txt,
-    CAST(sum(length(segment)) AS BIGINT) AS chars FROM kids GROUP BY cve_id, kind),
+    CAST(sum(length(segment)) + 2 * (count(*) - 1) AS BIGINT) AS chars FROM kids GROUP BY cve_id, kind),
 totals AS (SELECT cve_id, CAST(sum(chars) AS BIGINT) AS chars FROM texts GROUP BY cve_id),
 blocks AS (
   SELECT v.cve_id, CASE WHEN coalesce(t.chars, 0) <= {budget} THEN

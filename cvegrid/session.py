@@ -52,7 +52,6 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="cvegrid-")
-        spark.conf.set("spark.checkpoint.dir", folder)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
