@@ -7,6 +7,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.severity import allowed_levels_of
+from ..functions.text import canonical_ecosystem
 from ..schemas import RESULT_LIMIT
 from .intents import Intent, cutoff, days_of, package_tags, wanted_tags, with_filters
 
@@ -173,3 +174,11 @@ def _join_ids(atoms: DataFrame, tags: DataFrame, corpus: DataFrame) -> DataFrame
     bound = named.join(tags, ["cve_id", "tag"], "left_semi")
     hits = free.unionByName(bound.select(*free.columns)).drop("tag").distinct()
     return _passes(hits.join(corpus, "cve_id")).select("signature", *_RANK_COLUMNS)
+
+
+def with_aliases(intents: DataFrame, packages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Questions and packages with canonical ecosystem names, for matching across
+    feeds that name an ecosystem differently. Without this, names match as they are."""
+    asked = intents.withColumn("ecosystems", F.transform("ecosystems", canonical_ecosystem))
+    named = packages.withColumn("ecosystem_lc", F.lower(canonical_ecosystem(F.col("ecosystem"))))
+    return asked, named

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cvegrid.functions.severity import allowed_levels, allowed_levels_of
 from cvegrid.operators import answers, children, context
 from cvegrid.operators.intents import Intent, days_of, phrase_days
-from cvegrid.operators.retrieval import retrieve, retrieve_many
+from cvegrid.operators.retrieval import retrieve, retrieve_many, with_aliases
 from cvegrid.plans.ask import ask
 from cvegrid.schemas import ANSWERS, INTENTS
 
@@ -97,6 +97,17 @@ def test_many_questions_equal_one_by_one(spark, data):
         assert found.get(i, []) == brute(vulns, packages, case, 20), case
 
 
+def test_ecosystem_aliases(spark):
+    v = spark.createDataFrame([(f"C{i}", "d", None, None, None, None, None, False, None) for i in range(3)], VULNS)
+    p = spark.createDataFrame([("C0", "pip", "a", "github", None, None, "pip", "a"), ("C1", "PyPI", "a", "osv", None, None, "pypi", "a"),
+                               ("C2", "npm", "a", "osv", None, None, "npm", "a")], PACKAGES)
+    asked = intents_table(spark, [Intent(ecosystems=["Python"])])
+    assert retrieve_many(asked, v, p, NOW).count() == 0
+    canonical_asked, canonical_packages = with_aliases(asked, p)
+    rows = retrieve_many(canonical_asked, v, canonical_packages, NOW).collect()
+    assert sorted(r.cve_id for r in rows) == ["C0", "C1"]
+
+
 def test_severity_and_dates(spark):
     got = spark.createDataFrame([("HIGH+",), ("high",), ("x+",), ("",), (None,)], "s string").select(
         allowed_levels(F.col("s")).alias("l")).collect()
