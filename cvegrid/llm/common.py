@@ -57,11 +57,17 @@ class Memo(dict):
             value = self.compute(key)
             if len(key) > LONG_KEY:
                 return value
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
+
+    def unknown(self, keys: Iterable) -> list:
+        return [key for key in keys if key not in self and key not in self.old]
 
 
 #: State that lives as long as the Python worker, by a key that names its inputs.

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix
-from .common import table
+from cvegrid.session import scratch
+
+from . import bpe_prefix, huffman, repetition
+from .common import session, table
 
 
 def op9_bpe_prefix(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,5 +21,25 @@ def op9_bpe_prefix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_bpe_prefix": op9_bpe_prefix}
+def op8_suffix_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    judged = repetition.judge(table(spark, folder, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "repetition.*")
+
+
+def op10_huffman_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch(session(spark), "huffman")
+    huffman.encode_and_write(table(spark, folder, "documents"), path)
+    return huffman.read(spark, path).select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
+QUERIES = {
+    "op8_suffix_repetition": op8_suffix_repetition,
+    "op9_bpe_prefix": op9_bpe_prefix,
+    "op10_huffman_tokens": op10_huffman_tokens,
+}
 ORACLES: dict[str, str] = {}
