@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cvegrid.session import scratch
 
-from . import bpe_prefix, huffman, repetition
+from . import bpe_prefix, huffman, personal, repetition
 from .common import session, table
+from .spans import count_kind, fingerprint, joined
 
 
 def op9_bpe_prefix(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +22,16 @@ def op9_bpe_prefix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op1_personal_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.extract(table(spark, folder, "documents")).select(
+        "doc_id",
+        *[count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in personal.KINDS],
+        fingerprint(F.col("base")).alias("base_sha256"),
+        joined(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
 def op8_suffix_repetition(spark: SparkSession, folder: str) -> DataFrame:
     judged = repetition.judge(table(spark, folder, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "repetition.*")
@@ -38,6 +49,7 @@ def op10_huffman_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_personal_bootstrap": op1_personal_bootstrap,
     "op8_suffix_repetition": op8_suffix_repetition,
     "op9_bpe_prefix": op9_bpe_prefix,
     "op10_huffman_tokens": op10_huffman_tokens,
