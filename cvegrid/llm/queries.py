@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cvegrid.session import scratch
 
-from . import bpe_prefix, huffman, personal, repetition
+from . import bpe_prefix, huffman, personal, repetition, secret_scan
 from .common import session, table
 from .spans import count_kind, fingerprint, joined
 
@@ -32,6 +32,17 @@ def op1_personal_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.find(table(spark, folder, "documents")).select(
+        "doc_id",
+        *[count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in secret_scan.BASE_KINDS],
+        fingerprint(F.col("base")).alias("base_sha256"),
+        joined(F.concat("base", "added")).alias("spans"),
+        "n_owned",
+        "n_copied",
+    )
+
+
 def op8_suffix_repetition(spark: SparkSession, folder: str) -> DataFrame:
     judged = repetition.judge(table(spark, folder, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "repetition.*")
@@ -50,6 +61,7 @@ def op10_huffman_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_personal_bootstrap": op1_personal_bootstrap,
+    "op5_secret_ownership": op5_secret_ownership,
     "op8_suffix_repetition": op8_suffix_repetition,
     "op9_bpe_prefix": op9_bpe_prefix,
     "op10_huffman_tokens": op10_huffman_tokens,
