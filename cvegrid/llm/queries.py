@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cvegrid.session import scratch
 
-from . import bpe_prefix, huffman, personal, repetition, secret_scan
+from . import bpe_prefix, curriculum, huffman, personal, repetition, secret_scan
 from .common import session, table
 from .spans import count_kind, fingerprint, joined
 
@@ -32,6 +32,50 @@ def op1_personal_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return curriculum.plan(table(spark, folder, "documents"))
+
+
+OP3_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS hash,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents
+), per_source AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+  FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [3.0, 1.0, 2.0][rank % 3 + 1]::DOUBLE AS weight, [1.5, 1.0, 0.5][rank % 3 + 1]::DOUBLE AS a,
+         [0.5, 1.0, 1.5][rank % 3 + 1]::DOUBLE AS b, 2.0::DOUBLE * source_size AS bound
+  FROM per_source
+), filled AS (
+  SELECT *, sum(bound) OVER w - bound AS filled, sum(weight) OVER w - weight AS lighter,
+         sum(source_size) OVER () AS all_size, sum(weight) OVER () AS all_weight
+  FROM weighed WINDOW w AS (ORDER BY bound / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), levels AS (
+  SELECT *, (1.5::DOUBLE * all_size - filled) / (all_weight - lighter) AS level FROM filled
+), goals AS (
+  SELECT source, source_size, a, b, least(bound, weight * first_value(level) OVER (
+           ORDER BY CASE WHEN level * weight <= bound THEN 0 ELSE 1 END, lighter)) AS target
+  FROM levels
+), placed AS (
+  SELECT doc_id, size, source_size, target, a, b,
+         sum(size) OVER (PARTITION BY s.source ORDER BY hash, size ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
+), counted AS (
+  SELECT *, CAST(round(target) AS BIGINT) AS goal, CAST(round(target) AS BIGINT) // greatest(source_size, 1) AS passes FROM placed
+), taken AS (
+  SELECT *, CAST(passes * size + least(greatest(goal - passes * source_size - start, 0), size) AS BIGINT) AS taken,
+         least((start + size / 2::DOUBLE) / target, 1.0) AS share
+  FROM counted
+)
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN taken > 0 THEN CASE WHEN a = b THEN share
+            ELSE (sqrt(a * a + 2.0 * (b - a) * (share * (a + b) / 2)) - a) / (b - a) END END AS position
+FROM taken
+"""
+
+
 def op5_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.find(table(spark, folder, "documents")).select(
         "doc_id",
@@ -61,9 +105,10 @@ def op10_huffman_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_personal_bootstrap": op1_personal_bootstrap,
+    "op3_curriculum_mix": op3_curriculum_mix,
     "op5_secret_ownership": op5_secret_ownership,
     "op8_suffix_repetition": op8_suffix_repetition,
     "op9_bpe_prefix": op9_bpe_prefix,
     "op10_huffman_tokens": op10_huffman_tokens,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_curriculum_mix": OP3_SQL}
