@@ -66,9 +66,6 @@ class Memo(dict):
             self.clear()
         self[key] = value
 
-    def unknown(self, keys: Iterable) -> list:
-        return [key for key in keys if key not in self and key not in self.old]
-
 
 #: State that lives as long as the Python worker, by a key that names its inputs.
 _WORKER_STATE: dict = {}

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import string
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,80 +47,52 @@ class WordTokens:
 
     The tokenizer drops white space and never merges across it, so words are encoded once and remembered. ASCII letters
     are lowered first, as the tokenizer does itself; texts with combining marks are left as they are, for there
-    composition comes first. New words of letters alone go to the library in one text: each is one piece, and a piece
-    ends with a token that closes a word. Punctuation after letters is a piece of its own.
+    composition comes first. A word of lower-case ASCII letters is one piece as it stands and goes to the library's model
+    directly; punctuation after letters is a piece of its own.
     """
 
     TAIL = bytes(set(string.punctuation.encode()) - set(b"'"))  # an apostrophe may open an ending
-    END = "</w>"
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, width: int):
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.closing[i] = token.endswith(self.END)
-        self.memo = Memo(self._encode, 400_000)
+        self.model, self.width = self.tokenizer.model, width
+        self.memo = Memo(self._encode, 500_000)
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
 
     def _encode(self, word: bytes) -> bytes:
         core = word.rstrip(self.TAIL)
         if core != word and _letters(core):
             return self.memo[core] + self.memo[word[len(core):]]
-        return self._ids(word.decode("utf-8")).tobytes()
-
-    def _learn(self, unknown: list[bytes]) -> None:
-        letters = self.memo.unknown({core for word in unknown if _letters(core := word.rstrip(self.TAIL))})
-        ids = self._ids(b" ".join(letters).decode("utf-8"))
-        ends = np.flatnonzero(self.closing[ids]) + 1
-        if len(ends) == len(letters):  # else the library sees other letters here: word by word
-            data, start = ids.tobytes(), 0
-            for word, end in zip(letters, (4 * ends).tolist()):
-                self.memo.put(word, data[start:end])
-                start = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        lists = []
-        for text in texts:
-            data = text.encode("utf-8")
-            if text.isascii() or not MARKS.search(text):
-                data = data.lower()  # bytes: ASCII letters only
-            lists.append(data.split())
-        self._learn(self.memo.unknown(set().union(*lists)))
-        return [b"".join(map(self.memo.__getitem__, x)) for x in lists]
-
-
-def portions(texts: Iterable[str], size: int = 1 << 20) -> Iterator[list[str]]:
-    """Runs of whole texts of about ``size`` characters together."""
-    held, total = [], 0
-    for text in texts:
-        held.append(text)
-        total += len(text)
-        if total >= size:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
+        if word.isalpha() and word.islower():
+            return self.pack([token.id for token in self.model.tokenize(word.decode("ascii"))])
+        return self.pack(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids)
+
+    def encode(self, text: str) -> bytes:
+        data = text.encode("utf-8")
+        if text.isascii() or not MARKS.search(text):
+            data = data.lower()  # bytes: ASCII letters only
+        return b"".join(map(self.memo.__getitem__, data.split()))
 
 
 def tokenize(docs: DataFrame, text: str = "text", into: str = "ids", tokenizer_file: str = TOKENIZER_FILE,
-             end_id: int | None = END_ID) -> DataFrame:
-    """Add ``into``: the ids of ``text`` as little-endian unsigned 32-bit integers, ended by ``end_id``.
+             end_id: int | None = END_ID, width: int = 4) -> DataFrame:
+    """Add ``into``: the ids of ``text`` as little-endian unsigned integers of ``width`` bytes, ended by ``end_id``.
 
     Null text counts as empty; other columns and repeated rows pass unchanged.
     """
     session(docs.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as file:  # on the driver; the tasks get its bounded content
         shipped = docs.sparkSession.sparkContext.broadcast(file.read())
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    tail = b"" if end_id is None else np.array([end_id], f"<u{width}").tobytes()
 
     @pandas_udf("binary")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = worker_state(("words", shipped.value), lambda: WordTokens(shipped.value))
+        coder = worker_state(("words", shipped.value, width), lambda: WordTokens(shipped.value, width))
         for batch in batches:
-            yield pd.Series([ids + tail for texts in portions(batch) for ids in coder.encode(texts)], dtype=object)
+            yield pd.Series([coder.encode(text) + tail for text in batch], dtype=object)
 
     return docs.withColumn(into, tokens(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
 
@@ -204,13 +176,13 @@ class Codec:
 # ---------------------------------------------------------------- files
 
 
-def count_ids(docs: DataFrame, ids: str = "ids") -> DataFrame:
+def count_ids(docs: DataFrame, ids: str = "ids", width: int = 4) -> DataFrame:
     """``(id, n)`` over all documents: tasks add up their own ids first."""
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            part = np.bincount(np.frombuffer(b"".join(batch.iloc[:, 0]), "<u4"))
+            part = np.bincount(np.frombuffer(b"".join(batch.iloc[:, 0]), f"<u{width}"))
             if len(part) > len(total):
                 total = np.pad(total, (0, len(part) - len(total)))
             total[: len(part)] += part
@@ -229,7 +201,8 @@ def _block_schema(id_type: T.DataType) -> str:
     )
 
 
-def write(docs: DataFrame, path: str, id_col: str = "doc_id", ids: str = "ids", limit: int = LIMIT) -> None:
+def write(docs: DataFrame, path: str, id_col: str = "doc_id", ids: str = "ids", limit: int = LIMIT,
+          width: int = 4) -> None:
     """Write the ids of all documents under ``path``, in ascending order of ``id_col`` (null first).
 
     Rows with equal ids stay apart, in the order of their tokens. An empty table gives empty files. The code table is
@@ -237,7 +210,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", ids: str = "ids",
     """
     spark = session(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{ids}`"), F.lit(b"")).alias("ids"))
-    counts = {row["id"]: row["n"] for row in count_ids(rows).collect()}
+    counts = {row["id"]: row["n"] for row in count_ids(rows, "ids", width).collect()}
     lengths = code_lengths(counts, limit)
     spark.createDataFrame(sorted(lengths.items()), "id long, length int").coalesce(1).write.parquet(f"{path}/lengths")
     shipped = spark.sparkContext.broadcast(lengths)
@@ -247,25 +220,25 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", ids: str = "ids",
         part, block, start, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def row():
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
+            ids = np.frombuffer(b"".join(x for _, x in held), f"<u{width}")
             bits, checkpoints = codec.pack(ids)
             return pd.DataFrame({
                 "part": [part], "block": [block], "start": [start], "n_ids": [len(ids)],
-                "docs": [[i for i, _ in held]], "doc_ids": [[len(x) // 4 for _, x in held]],
+                "docs": [[i for i, _ in held]], "doc_ids": [[len(x) // width for _, x in held]],
                 "bits": [bits], "checkpoints": [checkpoints.astype("<i8").tobytes()],
             })
 
         for batch in batches:
             for i, x in zip(batch["id"].astype(object).where(batch["id"].notna(), None), batch["ids"]):
-                if held and size + len(x) // 4 > BLOCK:
+                if held and size + len(x) // width > BLOCK:
                     yield row()
                     block, start, held, size = block + 1, start + size, [], 0
                 held.append((i, x))
-                size += len(x) // 4
+                size += len(x) // width
         if held:
             yield row()
 
-    (rows.repartitionByRange(F.col("id").asc_nulls_first(), "ids").sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
+    (rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
      .mapInPandas(blocks, _block_schema(rows.schema["id"].dataType)).write.parquet(f"{path}/blocks"))
 
 
@@ -297,7 +270,11 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id", limit: int = LI
     return files.mapInPandas(documents, f"`{id_col}` {kind}, start long, ids binary")
 
 
-def encode_and_write(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", **tokens) -> None:
-    """Tokenize once, keep the ids in the shared folder, count, and write."""
+def encode_and_write(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
+                     tokenizer_file: str = TOKENIZER_FILE, end_id: int | None = END_ID) -> None:
+    """Tokenize once, keep the ids in the shared folder, as narrow as the vocabulary allows, count, and write."""
+    size = Tokenizer.from_file(tokenizer_file).get_vocab_size()
+    width = 2 if max(size, end_id or 0) <= 1 << 16 else 4
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    write(stored(tokenize(texts, "text", "ids", **tokens).drop("text"), "ids"), path, "id", "ids")
+    ids = tokenize(texts, "text", "ids", tokenizer_file, end_id, width).drop("text")
+    write(stored(ids, "ids"), path, "id", "ids", width=width)
