@@ -22,7 +22,7 @@ from pyspark.sql.functions import pandas_udf
 from .common import LONG_KEY, Memo, session, worker_state
 
 #: Last tokens of prefixes that a worker remembers before it starts anew.
-PREFIXES = 500_000
+PREFIXES = 300_000
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -125,7 +125,7 @@ class TextEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pieces = regex.compile(pattern)
         self.prefix = PrefixEncoder(ranks)
-        self.memo = Memo(self._packed, 400_000)
+        self.memo = Memo(self._packed, 300_000)
 
     def _packed(self, piece: str) -> bytes:
         return np.array(self.prefix.encode_piece(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
