@@ -26,6 +26,8 @@ EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 8, 4, 32, 16
 SAMPLE, SAMPLE_CHUNKS = 2500, 4
 EPOCHS, BATCH, RATE, SEED = 8, 64, 2e-3, 7
 PAD = 256
+#: Weight of label 1 against label 0; share of chunks cut short in training, and their least bytes.
+KEEP, SHORT_SHARE, SHORTEST = 2.0, 0.4, 12
 #: Chunks that pass through the filters together.
 TOGETHER = 256
 
@@ -110,7 +112,11 @@ class Network:
 
 
 def train(texts: list[str], labels: list[int]) -> Network:
-    """Adam on the logistic loss of chunks, classes weighing the same; chunks carry their document's label."""
+    """Adam on the logistic loss of chunks, which carry their document's label.
+
+    Label 1 weighs ``KEEP`` times label 0 as a whole. Some chunks are cut short in each step, so that short texts are
+    known too.
+    """
     random, network = np.random.default_rng(SEED), Network()
     if not texts:
         return network
@@ -121,7 +127,8 @@ def train(texts: list[str], labels: list[int]) -> Network:
         parts.append(every[chosen])
         target += [label] * len(chosen)
     x, y = np.concatenate(parts), np.array(target, np.float32)
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
+    good, bad = max(float(y.mean()), 1e-6), max(float(1 - y.mean()), 1e-6)
+    weight = np.where(y == 1, KEEP / (KEEP + 1) / good, 1 / (KEEP + 1) / bad).astype(np.float32)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     steps = max(EPOCHS * -(-len(x) // BATCH), 400)  # few labels get more passes
     done, order = 0, np.zeros(0, np.int64)
@@ -129,7 +136,11 @@ def train(texts: list[str], labels: list[int]) -> Network:
         if len(order) < BATCH:
             order = np.concatenate([order, random.permutation(len(x))])
         batch, order = order[:BATCH], order[BATCH:]
-        logits, kept = network.forward(x[batch])
+        shown = x[batch]
+        ends = np.exp(random.uniform(np.log(SHORTEST), np.log(CHUNK), len(batch)))
+        ends[random.random(len(batch)) > SHORT_SHARE] = CHUNK
+        shown[np.arange(CHUNK) >= ends[:, None]] = PAD
+        logits, kept = network.forward(shown)
         slope = (weight[batch] * (1 / (1 + np.exp(-logits)) - y[batch]) / len(batch)).astype(np.float32)
         done += 1
         rate = RATE * min(1, 2 * (1 - done / steps) + 0.05)

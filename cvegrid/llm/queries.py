@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from cvegrid.session import scratch
 
-from . import bpe_prefix, curriculum, huffman, personal, repetition, secret_scan
-from .common import session, table
+from . import bpe_prefix, curriculum, huffman, personal, quality_cnn, repetition, secret_scan, toxicity
+from .common import in_fold, session, table
 from .spans import count_kind, fingerprint, joined
 
 
@@ -36,6 +36,19 @@ def op3_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     return curriculum.plan(table(spark, folder, "documents"))
 
 
+def op4_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), ~in_fold(F.col("doc_id"), 5, 0))
+    score = F.col("toxicity.score")
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        in_fold(F.col("doc_id"), 5, 0).alias("held_out"),
+        score.alias("score"),
+        F.when(score >= 0.5, 1).otherwise(0).alias("predicted"),
+        F.size("toxicity.passages").cast("long").alias("n_passages"),
+    )
+
+
 OP3_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS hash,
@@ -87,6 +100,17 @@ def op5_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    network = quality_cnn.fit(docs, table(spark, folder, "labels"), ~in_fold(F.col("doc_id"), 4, 2))
+    return quality_cnn.score(docs, network).select(
+        "doc_id",
+        in_fold(F.col("doc_id"), 4, 2).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op8_suffix_repetition(spark: SparkSession, folder: str) -> DataFrame:
     judged = repetition.judge(table(spark, folder, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "repetition.*")
@@ -106,7 +130,9 @@ def op10_huffman_tokens(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_personal_bootstrap": op1_personal_bootstrap,
     "op3_curriculum_mix": op3_curriculum_mix,
+    "op4_toxic_segments": op4_toxic_segments,
     "op5_secret_ownership": op5_secret_ownership,
+    "op7_quality_cnn": op7_quality_cnn,
     "op8_suffix_repetition": op8_suffix_repetition,
     "op9_bpe_prefix": op9_bpe_prefix,
     "op10_huffman_tokens": op10_huffman_tokens,
