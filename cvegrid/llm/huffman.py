@@ -57,7 +57,7 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.model, self.width = self.tokenizer.model, width
-        self.memo = Memo(self._encode, 500_000)
+        self.memo = Memo(self._encode, 800_000)
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
