@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cvegrid.session import scratch
 
-from . import bpe_prefix, curriculum, huffman, personal, quality_cnn, repetition, secret_scan, toxicity
+from . import bpe_prefix, curriculum, huffman, ngram_join, personal, quality_cnn, repetition, secret_scan, toxicity
 from .common import in_fold, session, table
 from .spans import count_kind, fingerprint, joined
 
@@ -100,6 +100,10 @@ def op5_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(table(spark, folder, "documents"))
+
+
 def op7_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     network = quality_cnn.fit(docs, table(spark, folder, "labels"), ~in_fold(F.col("doc_id"), 4, 2))
@@ -132,6 +136,7 @@ QUERIES = {
     "op3_curriculum_mix": op3_curriculum_mix,
     "op4_toxic_segments": op4_toxic_segments,
     "op5_secret_ownership": op5_secret_ownership,
+    "op6_partenum_join": op6_partenum_join,
     "op7_quality_cnn": op7_quality_cnn,
     "op8_suffix_repetition": op8_suffix_repetition,
     "op9_bpe_prefix": op9_bpe_prefix,
