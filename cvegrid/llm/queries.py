@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cvegrid.session import scratch
 
-from . import bpe_prefix, curriculum, huffman, ngram_join, personal, quality_cnn, repetition, secret_scan, toxicity
+from . import bpe_prefix, curriculum, huffman, neighbour_graph, ngram_join, personal, quality_cnn, repetition, secret_scan, toxicity
 from .common import in_fold, session, table
 from .spans import count_kind, fingerprint, joined
 
@@ -32,6 +32,10 @@ def op1_personal_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_neighbour_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbour_graph.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op3_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     return curriculum.plan(table(spark, folder, "documents"))
 
@@ -133,6 +137,7 @@ def op10_huffman_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_personal_bootstrap": op1_personal_bootstrap,
+    "op2_neighbour_graph": op2_neighbour_graph,
     "op3_curriculum_mix": op3_curriculum_mix,
     "op4_toxic_segments": op4_toxic_segments,
     "op5_secret_ownership": op5_secret_ownership,
