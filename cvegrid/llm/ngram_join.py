@@ -6,20 +6,21 @@ partition two such sets differ so little that they agree on all but one of its p
 one part gives a signature that both share. Sets with a common signature are compared exactly.
 
 Equal sets are one node from the start. In a group of nodes with a common signature, each is compared with the smallest;
-links become components, and only nodes of different components in a group are compared further. So no link is lost,
-and large groups of linked texts cost one comparison a node.
+links become components, and only nodes of different components in a group are compared further, if their sizes and
+parity maps, which bound the difference of two sets from below, allow a link. So no link is lost, and what is compared by
+its elements is little more than what is linked.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -120,6 +121,27 @@ def signatures(grams: np.ndarray, similarity: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+#: Longs of the parity map of a set: each element flips one of its bits.
+PARITY = 16
+
+
+def parity(grams: np.ndarray) -> list[int]:
+    """A map whose difference between two sets is at most the number of elements in which they differ."""
+    flips = np.bincount((grams >> np.uint64(20)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _may_link(similarity: int, size_a: str, parity_a: str, size_b: str, parity_b: str) -> Column:
+    """Whether sizes and parity maps allow the similarity: no similar pair is lost, few others stay."""
+    differ = reduce(
+        lambda x, y: x + y,
+        [F.bit_count(F.col(parity_a)[i].bitwiseXOR(F.col(parity_b)[i])) for i in range(PARITY)],
+    )
+    sizes = F.col(size_a) + F.col(size_b)
+    apart = F.greatest(differ, F.abs(F.col(size_a) - F.col(size_b)))
+    return (100 + similarity) * apart <= (100 - similarity) * sizes
+
+
 def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     session(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
@@ -130,24 +152,24 @@ def _shingler(n: int) -> Shingler:
 
 
 def nodes(texts: DataFrame, n: int) -> DataFrame:
-    """Every row's id, set size and node."""
+    """Every row's id, set size, node and parity map."""
 
-    @pandas_udf("size long, node long")
+    @pandas_udf("size long, node long, parity array<long>")
     def named(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [_shingler(n).shingles(t) for t in batch]
-            yield pd.DataFrame({"size": [len(s) for s in sets], "node": [node(s) for s in sets]})
+            yield pd.DataFrame({"size": [len(s) for s in sets], "node": [node(s) for s in sets], "parity": [parity(s) for s in sets]})
 
-    return texts.select("id", named("text").alias("set")).select("id", "set.size", "set.node")
+    return texts.select("id", named("text").alias("set")).select("id", "set.size", "set.node", "set.parity")
 
 
 def signed(texts: DataFrame, n: int, similarity: int) -> DataFrame:
-    """``(signature, node, size)`` of every set; a task signs copies of a set once."""
+    """``(signature, node)`` of every set; a task signs copies of a set once."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            names, sizes, lists = [], [], []
+            names, lists = [], []
             for t in batch["text"]:
                 grams = _shingler(n).shingles(t)
                 name = node(grams)
@@ -157,16 +179,14 @@ def signed(texts: DataFrame, n: int, similarity: int) -> DataFrame:
                     seen.clear()
                 seen.add(name)
                 names.append(name)
-                sizes.append(len(grams))
                 lists.append(signatures(grams, similarity))
             counts = [len(x) for x in lists]
             yield pd.DataFrame({
                 "signature": np.concatenate(lists) if lists else np.zeros(0, np.int64),
                 "node": np.repeat(np.array(names, np.int64), counts),
-                "size": np.repeat(np.array(sizes, np.int64), counts),
             })
 
-    return texts.select("text").mapInPandas(sign, "signature long, node long, size long")
+    return texts.select("text").mapInPandas(sign, "signature long, node long")
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -237,26 +257,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = W
     """
     texts = _texts(docs, id_col, text)
     named = stored(nodes(texts, n), "nodes")
-    classes = named.where("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"))
+    classes = named.where("size > 0").groupBy("node").agg(
+        F.min("id").alias("id"), F.any_value("size").alias("size"), F.any_value("parity").alias("parity"))
     signs = signed(texts, n, similarity).repartition("signature")
-    shared = signs.groupBy("signature").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.min_by("size", "node").alias("hub_size"))
-    groups = stored(
-        signs.join(shared.where("hub < top"), "signature").select("signature", "node", "size", "hub", "hub_size").distinct(), "groups"
-    )
-    near = 100 * F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size")
-    stars = stored(groups.where((F.col("node") != F.col("hub")) & near).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    members = groups.select("node").distinct()
-    sets = stored(_sets(texts, classes.join(members, "node", "left_semi").select("node", "id"), n), "sets")
+    shared = signs.groupBy("signature").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
+    groups = stored(signs.join(shared, "signature").select("signature", "node", "hub").distinct(), "groups")
+    members = stored(classes.join(groups.select("node").distinct(), "node"), "members")
+    left = members.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("parity").alias("parity_a"))
+    right = members.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("parity").alias("parity_b"))
+    may_link = _may_link(similarity, "size_a", "parity_a", "size_b", "parity_b")
+    stars = stored(
+        groups.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        .join(right, "b").join(left, "a").where(may_link).select("a", "b"), "pairs")
+    sets = stored(_sets(texts, members.select("node", "id"), n), "sets")
     links = stored(_linked(stars, sets, similarity), "linked")
     roots = stored(components(links), "roots")
-    labelled = groups.select("signature", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = groups.select("signature", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     open_groups = stored(labelled.join(mixed.select("signature"), "signature"), "open")
-    other = open_groups.select("signature", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+    one = open_groups.withColumnsRenamed({"node": "a", "root": "root_a"}).join(left, "a")
+    other = open_groups.withColumnsRenamed({"node": "b", "root": "root_b"}).join(right, "b")
     across = (
-        open_groups.withColumnsRenamed({"node": "a"}).join(other, "signature")
-        .where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")))
-        .where(100 * F.least("size", "size_b") >= similarity * F.greatest("size", "size_b"))
+        one.join(other, (one["signature"] == other["signature"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & may_link)
         .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     )
     more = stored(_linked(across, sets, similarity), "linked")

@@ -191,10 +191,14 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     chosen = sample(docs, labels, "quality", usable, id_col, text, rows)
 
     def trained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["hash", "text"])
+        held = list(batches)
+        if not held:
+            return
+        rows = pd.concat(held, ignore_index=True).sort_values(["hash", "text"])
         yield pd.DataFrame({"network": [train(list(rows["text"]), list(rows["label"])).dump()]})
 
-    return chosen.select("text", "label", "hash").repartition(1).mapInPandas(trained, "network binary").first()["network"]
+    row = chosen.select("text", "label", "hash").repartition(1).mapInPandas(trained, "network binary").first()
+    return row["network"] if row else Network().dump()  # without labels nothing is learned
 
 
 def score(docs: DataFrame, network: bytes, text: str = "text", into: str = "score") -> DataFrame:

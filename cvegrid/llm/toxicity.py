@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     if not (toxic[1] and clean[1]):
         scores[:] = 0
     shares = clean[0] + PRIOR * (everything[0] + 0.01) / max(everything[1], 1)
-    model = Model(scores, extreme_rate(scores - DRIFT, shares / shares.sum()), 1.0, 1.0, 0.0)
+    model = Model(scores, extreme_rate(scores - DRIFT, shares / shares.sum()), 1.0, 1.0, -3.0)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
