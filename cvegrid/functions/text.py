@@ -57,11 +57,17 @@ def canonical_ecosystem(col: Column) -> Column:
 
 def content_type(url: Column) -> Column:
     """Kind of page behind a reference address."""
-    host, path = F.lower(F.coalesce(domain_of(url), F.lit(""))), F.lower(url)
+    host = F.regexp_replace(F.lower(F.coalesce(domain_of(url), F.lit(""))), r"^.*@|:\d*$", "")
+    path = F.lower(url)
+
+    def on(name: str) -> Column:
+        """Whether the page is on that host or one below it."""
+        return (host == name) | host.endswith("." + name)
+
     return (
-        F.when(host.endswith("exploit-db.com") & path.contains("/exploits/"), "poc_readme")
-        .when(host.endswith("github.com") & path.contains("/advisories/"), "github_advisory")
-        .when(host.endswith("github.com") & path.contains("/security/"), "github_advisory")
+        F.when(on("exploit-db.com") & path.contains("/exploits/"), "poc_readme")
+        .when(on("github.com") & path.contains("/advisories/"), "github_advisory")
+        .when(on("github.com") & path.contains("/security/"), "github_advisory")
         .when(host.rlike(r"^(.*\.)?blog\.") | path.rlike(r"://[^/]+/(.*/)?blog/"), "blog_post")
         .otherwise("vendor_advisory")
     )

@@ -13,13 +13,6 @@ from ..functions.text import shorten
 CHILD_COLUMNS = ["cve_id", "kind", "key1", "key2", "key3", "value1", "value2", "segment"]
 
 
-_LISTS = {
-    "package": "array<struct<ecosystem:string,package_name:string,vulnerable_versions:string,patched_version:string>>",
-    "exploit": "array<struct<source:string,url:string,description:string>>",
-    "reference": "array<string>",
-}
-
-
 def _given(col: Column, before: str, after: str = "") -> Column:
     """``before + col + after``, or '' where the value is missing or empty."""
     return F.when(col != "", F.concat(F.lit(before), col, F.lit(after))).otherwise("")
@@ -79,37 +72,3 @@ def sizes(children: DataFrame) -> DataFrame:
     return children.groupBy("cve_id", "kind").agg(
         F.count("*").alias("n"), F.sum(F.length("segment")).alias("chars")
     )
-
-
-def nested(winners: DataFrame, children: DataFrame, max_children: int = 10_000) -> DataFrame:
-    """Retrieved rows with their sub-records as arrays.
-
-    A CVE with more than ``max_children`` sub-records has NULL arrays and
-    ``children_in_rows`` true; all of them remain in ``children``.
-    """
-    counts = children.groupBy("cve_id").agg(F.count("*").alias("_n"))
-    small = children.join(counts.where(F.col("_n") <= max_children).select("cve_id"), "cve_id", "left_semi")
-    entry = F.struct("key1", "key2", "key3", "value1", "value2")
-    lists = small.groupBy("cve_id").agg(*[
-        F.sort_array(F.collect_list(F.when(F.col("kind") == kind, entry))).alias(f"_{kind}")
-        for kind in ("package", "exploit", "reference")
-    ])
-    big = F.coalesce("_n", F.lit(0)) > max_children
-
-    def listed(kind: str, build) -> Column:
-        found = F.transform(F.col(f"_{kind}"), build)
-        return F.when(~big, F.coalesce(found, F.array().cast(_LISTS[kind])))
-
-    return (
-        winners.join(counts, "cve_id", "left").join(lists, "cve_id", "left")
-        .withColumns({
-            "affected_packages": listed("package", lambda e: F.struct(
-                e.key1.alias("ecosystem"), e.key2.alias("package_name"),
-                e.value1.alias("vulnerable_versions"), e.value2.alias("patched_version"))),
-            "exploits": listed("exploit", lambda e: F.struct(
-                e.key1.alias("source"), e.value1.alias("url"), e.value2.alias("description"))),
-            "references": listed("reference", lambda e: e.key1),
-            "children_in_rows": big,
-        })
-        .drop("_n", "_package", "_exploit", "_reference")
-    )

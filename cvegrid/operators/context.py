@@ -56,8 +56,29 @@ def _texts(children: DataFrame, totals: DataFrame, budget: int) -> DataFrame:
     ])
 
 
+#: Lines of a block in order; the parts of a line are joined by its kind's joiner.
+LINES = {"header": 0, "package": 1, "description": 2, "exploit": 3, "reference": 4}
+
+
+def block_lines(rows: DataFrame, children: DataFrame) -> DataFrame:
+    """Blocks of any size as ordered rows ``(cve_id, line, pos, text)``: one for each part of a line.
+
+    Nothing is gathered per CVE, so a CVE with very many sub-records is as many rows.
+    """
+    exploits = sizes(children).where(F.col("kind") == "exploit").select("cve_id", F.col("n").alias("exploit_n"))
+    facts = rows.join(exploits, "cve_id", "left")
+    heads = facts.select("cve_id", F.lit(LINES["header"]).alias("line"), F.lit(1).alias("pos"), header().alias("text"))
+    described = rows.where(F.col("description") != "").select(
+        "cve_id", F.lit(LINES["description"]).alias("line"), F.lit(1).alias("pos"), F.col("description").alias("text"))
+    order = Window.partitionBy("cve_id", "kind").orderBy("key1", "key2", "key3", "segment")
+    line = F.coalesce(*[F.when(F.col("kind") == kind, LINES[kind]) for kind in _LABELS])
+    parts = children.join(rows.select("cve_id"), "cve_id", "left_semi").select(
+        "cve_id", line.alias("line"), F.row_number().over(order).alias("pos"), F.col("segment").alias("text"))
+    return heads.unionByName(described).unionByName(parts)
+
+
 def blocks(rows: DataFrame, children: DataFrame, budget_chars: int) -> DataFrame:
-    """Rows with their ``block``.
+    """Rows with their ``block``, for packing; ``block_lines`` has blocks of any size.
 
     ``block`` is NULL where the sub-records alone exceed the budget: such a
     block can never be kept, so its text is not built, whatever its size.

@@ -13,7 +13,7 @@ EVENTS = ["seed", "claim", "release", "fail", "complete"]
 
 def _order(event: Column, *at: str) -> Column:
     """Time, and within one round the order in which steps happen."""
-    step = F.when(event == "seed", 0).when(event == "claim", 1).otherwise(2)
+    step = F.when(event == "seed", 0).when(event == "release", 1).when(event == "claim", 2).when(event == "fail", 3).otherwise(4)
     return F.struct(*at, step.alias("_step"))
 
 

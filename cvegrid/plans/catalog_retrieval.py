@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.severity import allowed_levels
-from ..functions.text import estimate_tokens
 from ..operators import answers, children, context, retrieval, semantic
 from ..operators.intents import Intent, cutoff, has_filter, phrase_days, with_filters
 from ..schemas import CHARS_PER_TOKEN
@@ -204,11 +203,20 @@ blocks AS (
     LEFT JOIN texts r ON r.cve_id = v.cve_id AND r.kind = 'reference')"""
 
 
-@query("context_blocks", with_sql("vulns packages exploits refs", _CHILDREN + _BLOCKS.replace("{budget}", "60000") + """
-SELECT cve_id, block, CAST(length(block) // 4 AS INTEGER) AS tokens FROM blocks"""))
+@query("context_blocks", with_sql("vulns packages exploits refs", _CHILDREN + """
+SELECT v.cve_id, 0 AS line, 1 AS pos,
+  '[' || v.cve_id || '] (' || concat_ws(' | ', v.severity, 'CVSS ' || printf('%.1f', v.cvss_score),
+    'EPSS ' || printf('%.2f', v.epss_score), CASE WHEN v.cisa_kev THEN 'KEV: Yes' ELSE 'KEV: No' END,
+    CASE WHEN v.cve_id IN (SELECT cve_id FROM kids WHERE kind = 'exploit') THEN 'Exploit: Yes' ELSE 'Exploit: No' END) || ')' AS text
+FROM vulns v
+UNION ALL SELECT cve_id, 2, 1, description FROM vulns WHERE description <> ''
+UNION ALL SELECT cve_id, CASE kind WHEN 'package' THEN 1 WHEN 'exploit' THEN 3 ELSE 4 END,
+  CAST(row_number() OVER (PARTITION BY cve_id, kind ORDER BY key1, key2, key3, segment) AS INTEGER), segment
+FROM kids WHERE cve_id IN (SELECT cve_id FROM vulns)"""))
 def context_blocks(c: Corpus) -> DataFrame:
-    """The text block of every CVE, with its estimated tokens."""
-    return _all_blocks(c, 15_000).select("cve_id", "block", estimate_tokens(F.col("block")).alias("tokens"))
+    """The text block of every CVE, whatever its size, as ordered parts."""
+    kids = children.children_of(c.vulns, c.packages, c.exploits, c.references)
+    return context.block_lines(c.vulns, kids)
 
 
 _BUDGET = 3_000

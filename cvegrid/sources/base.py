@@ -56,7 +56,7 @@ def _with_file(df: DataFrame) -> DataFrame:
     return df.select(
         "*",
         F.col("_metadata.file_modification_time").alias("_landed_at"),
-        F.xxhash64("_metadata.file_path").alias("_file_id"),
+        F.xxhash64("_metadata.file_name").alias("_file_id"),  # moving a folder changes nothing
         F.col("_metadata.file_block_start").alias("_block"),
     )
 

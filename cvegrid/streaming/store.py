@@ -3,10 +3,12 @@
 A sync or micro-batch is one write of normalized records into a folder of its
 own. It covers all four tables at once, and repeating it overwrites itself, so
 a retried batch changes nothing. ``compact`` folds log and tables into a new
-version now and then; readers use the last complete one.
+version now and then; readers use the last complete one. A version lists the
+writes it holds, so what is logged later is read whatever its name sorts to,
+also into a folder that was folded before.
 
 Layout under the root: ``log/feed=…/sync=…``, ``states/version=…/<table>``,
-``tables/version=…/<table>``, ``versions``, ``runs``.
+``tables/version=…/<table>``, ``folded/version=…``, ``versions``, ``runs``.
 """
 
 from dataclasses import dataclass
@@ -23,14 +25,15 @@ _LOG = T.StructType([
     T.StructField("feed", T.StringType()),
     T.StructField("sync", T.StringType()),
 ])
-_VERSIONS = "version INT, upto STRING"
+_VERSIONS = "version INT"
+_FOLDED = "write STRING"
 
 #: Columns that stored tables are laid out by, so that filters skip files.
 LAYOUT = {
     "vulnerabilities": ["cve_id"],
     "affected_packages": ["ecosystem_lc", "package_lc", "cve_id"],
-    "exploits": ["cve_id"],
-    "cve_references": ["cve_id"],
+    "exploits": ["cve_id", "source", "source_id"],
+    "cve_references": ["cve_id", "url"],
 }
 
 
@@ -42,13 +45,29 @@ class Store:
     root: str
 
     def append(self, records: DataFrame, feed: str, sync: str) -> None:
-        """Write one sync; ``sync`` names must sort in the order of their syncs."""
+        """Write one sync into its own folder; writing it again replaces it."""
         records.write.mode("overwrite").parquet(f"{self.root}/log/feed={feed}/sync={sync}")
 
-    def log(self, after: str | None = None) -> DataFrame:
-        """Normalized records of all syncs, or of those after one."""
-        rows = self._table("log", _LOG)
-        return rows if after is None else rows.where(F.col("sync") > after)
+    def log(self) -> DataFrame:
+        """Normalized records of all syncs."""
+        return self._table("log", _LOG)
+
+    def _writes(self) -> DataFrame:
+        """All logged records with the write that made them: folder, and the job's mark in the names of its files."""
+        try:
+            rows = self.spark.read.schema(_LOG).parquet(f"{self.root}/log")
+        except AnalysisException as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            return self.spark.createDataFrame([], _LOG).withColumn("write", F.lit(""))
+        job = F.regexp_extract("_metadata.file_name", r"^part-\d+-(.{36})", 1)
+        return rows.withColumn("write", F.concat_ws("/", "feed", "sync", job))
+
+    def _folded(self, version: int | None) -> DataFrame:
+        """The writes that a version holds: one short row each."""
+        if version is None:
+            return self.spark.createDataFrame([], _FOLDED)
+        return self.spark.read.schema(_FOLDED).parquet(f"{self.root}/folded/version={version}")
 
     def record_run(self, source: str, synced_at: datetime, records: int) -> None:
         """The high-water mark moves only after all of a sync is written."""
@@ -58,50 +77,58 @@ class Store:
     def runs(self) -> DataFrame:
         return self._table("runs", RUN_LOG)
 
-    def version(self) -> tuple[int, str] | None:
-        """Last complete version and the last sync folded into it."""
-        best = self._table("versions", _VERSIONS).agg(F.max(F.struct("version", "upto")).alias("v")).first()
-        return tuple(best["v"]) if best["v"] else None
+    def version(self) -> int | None:
+        """Last complete version."""
+        return self._table("versions", _VERSIONS).agg(F.max("version")).first()[0]
 
-    def states(self, name: str) -> DataFrame:
-        """Folded states of a table, current to the last sync."""
-        return self._fold(name, self.version())
+    def states(self, name: str, cves: DataFrame | None = None) -> DataFrame:
+        """Folded states of a table, current to the last sync; only of ``cves`` (a column ``cve_id``) where given."""
+        current = self.version()
+        return self._fold(name, current, self._writes().join(self._folded(current), "write", "left_anti"), cves)
 
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, cves: DataFrame | None = None) -> DataFrame:
         """A table current to the last sync."""
-        return TABLES[name](self.states(name))
+        return TABLES[name](self.states(name, cves))
 
     def published(self, name: str) -> DataFrame:
         """A table as of the last compaction, laid out for filters."""
         current = self.version()
         if current is None:
             return self.table(name)
-        return self.spark.read.parquet(f"{self.root}/tables/version={current[0]}/{name}")
+        return self.spark.read.parquet(f"{self.root}/tables/version={current}/{name}")
 
     def compact(self) -> int:
-        """Fold everything logged so far into a new version."""
+        """Fold what is logged and not yet folded into a new version.
+
+        The writes to fold are listed first: what is logged meanwhile waits for
+        the next version.
+        """
         current = self.version()
-        upto = self.log(current[1] if current else None).agg(F.max("sync")).first()[0]
-        if upto is None:
-            return current[0] if current else 0
-        number = current[0] + 1 if current else 1
+        number = (current or 0) + 1
+        held = f"{self.root}/folded/version={number}"
+        old = self._folded(current)
+        new = self._writes().select("write").distinct().join(old, "write", "left_anti")
+        if new.isEmpty():
+            return current or 0
+        old.unionByName(new).coalesce(1).write.mode("overwrite").parquet(held)
+        listed = self.spark.read.schema(_FOLDED).parquet(held).join(old, "write", "left_anti")
+        fresh = self._writes().join(listed, "write", "left_semi")
         for name in FOLDS:
             states = f"{self.root}/states/version={number}/{name}"
-            self._fold(name, current, upto).write.mode("overwrite").parquet(states)
+            self._fold(name, current, fresh).write.mode("overwrite").parquet(states)
             rows = TABLES[name](self.spark.read.parquet(states))
             rows.repartitionByRange(*LAYOUT[name]).sortWithinPartitions(*LAYOUT[name]).write.mode(
                 "overwrite"
             ).parquet(f"{self.root}/tables/version={number}/{name}")
-        done = self.spark.createDataFrame([(number, upto)], _VERSIONS)
-        done.coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
+        self.spark.createDataFrame([(number,)], _VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
         return number
 
-    def _fold(self, name: str, current: tuple[int, str] | None, upto: str | None = None) -> DataFrame:
-        fresh = self.log(current[1] if current else None)
-        if upto is not None:
-            fresh = fresh.where(F.col("sync") <= upto)
-        base = self.spark.read.parquet(f"{self.root}/states/version={current[0]}/{name}") if current else None
-        return merge(name, batch_states(fresh)[name], base)
+    def _fold(self, name: str, current: int | None, fresh: DataFrame, cves: DataFrame | None = None) -> DataFrame:
+        base = self.spark.read.parquet(f"{self.root}/states/version={current}/{name}") if current else None
+        if cves is not None:
+            fresh = fresh.join(cves, "cve_id", "left_semi")
+            base = None if base is None else base.join(cves, "cve_id", "left_semi")
+        return merge(name, batch_states(fresh.drop("write"))[name], base)
 
     def _table(self, name: str, schema) -> DataFrame:
         try:

@@ -1,10 +1,9 @@
-"""Watch mode: newly logged packages against registered dependencies."""
+"""Watch mode: whatever the log gains, against registered dependencies."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dependencies import alerts, match
-from ..operators.merge import fold_packages, package_observations, package_states, package_table
 from .store import Store
 
 
@@ -16,15 +15,18 @@ def watch(
     min_severity: str = "HIGH",
     min_epss: float = 0.5,
 ) -> StreamingQuery:
-    """Append alerts for whatever the log has gained since the last run.
+    """Append alerts for the CVEs of whatever the log has gained since the last run.
 
-    Each micro-batch is matched set against set; its alerts go to a folder of
-    their own, so a retried batch does not repeat them.
+    A micro-batch names the CVEs to look at; their packages and facts are read
+    as they stand now, so a severity, score or exploitation that arrives after
+    the package alerts too. Only the states of these CVEs are folded. Batches
+    may repeat an alert; ``alerted`` merges them.
     """
     def write(records: DataFrame, batch: int) -> None:
-        packages = package_table(fold_packages(package_states(package_observations(records))))
-        found = alerts(match(dependencies, packages), store.table("vulnerabilities"), min_severity, min_epss)
-        found.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        cves = records.select("cve_id").distinct()
+        found = alerts(match(dependencies, store.table("affected_packages", cves)), store.table("vulnerabilities", cves),
+                       min_severity, min_epss)
+        found.write.mode("overwrite").parquet(f"{out}/batch={batch:09d}")
 
     log = store.spark.readStream.schema(store.log().schema).parquet(f"{store.root}/log")
     return (
@@ -33,3 +35,11 @@ def watch(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def alerted(spark: SparkSession, out: str) -> DataFrame:
+    """One alert per project, dependency and CVE, with the latest facts."""
+    facts = ["status", "patched_version", "severity", "cisa_kev", "epss_score"]
+    keys = ["project", "ecosystem", "package", "version", "cve_id"]
+    rows = spark.read.parquet(out)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*facts), "batch").alias("f")).select(*keys, "f.*")

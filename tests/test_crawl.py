@@ -204,3 +204,16 @@ def test_reports(spark):
     empty = meta.unionByName(spark.createDataFrame([("osv", None, None)], meta.schema))
     assert [(r.source_name, r.last_sync, r.records_synced) for r in stats.sync_status(empty).collect()] == [
         ("epss", "2025-02-28 23:00:00 UTC", 1), ("nvd", "2025-03-01 00:00:00 UTC", 7), ("osv", "never", 0)]
+
+
+def test_a_lease_does_not_undo_the_outcome_of_its_round(spark):
+    rows = [("C", "u", e, 1) for e in ("release", "claim", "complete")] + [("C", "w", e, 1) for e in ("claim", "release")]
+    log = spark.createDataFrame(rows, "cve_id string, url string, event string, at int")
+    assert {r.url: r.status for r in crawl_state.fold_progress(log).collect()} == {"u": "complete", "w": "claimed"}
+
+
+def test_hosts_are_compared_as_hosts(spark):
+    kinds = {"https://notgithub.com/a/advisories/1": "vendor_advisory", "https://sub.github.com:443/advisories/1": "github_advisory",
+             "https://evil-exploit-db.com/exploits/1": "vendor_advisory", "https://www.exploit-db.com/exploits/1": "poc_readme"}
+    rows = spark.createDataFrame([(u,) for u in kinds], "url string")
+    assert {r.url: r.kind for r in rows.select("url", content_type(F.col("url")).alias("kind")).collect()} == kinds

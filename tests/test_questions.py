@@ -145,13 +145,12 @@ def test_block_text(spark):
     assert got["C2"] == "[C2] (KEV: No | Exploit: No)"
 
 
-def test_nested_lists(spark):
-    v = facts(spark, [("C1", "d", None, None, None, None, None, False, None), ("C2", "d", None, None, None, None, None, False, None)])
-    refs = [("C1", f"https://r{i}") for i in range(5)] + [("C2", "https://only")]
-    kids = kids_of(spark, v, refs=refs)
-    rows = {r.cve_id: r for r in children.nested(v, kids, max_children=4).collect()}
-    assert rows["C1"].children_in_rows and rows["C1"].references is None
-    assert rows["C2"].references == ["https://only"] and rows["C2"].affected_packages == []
+def test_block_lines_have_no_limit(spark):
+    v = facts(spark, [("C1", "d", None, None, None, None, None, False, None), ("C2", "", None, None, None, None, None, False, None)])
+    kids = kids_of(spark, v, refs=[("C1", f"https://r{i:04}") for i in range(3000)])
+    rows = sorted((r.cve_id, r.line, r.pos, r.text) for r in context.block_lines(v, kids).collect())
+    assert rows[0] == ("C1", 0, 1, "[C1] (KEV: No | Exploit: No)") and rows[1] == ("C1", 2, 1, "d")
+    assert [r[3] for r in rows[2:-1]] == [f"https://r{i:04}" for i in range(3000)] and rows[-1][0] == "C2"
 
 
 def test_oversized_block_stops_packing(spark):

@@ -9,7 +9,7 @@ from cvegrid.plans.sync import fetch_since, last_sync, sync_all
 from cvegrid.sources import EPSS, OSV_FILES
 from cvegrid.streaming.ingest import ingest, sync_name
 from cvegrid.streaming.store import Store
-from cvegrid.streaming.watch import watch
+from cvegrid.streaming.watch import alerted, watch
 
 T0 = datetime(2025, 3, 1, tzinfo=timezone.utc)
 
@@ -84,6 +84,59 @@ def test_failing_feed_keeps_its_mark(spark, tmp_path, land):
     assert EPSS.name in {r.feed for r in store.log().select("feed").distinct().collect()}
 
 
+def land_osv(spark, store, tmp_path, name, at, *records):
+    path = tmp_path / name
+    path.mkdir()
+    (path / "r.json").write_text(lines(*records))
+    store.append(OSV_FILES.records(OSV_FILES.read(spark, str(path)), at), "osv", sync_name(at))
+
+
+def cves(table):
+    return sorted(r.cve_id for r in table.select("cve_id").collect())
+
+
+def test_nothing_is_lost_after_a_compaction(spark, land, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    first = land("osv", a__json=lines(osv(1)))
+    ingest(store, OSV_FILES, first, str(tmp_path / "cp"), T0).awaitTermination()
+    land_osv(spark, store, tmp_path, "later", T0 + timedelta(hours=1), osv(2))
+    assert store.compact() == 1
+    # the older stream goes on under a name that sorts before what is folded
+    land("osv", b__json=lines(osv(3)))
+    ingest(store, OSV_FILES, first, str(tmp_path / "cp"), T0).awaitTermination()
+    assert cves(store.table("vulnerabilities")) == [f"CVE-2025-000{i}" for i in (1, 2, 3)]
+    assert store.compact() == 2 and cves(store.published("vulnerabilities")) == [f"CVE-2025-000{i}" for i in (1, 2, 3)]
+    # a folder that is folded already is written again, with more in it
+    land_osv(spark, store, tmp_path, "again", T0 + timedelta(hours=1), osv(2), osv(4))
+    assert cves(store.table("vulnerabilities")) == [f"CVE-2025-000{i}" for i in (1, 2, 3, 4)]
+    assert store.compact() == 3 and store.compact() == 3
+    assert cves(store.published("vulnerabilities")) == [f"CVE-2025-000{i}" for i in (1, 2, 3, 4)]
+
+
+def test_streams_move_the_mark(spark, land, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    landing = land("osv", a__json=lines(osv(1)))
+    ingest(store, OSV_FILES, landing, str(tmp_path / "cp"), T0, clock=lambda: T0 + timedelta(hours=2)).awaitTermination()
+    assert last_sync(store, "osv") == T0 + timedelta(hours=2)
+
+
+def test_facts_after_the_package_alert_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    deps = spark.createDataFrame([("p", "pypi", "pkg1", "1.5")], "project string, ecosystem string, package string, version string")
+    out, checkpoint = str(tmp_path / "alerts"), str(tmp_path / "cp")
+    land_osv(spark, store, tmp_path, "one", T0, osv(1))
+    watch(store, deps, out, checkpoint, min_epss=0.5).awaitTermination()
+    assert alerted(spark, out).count() == 0
+    scores = tmp_path / "epss"
+    scores.mkdir()
+    (scores / "s.csv").write_text("cve,epss,percentile\nCVE-2025-0001,0.9,0.99\nCVE-2025-0002,0.9,0.99\n")
+    for hour in (1, 2):
+        at = T0 + timedelta(hours=hour)
+        store.append(EPSS.records(EPSS.read(spark, str(scores)), at), "epss", sync_name(at))
+        watch(store, deps, out, checkpoint, min_epss=0.5).awaitTermination()
+    assert [(r.project, r.cve_id, r.epss_score) for r in alerted(spark, out).collect()] == [("p", "CVE-2025-0001", 0.9)]
+
+
 def test_watch(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     deps = spark.createDataFrame([("p", "pypi", "pkg1", "1.5"), ("p", "pypi", "pkg2", "9")],
