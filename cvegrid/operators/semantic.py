@@ -14,10 +14,9 @@ from ..schemas import IVF_LISTS, SEMANTIC_K
 from .intents import package_tags, wanted_tags, with_filters
 from .retrieval import age_days, risk_order
 
-#: Queries that travel to every task; 2,048 vectors of 1,536 doubles are 25 MB.
+#: Queries and vectors that meet in a task, on average; 8,192 vectors of 1,536 doubles are 100 MB.
 QUERY_BLOCK = 2_048
-#: Vectors per task group where both sides are split.
-VECTOR_BLOCK = 65_536
+VECTOR_BLOCK = 8_192
 _ROWS = 1_024
 _DIGITS = 6
 
@@ -124,39 +123,35 @@ def nearest(
 
     ``queries`` is ``(query_id, embedding)``, ``vectors`` ``(item_id, embedding)``.
     A query may carry ``days``, against the vectors' ``age``, and any of the list
-    filters; only vectors that pass all of them compete.
-    Up to ``query_block`` queries travel to the vectors; more are matched block
-    against block. Tasks multiply matrices and emit only their own top ``k``.
+    filters; only vectors that pass all of them compete. Vectors that are null,
+    hold a null or non-finite component, or are not as wide as most queries,
+    take no part. Both sides fall into blocks of bounded size, ``query_block``
+    queries at most on average; a task multiplies two blocks and emits only its
+    own top ``k``.
     """
-    queries, vectors = _shaped(queries, _QUERY), _shaped(vectors, _ITEM)
-    head = queries.limit(query_block + 1).toPandas()
-    if len(head) == 0:
+    queries, vectors = _usable(_shaped(queries, _QUERY)), _usable(_shaped(vectors, _ITEM))
+    widths = queries.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n"))
+    counts = widths.orderBy(F.desc("n"), "width").collect()  # as many rows as there are widths
+    if not counts:
         found = queries.sparkSession.createDataFrame([], _OUT)
-    elif len(head) <= query_block:
-        found = _to_vectors(head, vectors, k)
     else:
-        found = _blockwise(queries, vectors, k, query_block)
+        width, n = counts[0]["width"], counts[0]["n"]
+        same = F.size("embedding") == width
+        found = _blockwise(queries.where(same), n, vectors.where(same), k, query_block)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _to_vectors(head: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    block = vectors.sparkSession.sparkContext.broadcast(head)
+def _usable(df: DataFrame) -> DataFrame:
+    finite = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
+    return df.where(F.col("embedding").isNotNull() & finite)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top = _TopK(block.value, k)
-        for batch in batches:
-            top.add(batch)
-        yield top.frame()
 
-    return vectors.mapInPandas(run, _OUT)
-
-
-def _blockwise(queries: DataFrame, vectors: DataFrame, k: int, query_block: int) -> DataFrame:
+def _blockwise(queries: DataFrame, n: int, vectors: DataFrame, k: int, query_block: int) -> DataFrame:
     """Both sides hashed into blocks of bounded size, every query block meeting
     every vector block in a task of its own."""
-    q_blocks = -(-2 * queries.count() // query_block)
-    v_blocks = max(1, -(-2 * vectors.count() // VECTOR_BLOCK))
+    q_blocks = -(-n // query_block)
+    v_blocks = max(1, -(-vectors.count() // VECTOR_BLOCK))
 
     def blocked(df: DataFrame, id_col: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
         return df.select(

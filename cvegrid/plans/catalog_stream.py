@@ -47,16 +47,20 @@ SELECT coalesce(o.cve_id, s.cve_id) AS cve_id, description, severity, epss_score
   concat_ws(',', CASE WHEN s.cve_id IS NOT NULL THEN 'epss' END, CASE WHEN o.cve_id IS NOT NULL THEN 'osv' END) AS raw_sources
 FROM osv_side o FULL JOIN snapshot s ON s.cve_id = o.cve_id""")
 def stream_merge(c: Corpus) -> DataFrame:
-    """Two feeds streamed in micro-batches, with a compaction between them."""
+    """Two feeds streamed in micro-batches; the older stream goes on after a compaction of both."""
     root = scratch(c.spark, "stream")
-    osv_members(c).select("json").repartition(4).write.text(f"{root}/landing/osv")
+    members = osv_members(c).select("json")
+    later = F.pmod(F.xxhash64("json"), F.lit(3)) == 0
+    landing, checkpoint = f"{root}/landing/osv", f"{root}/checkpoint/osv"
+    members.where(~later).repartition(3).write.text(landing)
     _land_snapshot(c, f"{root}/landing/epss", "CVE-2024-")
     store = Store(c.spark, f"{root}/store")
     started = datetime(2024, 7, 1, tzinfo=timezone.utc)
-    ingest(store, OSV_FILES, f"{root}/landing/osv", f"{root}/checkpoint/osv", started, 1).awaitTermination()
+    ingest(store, OSV_FILES, landing, checkpoint, started, 2).awaitTermination()
+    ingest(store, EPSS, f"{root}/landing/epss", f"{root}/checkpoint/epss", started + timedelta(hours=1)).awaitTermination()
     store.compact()
-    later = started + timedelta(hours=1)
-    ingest(store, EPSS, f"{root}/landing/epss", f"{root}/checkpoint/epss", later).awaitTermination()
+    members.where(later).repartition(1).write.mode("append").text(landing)
+    ingest(store, OSV_FILES, landing, checkpoint, started, 2).awaitTermination()
     return store.table("vulnerabilities").select(*_COLUMNS, F.array_join("raw_sources", ",").alias("raw_sources"))
 
 

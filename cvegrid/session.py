@@ -22,23 +22,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scale_settings(input_bytes: int, cores: int) -> dict[str, str]:
-    """Partition settings for a run that shuffles about ``input_bytes``.
-
-    128 MiB per shuffle partition keeps sorts in memory; AQE merges what turns
-    out smaller. At least two waves of tasks, so that no core idles.
-    """
-    target = 128 * 1024 * 1024
-    return {
-        "spark.sql.files.maxPartitionBytes": str(target),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(
-            max(2 * cores, -(-input_bytes // target))
-        ),
-        "spark.sql.shuffle.partitions": str(max(2 * cores, -(-input_bytes // target))),
-    }
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach, as named by ``spark.checkpoint.dir``.
 
@@ -62,12 +45,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for a table that was written with fewer splits than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from the written copy."""
     shared_folder(df.sparkSession)
