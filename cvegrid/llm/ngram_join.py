@@ -5,7 +5,7 @@ bands similar sets differ in at most k elements. The domain of elements is parti
 partition two such sets differ so little that they agree on all but one of its parts, so enumerating the subsets without
 one part gives a signature that both share. Sets with a common signature are compared exactly.
 
-Equal sets are one node from the start. In a group of nodes with a common signature, each is compared with the smallest;
+Equal sets are one node from the start. In a group of nodes with a common signature, each is compared with one of them;
 links become components, and only nodes of different components in a group are compared further, if their sizes and
 parity maps, which bound the difference of two sets from below, allow a link. So no link is lost, and what is compared by
 its elements is little more than what is linked.
@@ -260,14 +260,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = W
     classes = named.where("size > 0").groupBy("node").agg(
         F.min("id").alias("id"), F.any_value("size").alias("size"), F.any_value("parity").alias("parity"))
     signs = signed(texts, n, similarity).repartition("signature")
-    shared = signs.groupBy("signature").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
-    groups = stored(signs.join(shared, "signature").select("signature", "node", "hub").distinct(), "groups")
+    # any node serves as a group's hub; drawn by group, so that a node of many groups meets many hubs
+    drawn = F.min_by("node", F.xxhash64("signature", "node")).alias("hub")
+    shared = signs.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"), drawn).where("low < high")
+    groups = stored(signs.join(shared.select("signature", "hub"), "signature").select("signature", "node", "hub").distinct(), "groups")
     members = stored(classes.join(groups.select("node").distinct(), "node"), "members")
     left = members.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("parity").alias("parity_a"))
     right = members.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("parity").alias("parity_b"))
     may_link = _may_link(similarity, "size_a", "parity_a", "size_b", "parity_b")
     stars = stored(
-        groups.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        groups.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
         .join(right, "b").join(left, "a").where(may_link).select("a", "b"), "pairs")
     sets = stored(_sets(texts, members.select("node", "id"), n), "sets")
     links = stored(_linked(stars, sets, similarity), "linked")
