@@ -4,15 +4,14 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.crawl_state import log_rows, progress_table
-from ..operators.merge import union_all
+from ..operators.crawl_state import content_table, log_rows
 from ..session import scratch
 from ..sources import EPSS, OSV_FILES
 from ..streaming.ingest import ingest
 from ..streaming.store import Store
 from .catalog_feeds import nvd_pages, osv_members
 from .corpus import NOW, Corpus, with_sql
-from .enrich import outcome_rows, outcomes, seed_and_claim
+from .enrich import read_log, run_round
 from .registry import query
 from .sync import sync_all
 
@@ -87,30 +86,45 @@ def feed_sync(c: Corpus) -> DataFrame:
     return rows.select(*_COLUMNS, F.array_join("raw_sources", ",").alias("raw_sources"))
 
 
-@query("crawl_round", with_sql("vulns page_refs", """
-, claimed AS (SELECT r.cve_id, r.url FROM page_refs r JOIN vulns v ON v.cve_id = r.cve_id
-  ORDER BY v.cisa_kev DESC, v.epss_score DESC NULLS LAST, v.cvss_score DESC NULLS LAST, r.cve_id, r.url LIMIT 500)
-SELECT r.cve_id, r.url, CASE WHEN c.url IS NULL THEN 'pending' WHEN page_id % 10 = 9 THEN 'claimed'
-    WHEN page_id % 10 = 8 THEN 'pending' WHEN page_id % 4 = 0 THEN 'complete' ELSE 'claimed' END AS status,
-  CASE WHEN c.url IS NOT NULL AND page_id % 10 = 8 THEN 1 ELSE 0 END AS attempts,
-  nullif(regexp_extract(r.url, 'https?://([^/]+)', 1), '') AS domain
-FROM page_refs r LEFT JOIN claimed c ON c.cve_id = r.cve_id AND c.url = r.url"""))
-def crawl_round(c: Corpus) -> DataFrame:
-    """Seed, claim, join what was fetched, log the outcome, read the queue again."""
+#: Claims of a round: fewer than there are pages, so that the order of claims decides.
+_LIMIT = 60
+_CLAIMED = f""", claimed AS (SELECT r.cve_id, r.url FROM page_refs r JOIN vulns v ON v.cve_id = r.cve_id
+  ORDER BY v.cisa_kev DESC, v.epss_score DESC NULLS LAST, v.cvss_score DESC NULLS LAST, r.cve_id, r.url LIMIT {_LIMIT})"""
+
+
+def _two_rounds(c: Corpus) -> tuple[str, DataFrame]:
+    """A round whose claims are lost, and one that frees them by a lease, claims again and stores what was fetched."""
     refs, tenth = c.page_references, F.col("page_id") % 10
     known = refs.where(F.col("page_id") % 3 == 0).withColumn("domain", F.regexp_extract("url", r"https?://([^/]+)", 1))
-    log = log_rows(known, "seed", NOW - timedelta(days=1), F.col("domain"))
     path = scratch(c.spark, "crawl")
-    log.write.parquet(f"{path}/day=1")
-    log = c.spark.read.parquet(f"{path}/day=1")
-    seed_and_claim(log, refs, c.vulns, NOW).write.parquet(f"{path}/day=2")
-    logged = c.spark.read.parquet(f"{path}/day=2")
+    log_rows(known, "seed", NOW - timedelta(days=3), F.col("domain")).write.parquet(f"{path}/step=0-seeds")
     landed = refs.where(tenth != 9).select(
         "cve_id", "url", F.when(tenth == 8, 404).otherwise(200).alias("status"), F.encode("html", "UTF-8").alias("body")
     )
     vectors = refs.where(F.col("page_id") % 4 == 0).select(
         "cve_id", "url", F.array_repeat(F.lit(0.5).cast("float"), 8).alias("embedding")
     )
-    jobs = outcomes(logged.where(F.col("event") == "claim"), landed, vectors, width=8)
-    whole = union_all(log, logged, outcome_rows(jobs, NOW + timedelta(minutes=5)))
-    return progress_table(whole)
+    nothing = landed.limit(0)
+    run_round(c.spark, path, refs, c.vulns, nothing, vectors, NOW - timedelta(days=2), _LIMIT, 24, 8)
+    return path, run_round(c.spark, path, refs, c.vulns, landed, vectors, NOW, _LIMIT, 24, 8)
+
+
+@query("crawl_round", with_sql("vulns page_refs", _CLAIMED + """
+SELECT r.cve_id, r.url, CASE WHEN c.url IS NULL THEN 'pending' WHEN page_id % 10 = 9 THEN 'claimed'
+    WHEN page_id % 10 = 8 THEN 'pending' WHEN page_id % 4 = 0 THEN 'complete' ELSE 'claimed' END AS status,
+  CASE WHEN c.url IS NOT NULL AND page_id % 10 = 8 THEN 1 ELSE 0 END AS attempts,
+  nullif(regexp_extract(r.url, 'https?://([^/]+)', 1), '') AS domain
+FROM page_refs r LEFT JOIN claimed c ON c.cve_id = r.cve_id AND c.url = r.url"""))
+def crawl_round(c: Corpus) -> DataFrame:
+    """The work queue after two rounds with a lease."""
+    return _two_rounds(c)[1]
+
+
+@query("stored_pages", with_sql("vulns page_refs", _CLAIMED + """
+SELECT r.cve_id, r.url, 8 AS width, 'complete' AS status FROM page_refs r JOIN claimed c ON c.cve_id = r.cve_id AND c.url = r.url
+WHERE page_id % 10 < 8 AND page_id % 4 = 0"""))
+def stored_pages(c: Corpus) -> DataFrame:
+    """Pages stored by the rounds, each with its vector and the state of its job."""
+    path, queue = _two_rounds(c)
+    pages = content_table(read_log(c.spark, path)).where(F.col("content") != "")
+    return pages.join(queue, ["cve_id", "url"]).select("cve_id", "url", F.size("embedding").alias("width"), "status")
