@@ -1,35 +1,16 @@
-"""Text expressions; all stay in the JVM."""
+"""Text expressions; all but the page scan stay in the JVM."""
 
-from pyspark.sql import Column, functions as F
+from collections import Counter
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from ..schemas import CHARS_PER_TOKEN, ECOSYSTEM_ALIASES, MAX_TEXT_BYTES
 
 # Elements whose content is not article text.
 DROPPED_ELEMENTS = ["script", "style", "nav", "header", "footer", "noscript", "iframe"]
 
-# Named character references seen in advisory pages.
-NAMED_REFERENCES = {
-    "quot": '"',
-    "apos": "'",
-    "lt": "<",
-    "gt": ">",
-    "nbsp": " ",
-    "copy": "©",
-    "reg": "®",
-    "trade": "™",
-    "middot": "·",
-    "bull": "•",
-    "hellip": "…",
-    "ndash": "–",
-    "mdash": "—",
-    "lsquo": "‘",
-    "rsquo": "’",
-    "ldquo": "“",
-    "rdquo": "”",
-    "laquo": "«",
-    "raquo": "»",
-}
-
 
 def fixed(col: Column, digits: int) -> Column:
     """Fixed-point text without thousands separators, half-even on the exact value."""
@@ -96,49 +77,59 @@ def cap_utf8(col: Column, max_bytes: int) -> Column:
     return F.when(F.octet_length(col) > max_bytes, cut).otherwise(col)
 
 
-def _code_point(digits: Column, base: int) -> Column:
-    number = F.conv(digits, base, 10).cast("int")
-    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    # zero and lone surrogates are no characters
-    return F.when((number == 0) | number.between(0xD800, 0xDFFF), F.lit("�")).otherwise(char)
-
-
-def decode_references(col: Column) -> Column:
-    """Character references to characters; ``&amp;`` last, so nothing decodes twice."""
-    out = col
-    for name, char in NAMED_REFERENCES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-
-    def numeric(piece: Column) -> Column:
-        dec = F.regexp_extract(piece, r"^(\d{1,6});", 1)
-        hexa = F.regexp_extract(piece, r"^[xX]([0-9a-fA-F]{1,5});", 1)
-        rest = F.regexp_replace(piece, r"^[xX]?[0-9a-fA-F]+;", "")
-        return (
-            F.when(dec != "", F.concat(_code_point(dec, 10), rest))
-            .when(hexa != "", F.concat(_code_point(hexa, 16), rest))
-            .otherwise(F.concat(F.lit("&#"), piece))
-        )
-
-    pieces = F.split(out, "&#")
-    joined = F.concat(
-        F.get(pieces, F.lit(0)),
-        F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), numeric), ""),
-    )
-    out = F.when(out.contains("&#"), joined).otherwise(out)
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+#: Elements without content or end tag.
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
+class _PageText(HTMLParser):
+    """One scan over a page: text outside dropped elements. Elements that are left open end with the one around them."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[str] = []
+        self.counts: Counter = Counter()
+        self.dropped, self.parts = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in _VOID:
+            self.open.append(tag)
+            self.counts[tag] += 1
+            self.dropped += tag in _DROPPED
+
+    def handle_endtag(self, tag):
+        if self.counts[tag]:
+            closed = None
+            while closed != tag:
+                closed = self.open.pop()
+                self.counts[closed] -= 1
+                self.dropped -= closed in _DROPPED
+
+    def handle_startendtag(self, tag, attrs):
+        """A self-closed element holds nothing."""
+
+    def handle_data(self, data):
+        if not self.dropped:
+            self.parts.append(data)
+
+
+_DROPPED = frozenset([*DROPPED_ELEMENTS, "head"])
+
+
+@F.pandas_udf(T.StringType())
+def _page_text(pages: pd.Series) -> pd.Series:
+    out = []
+    for page in pages:
+        parser = _PageText()
+        parser.feed(page)
+        parser.close()
+        out.append("".join(parser.parts))
+    return pd.Series(out, dtype=object)
 
 
 def html_text(html: Column, max_bytes: int = MAX_TEXT_BYTES) -> Column:
-    """Readable text of a page: body only, page furniture removed, blanks collapsed.
+    """Readable text of a page: head and page furniture removed, character references decoded, blanks collapsed.
 
     A fragment without body yields its own text. Text nodes of neighbouring
     elements join without a separator. Empty input gives ''.
     """
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in DROPPED_ELEMENTS:
-        out = F.regexp_replace(out, rf"(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>", "")
-    body = F.regexp_extract(out, r"(?is)<body(\s[^>]*)?>(.*?)(</body\s*>|\z)", 2)
-    bare = F.regexp_replace(out, r"(?is)<head(\s[^>]*)?>.*?</head\s*>", "")
-    out = F.when(out.rlike(r"(?i)<body[\s>]"), body).otherwise(bare)
-    out = F.regexp_replace(out, r"(?s)<[/!?a-zA-Z][^>]*>", "")
-    return cap_utf8(collapse_space(decode_references(F.coalesce(out, F.lit("")))), max_bytes)
+    return cap_utf8(collapse_space(_page_text(F.coalesce(html, F.lit("")))), max_bytes)

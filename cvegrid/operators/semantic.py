@@ -1,6 +1,5 @@
 """Vector search over advisory pages."""
 
-from collections.abc import Iterator
 from datetime import datetime
 
 import numpy as np

@@ -29,6 +29,12 @@ def test_html_text(spark):
     assert texts(spark, ["<p>&#8364;&#x1F600;&quot;&#xD800;</p>", "a  b", "<body>open end"]) == ['€😀"�', "a b", "open end"]
 
 
+def test_html_text_of_odd_pages(spark):
+    pages = ["<nav>a<nav>b</nav>LEAK</nav>x", "<p>a</p><script>var unclosed = 1;", "<div><nav>menu</div>text",
+             "<p title='a>b'>seen</p>", "caf&eacute; &le; &amp;lt;", "a</b></i>b<br/>c", "<body>" + "<div>" * 3000 + "deep"]
+    assert texts(spark, pages) == ["x", "a", "text", "seen", "café ≤ &lt;", "abc", "deep"]
+
+
 def test_text_cap_counts_bytes(spark):
     assert texts(spark, ["<p>" + "a " * 60_000 + "</p>"])[0].__len__() == 50_000
     got = spark.range(1).select(cap_utf8(F.lit("aé€"), 2).alias("a"), cap_utf8(F.lit("aé€"), 3).alias("b"),
