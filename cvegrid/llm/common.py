@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +25,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files: cuts the lineage, computes once."""
     path = scratch(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -83,13 +82,3 @@ def worker_state(key: tuple, make: Callable):
 def words(text: str | None) -> list[bytes]:
     """Runs of anything but the ASCII space and U+0009 to U+000D, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
-def span_text(spans: Iterable[tuple[str, int, int]], kinds: tuple[str, ...]) -> str:
-    """``kind:start:end`` by start, then kind as listed, then end, comma-joined."""
-    order = {kind: i for i, kind in enumerate(kinds)}
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], order[s[0]], s[2])))
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
