@@ -29,8 +29,8 @@ from .common import Memo, session, stored, worker_state
 WORDS = 3
 #: Similarity in hundredths from which two sets are linked.
 SIMILARITY = 90
-#: Partitions beyond those needed, so that a set with few empty parts need not sign them.
-SLACK = 2
+#: Partitions beyond those needed, and one more for so many differences, so that a set need not sign its empty parts.
+SLACK, PER_SLACK = 2, 32
 #: Nodes a task remembers having signed.
 SIGNED = 1_000_000
 
@@ -89,7 +89,7 @@ def _ends(similarity: int) -> list[int]:
 
 def shape(k: int) -> tuple[int, int]:
     """Partitions and their parts for sets that differ in at most ``k`` elements: in one partition at most one does."""
-    return k // 2 + 1 + SLACK, 3 if k <= 8 else 2
+    return k // 2 + 1 + SLACK + k // PER_SLACK, 3 if k <= 8 else 2
 
 
 def signatures(grams: np.ndarray, similarity: int) -> np.ndarray:
