@@ -104,10 +104,76 @@ def op5_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _secret_part(rank: int, kind: str, pattern: str, holds: str, value: str) -> str:
+    """The findings of a kind with their places: the lengths of pieces and matches before, added up."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, source, lang, {rank} AS rank, '{kind}' AS kind, starts[i] AS s, starts[i] + len(m[i]) AS e, {value} AS v FROM (
+    SELECT *, [CAST(list_sum([len(x) FOR x IN parts[:i]]) + coalesce(list_sum([len(x) FOR x IN m[:i - 1]]), 0) AS BIGINT)
+        FOR i IN range(1, len(m) + 1)] AS starts
+    FROM (SELECT doc_id, source, lang, regexp_extract_all(t, '{quoted}') AS m, string_split_regex(t, '{quoted}') AS parts
+      FROM texts)
+  ), unnest(range(1, len(m) + 1)) u(i) WHERE {holds}"""
+
+
+_SECRET = "regexp_extract(m[i], '" + secret_scan.ASSIGN.replace("'", "''") + "', 2)"
+_MIXED = " AND ".join(f"regexp_matches(m[i], '{c}')" for c in ("[a-z]", "[A-Z]", "[0-9]"))
+_SECRET_PARTS = " UNION ALL ".join([
+    _secret_part(0, "assign", secret_scan.ASSIGN, f"len({_SECRET}) >= 12", _SECRET),
+    _secret_part(1, "access", secret_scan.ACCESS, "true", "m[i]"),
+    _secret_part(2, "hex", secret_scan.HEX, "true", "m[i]"),
+    _secret_part(3, "owned", "[A-Za-z0-9+/_=-]{20,}", _MIXED, "m[i]"),
+])
+OP5_SQL = f"""
+WITH texts AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+found AS ({_SECRET_PARTS}),
+apart AS (
+  SELECT * FROM found f WHERE kind <> 'owned' OR NOT EXISTS (
+    SELECT 1 FROM found b WHERE b.doc_id = f.doc_id AND b.kind <> 'owned' AND b.s < f.e AND f.s < b.e)
+), held AS (
+  SELECT v, count(DISTINCT coalesce(source, chr(0))) > {secret_scan.MAX_OWNERS}
+    OR count(DISTINCT coalesce(source, chr(0)) || '/' || coalesce(lang, chr(0))) > {secret_scan.MAX_REPOSITORIES} AS copied
+  FROM apart GROUP BY v
+), judged AS (SELECT a.*, copied FROM apart a JOIN held h ON h.v = a.v WHERE kind <> 'owned' OR NOT copied),
+lines AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (NOT copied) AS n_owned, count(*) FILTER (copied) AS n_copied,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (kind <> 'owned') AS base,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned,
+  coalesce(n_copied, 0) AS n_copied
+FROM documents d LEFT JOIN lines l ON l.doc_id = d.doc_id
+"""
+
+
 def op6_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(table(spark, folder, "documents"))
 
 
+OP6_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+           ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS g FROM split
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+    JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  WHERE 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(x.n) + any_value(y.n) - count(*))
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.other) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reached r ON r.doc_id = d.doc_id GROUP BY d.doc_id, s.n
+"""
+
+
 def op7_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     network = quality_cnn.fit(docs, table(spark, folder, "labels"), ~in_fold(F.col("doc_id"), 4, 2))
@@ -147,4 +213,8 @@ QUERIES = {
     "op9_bpe_prefix": op9_bpe_prefix,
     "op10_huffman_tokens": op10_huffman_tokens,
 }
-ORACLES = {"op3_curriculum_mix": OP3_SQL}
+ORACLES = {
+    "op3_curriculum_mix": OP3_SQL,
+    "op5_secret_ownership": OP5_SQL,
+    "op6_partenum_join": OP6_SQL,
+}
