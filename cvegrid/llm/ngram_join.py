@@ -189,6 +189,20 @@ def signed(texts: DataFrame, n: int, similarity: int) -> DataFrame:
     return texts.select("text").mapInPandas(sign, "signature long, node long")
 
 
+def _named(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(node, id)`` of the nodes in pairs."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return members.join(nodes, "node").select("node", "id")
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components, with these, the smaller first."""
+    a, b = roots.withColumnsRenamed({"node": "a", "root": "x"}), roots.withColumnsRenamed({"node": "b", "root": "y"})
+    rooted = pairs.join(a, "a", "left").join(b, "b", "left")
+    x, y = F.coalesce("x", "a"), F.coalesce("y", "b")
+    return rooted.where(x != y).select("a", "b", F.least(x, y).alias("root_a"), F.greatest(x, y).alias("root_b"))
+
+
 def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``(node, grams)`` of the wanted nodes ``(node, id)``, from the texts of one id each."""
 
@@ -271,21 +285,27 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = W
     stars = stored(
         groups.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
         .join(right, "b").join(left, "a").where(may_link).select("a", "b"), "pairs")
-    sets = stored(_sets(texts, members.select("node", "id"), n), "sets")
-    links = stored(_linked(stars, sets, similarity), "linked")
+    sets = stored(_sets(texts, _named(members, stars), n), "sets")
+    # one comparison a node first; then, between the components that gives, one for each two that have a pair left
+    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = stored(_linked(first, sets, similarity), "linked")
     roots = stored(components(links), "roots")
+    left_over = stored(_between(stars, roots).join(first, ["a", "b"], "left_anti"), "pairs")
+    if not left_over.isEmpty():
+        each = left_over.groupBy("root_a", "root_b").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+        links = stored(links.unionByName(_linked(each, sets, similarity)), "linked")
+        roots = stored(components(links), "roots")
     labelled = groups.select("signature", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     open_groups = stored(labelled.join(mixed.select("signature"), "signature"), "open")
     one = open_groups.withColumnsRenamed({"node": "a", "root": "root_a"}).join(left, "a")
     other = open_groups.withColumnsRenamed({"node": "b", "root": "root_b"}).join(right, "b")
-    across = (
-        one.join(other, (one["signature"] == other["signature"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & may_link)
-        .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    )
-    more = stored(_linked(across, sets, similarity), "linked")
-    if not more.isEmpty():
-        roots = stored(components(links.unionByName(more)), "roots")
+    apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
+    across = stored(one.join(other, (one["signature"] == other["signature"]) & apart & may_link).select("a", "b").distinct(), "pairs")
+    if not across.isEmpty():
+        more = _linked(across, stored(_sets(texts, _named(members, across), n), "sets"), similarity)
+        links = stored(links.unionByName(more), "linked")
+        roots = stored(components(links), "roots")
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     labels = rooted.join(least, "root").select("node", "component_id")
