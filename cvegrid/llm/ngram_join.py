@@ -286,22 +286,31 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = W
         groups.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
         .join(right, "b").join(left, "a").where(may_link).select("a", "b"), "pairs")
     sets = stored(_sets(texts, _named(members, stars), n), "sets")
-    # one comparison a node first; then, between the components that gives, one for each two that have a pair left
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stored(_linked(first, sets, similarity), "linked")
+    # one comparison a node first; then, between the components that gives, one for each two that have a pair left; then all
+    tested = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = stored(_linked(tested, sets, similarity), "linked")
     roots = stored(components(links), "roots")
-    left_over = stored(_between(stars, roots).join(first, ["a", "b"], "left_anti"), "pairs")
-    if not left_over.isEmpty():
-        each = left_over.groupBy("root_a", "root_b").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-        links = stored(links.unionByName(_linked(each, sets, similarity)), "linked")
+    for one_each in (True, False):
+        left_over = stored(_between(stars, roots).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if left_over.isEmpty():
+            break
+        pairs = left_over.select("a", "b")
+        if one_each:
+            pairs = left_over.groupBy("root_a", "root_b").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+        links = stored(links.unionByName(_linked(pairs, sets, similarity)), "linked")
         roots = stored(components(links), "roots")
-    labelled = groups.select("signature", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        tested = stored(tested.unionByName(pairs), "pairs")
+    # what is left are pairs without their group's hub; each group's rows are dealt once, for both sides
+    labelled = groups.where("node <> hub").select("signature", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     open_groups = stored(labelled.join(mixed.select("signature"), "signature"), "open")
-    one = open_groups.withColumnsRenamed({"node": "a", "root": "root_a"}).join(left, "a")
-    other = open_groups.withColumnsRenamed({"node": "b", "root": "root_b"}).join(right, "b")
+    dealt = open_groups.join(members, "node").select("signature", "node", "root", "size", "parity").repartition("signature")
+    one, other = (
+        dealt.toDF("signature", side, f"root_{side}", f"size_{side}", f"parity_{side}") for side in ("a", "b")
+    )
     apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-    across = stored(one.join(other, (one["signature"] == other["signature"]) & apart & may_link).select("a", "b").distinct(), "pairs")
+    across = stored(
+        one.join(other, "signature").where(apart & may_link).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     if not across.isEmpty():
         more = _linked(across, stored(_sets(texts, _named(members, across), n), "sets"), similarity)
         links = stored(links.unionByName(more), "linked")
