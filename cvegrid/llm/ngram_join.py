@@ -131,6 +131,32 @@ def parity(grams: np.ndarray) -> list[int]:
     return np.packbits(flips.astype(np.uint8)).view(np.int64).tolist()
 
 
+#: Sets from this size on have a second, wider map of so many bits: the first one says little about long texts.
+WIDE_FROM, WIDE = 1024, 1 << 14
+
+
+def wide_parity(grams: np.ndarray) -> bytes | None:
+    if len(grams) < WIDE_FROM:
+        return None
+    return np.packbits((np.bincount((grams >> np.uint64(20)).astype(np.int64) % WIDE, minlength=WIDE) & 1).astype(np.uint8)).tobytes()
+
+
+def _narrowed(pairs: DataFrame, members: DataFrame, similarity: int) -> DataFrame:
+    """The pairs ``(a, b)`` that their wide maps allow too; a pair with a small set stays."""
+
+    @pandas_udf("long")
+    def differ(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([
+            0 if a is None or b is None else int(np.bitwise_count(np.frombuffer(a, np.uint64) ^ np.frombuffer(b, np.uint64)).sum())
+            for a, b in zip(left, right)
+        ])
+
+    wide = members.where("wide IS NOT NULL").select("node", "size", "wide")
+    both = pairs.join(wide.toDF("b", "size_b", "wide_b"), "b", "left").join(wide.toDF("a", "size_a", "wide_a"), "a", "left")
+    apart = (100 + similarity) * differ("wide_a", "wide_b") > (100 - similarity) * F.coalesce(F.col("size_a") + F.col("size_b"), F.lit(0))
+    return both.where(~apart).select("a", "b")
+
+
 def _may_link(similarity: int, size_a: str, parity_a: str, size_b: str, parity_b: str) -> Column:
     """Whether sizes and parity maps allow the similarity: no similar pair is lost, few others stay."""
     differ = reduce(
@@ -152,15 +178,16 @@ def _shingler(n: int) -> Shingler:
 
 
 def nodes(texts: DataFrame, n: int) -> DataFrame:
-    """Every row's id, set size, node and parity map."""
+    """Every row's id, set size, node and parity maps."""
 
-    @pandas_udf("size long, node long, parity array<long>")
+    @pandas_udf("size long, node long, parity array<long>, wide binary")
     def named(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [_shingler(n).shingles(t) for t in batch]
-            yield pd.DataFrame({"size": [len(s) for s in sets], "node": [node(s) for s in sets], "parity": [parity(s) for s in sets]})
+            yield pd.DataFrame({"size": [len(s) for s in sets], "node": [node(s) for s in sets], "parity": [parity(s) for s in sets],
+                                "wide": [wide_parity(s) for s in sets]})
 
-    return texts.select("id", named("text").alias("set")).select("id", "set.size", "set.node", "set.parity")
+    return texts.select("id", named("text").alias("set")).select("id", "set.size", "set.node", "set.parity", "set.wide")
 
 
 def signed(texts: DataFrame, n: int, similarity: int) -> DataFrame:
@@ -272,7 +299,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = W
     texts = _texts(docs, id_col, text)
     named = stored(nodes(texts, n), "nodes")
     classes = named.where("size > 0").groupBy("node").agg(
-        F.min("id").alias("id"), F.any_value("size").alias("size"), F.any_value("parity").alias("parity"))
+        F.min("id").alias("id"), F.any_value("size").alias("size"), F.any_value("parity").alias("parity"),
+        F.any_value("wide").alias("wide"))
     signs = signed(texts, n, similarity).repartition("signature")
     # any node serves as a group's hub; drawn by group, so that a node of many groups meets many hubs
     drawn = F.min_by("node", F.xxhash64("signature", "node")).alias("hub")
@@ -282,9 +310,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = W
     left = members.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("parity").alias("parity_a"))
     right = members.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("parity").alias("parity_b"))
     may_link = _may_link(similarity, "size_a", "parity_a", "size_b", "parity_b")
-    stars = stored(
+    may = (
         groups.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-        .join(right, "b").join(left, "a").where(may_link).select("a", "b"), "pairs")
+        .join(right, "b").join(left, "a").where(may_link).select("a", "b"))
+    stars = stored(_narrowed(may, members, similarity), "pairs")
     sets = stored(_sets(texts, _named(members, stars), n), "sets")
     # one comparison a node first; then, between the components that gives, one for each two that have a pair left; then all
     tested = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -309,8 +338,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = W
         dealt.toDF("signature", side, f"root_{side}", f"size_{side}", f"parity_{side}") for side in ("a", "b")
     )
     apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-    across = stored(
-        one.join(other, "signature").where(apart & may_link).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    may = one.join(other, "signature").where(apart & may_link).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    across = stored(_narrowed(may, members, similarity), "pairs")
     if not across.isEmpty():
         more = _linked(across, stored(_sets(texts, _named(members, across), n), "sets"), similarity)
         links = stored(links.unionByName(more), "linked")
