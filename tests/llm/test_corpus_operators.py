@@ -269,6 +269,19 @@ def test_join_equals_brute_force(spark, n, similarity):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain_components(dict(enumerate(texts)), n, similarity)
 
 
+def test_long_texts_are_joined_exactly(spark):
+    rnd = random.Random(12)
+    base = [f"w{rnd.randint(0, 10**6)}" for _ in range(4000)]
+    near, apart = list(base), list(base)
+    for words, changes in ((near, 50), (apart, 200)):
+        for at in rnd.sample(range(4000), changes):
+            words[at] = f"x{at}"
+    texts = {i: " ".join(t) for i, t in enumerate((base, near, apart, [f"y{i % 3900}" for i in range(4000)]))}
+    rows = ngram_join.join(documents(spark, *texts.values()), n=3, similarity=90).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain_components(texts, 3, 90)
+    assert [r.component_id for r in sorted(rows, key=lambda r: r.doc_id)] == [0, 0, 2, 3]
+
+
 def test_similar_sets_share_a_signature():
     rnd = random.Random(3)
     for similarity in (90, 80):
