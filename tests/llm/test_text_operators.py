@@ -181,6 +181,16 @@ def test_repetition_verdict_and_awkward_rows(spark):
     assert repetition.judge(empty(spark)).count() == 0
 
 
+def test_words_said_a_few_times_in_a_row_are_rejected(spark):
+    runs = [" ".join(f"w{i} " * times for i in range(40)) for times in (3, 4, 5, 8)]
+    fresh = " ".join(f"v{i}" for i in range(200))
+    half = f"{fresh} " + " ".join(f"w{i} " * 5 for i in range(60))
+    twice = f"{fresh} one two three four five six seven {fresh[:20]} one two three four five six seven"
+    rows = {r.doc_id: r.repetition for r in repetition.judge(documents(spark, *runs, half, fresh, twice)).collect()}
+    assert not any(r.base_failed for r in rows.values()) and all(r.longest_repeat < 8 for r in rows.values())
+    assert [rows[i].kept for i in range(7)] == [False] * 5 + [True] * 2
+
+
 # ---------------------------------------------------------------- byte-level BPE
 
 
