@@ -1,7 +1,7 @@
 """Toxic passages: maximal-scoring segments over words' log-odds, judged by extreme-value statistics.
 
 A word's score is its log-odds of standing in toxic against clean documents, with a Dirichlet prior from all documents,
-and zero where that is within its error; a small drift makes ordinary text score below zero. One linear scan finds all
+and zero where its counts may be chance by a likelihood ratio; a small drift makes ordinary text score below zero. One linear scan finds all
 maximal-scoring segments of a text. A segment's score is measured against what chance makes of a clean text as long,
 and the best one of a text, so standardized, gives the text's probability.
 """
@@ -25,7 +25,8 @@ from .common import Memo, session, stored, words, worker_state
 BUCKETS = 1 << 17
 #: Bound of the labelled sample, documents of each label.
 SAMPLE = 10_000
-#: Documents' worth of the prior; least log-odds that count, in standard errors and as such; score of every word besides.
+#: Documents' worth of the prior; least evidence that counts, in standard errors, and least log-odds; score of every word
+#: besides.
 PRIOR, ERRORS, LEAST, DRIFT = 20.0, 3.5, 2.0, 0.25
 #: Weight of clean against toxic documents in the calibration.
 CLEAN = 4.0
@@ -113,17 +114,29 @@ class Model:
         return out
 
 
+def likelihood_ratio(toxic: np.ndarray, clean: np.ndarray, documents: tuple[int, int]) -> np.ndarray:
+    """Twice the log-likelihood ratio of counts in toxic and clean documents against one rate in both."""
+    t, c = (max(x, 1) for x in documents)
+    both = np.maximum(toxic + clean, 1)
+    return 2 * sum(
+        n * np.log(np.where(n > 0, n, 1) * (t + c) / (both * size)) * (n > 0) for n, size in ((toxic, t), (clean, c)))
+
+
+def least_evidence(n_words: int) -> float:
+    """What must be exceeded: ``ERRORS`` standard errors, and what the best of so many words reaches by chance."""
+    return max(ERRORS**2, 2 * np.log(max(n_words, 1)))
+
+
 def log_odds(everything: np.ndarray, toxic: np.ndarray, clean: np.ndarray, documents: tuple[int, int, int]) -> np.ndarray:
-    """Log-odds with the corpus as Dirichlet prior; zero where they are small or uncertain, and for no word."""
+    """Log-odds with the corpus as Dirichlet prior; zero where they are small.
+
+    The prior has one more occurrence of each word, dealt to the classes by their sizes: however rare a word is, few
+    occurrences in one class and none in the other do not give it the score of many.
+    """
     n, t, c = (max(x, 1) for x in documents)
     prior = PRIOR * (everything + 0.01) / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rate_t, rate_c = (toxic + prior) / (t + PRIOR), (clean + prior) / (c + PRIOR)
-        odds = np.log(rate_t / rate_c)
-        error = np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
-    scores = np.where((np.abs(odds) > ERRORS * error) & (np.abs(odds) > LEAST), odds, 0.0)
-    scores[_NOTHING] = 0.0
-    return scores.astype(np.float32)
+    odds = np.log((toxic + prior + t / (t + c)) / (t + PRIOR)) - np.log((clean + prior + c / (t + c)) / (c + PRIOR))
+    return np.where(np.abs(odds) > LEAST, odds, 0.0)
 
 
 def extreme_rate(scores: np.ndarray, shares: np.ndarray) -> float:
@@ -213,7 +226,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     everything = _arrays(_counts(texts, F.lit(0))).get(0, none)
     classes = _arrays(_counts(sample, F.col("label")))
     toxic, clean = classes.get(1, none), classes.get(0, none)
-    scores = log_odds(everything[0], toxic[0], clean[0], (everything[1], toxic[1], clean[1]))
+    least = least_evidence(np.count_nonzero(toxic[0] + clean[0]))
+    certain = likelihood_ratio(toxic[0], clean[0], (toxic[1], clean[1])) > least
+    scores = np.where(certain, log_odds(everything[0], toxic[0], clean[0], (everything[1], toxic[1], clean[1])), 0.0)
+    scores[_NOTHING] = 0.0
     if not (toxic[1] and clean[1]):
         scores[:] = 0
     shares = clean[0] + PRIOR * (everything[0] + 0.01) / max(everything[1], 1)

@@ -172,6 +172,31 @@ def test_toxic_passages_are_found_and_clean_texts_left(spark):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+def test_rare_words_of_toxic_documents_only_count(spark):
+    """Each of 100 words is in 6 of 3,000 documents, which are toxic."""
+    rnd = random.Random(4)
+    rare = [a + b + "rk" for a in "bcdfghjklm" for b in "aeiouyäöüé"]
+    texts = []
+    for i in range(3000):
+        found = prose(rnd)
+        if i % 10 == 0:
+            found[30:32] = [rare[i // 10 % 100], rare[(i // 10 * 7 + 1) % 100]]
+        texts.append(" ".join(found))
+    docs, known = documents(spark, *texts), labels(spark, [(i, 1, int(i % 10 == 0)) for i in range(2400)])
+    rows = {r.doc_id: r.toxicity for r in toxicity.score(docs, toxicity.fit(docs, known, F.lit(True))).collect()}
+    assert all((rows[i].score >= 0.5) == (i % 10 == 0) for i in range(3000))
+    assert [(p.first, p.end) for p in rows[2900].passages] == [(30, 32)]
+
+
+def test_evidence_grows_with_the_count():
+    n = np.arange(1.0, 15)
+    found = toxicity.likelihood_ratio(n, 0 * n, (342, 2709))
+    odds = toxicity.log_odds(3 * n, n, 0 * n, (10_000, 342, 2709))
+    assert (np.diff(found) > 0).all() and (np.diff(odds) > 0).all()
+    assert found[13] > toxicity.least_evidence(150_000) and found[0] < toxicity.least_evidence(1)
+    assert (toxicity.likelihood_ratio(np.array([0.0, 10.0]), np.array([0.0, 100.0]), (100, 1000)) < 1e-9).all()
+
+
 def test_toxicity_without_labels_marks_nothing(spark):
     model = toxicity.fit(awkward(spark), labels(spark, []), F.lit(True))
     assert all(r.toxicity.score < 0.5 for r in toxicity.score(awkward(spark), model).collect())
