@@ -9,9 +9,10 @@ and the best one of a text, so standardized, gives the text's probability.
 from __future__ import annotations
 
 import re
-import zlib
+import uuid
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,6 @@ from pyspark.sql.functions import pandas_udf
 
 from .common import Memo, session, stored, words, worker_state
 
-#: Words share this many counters, whatever the corpus: what is sent to tasks has this size.
-BUCKETS = 1 << 17
 #: Bound of the labelled sample, documents of each label.
 SAMPLE = 10_000
 #: Documents' worth of the prior; least evidence that counts, in standard errors, and least log-odds; score of every word
@@ -33,27 +32,23 @@ CLEAN = 4.0
 #: Segments expected by chance in a text, under which a segment is significant.
 SIGNIFICANT = 0.05
 _NO_LETTER = re.compile(r"[\W\d_]+")
-_NOTHING = BUCKETS - 1
 
 
-def counter(word: bytes) -> int:
-    """The counter of a word: its letters, lowered."""
-    letters = _NO_LETTER.sub("", word.decode("utf-8", "surrogatepass").lower())
-    return zlib.crc32(letters.encode("utf-8", "surrogatepass")) % _NOTHING if letters else _NOTHING
+def letters(word: bytes) -> bytes:
+    """What counts as the word: its letters, lowered; empty if there are none."""
+    found = _NO_LETTER.sub("", word.decode("utf-8", "surrogatepass").lower()).encode("utf-8", "surrogatepass")
+    return word if found == word else found
 
 
-class Reader:
-    def __init__(self):
-        self.memo = Memo(counter)
+def _letters() -> Memo:
+    return worker_state(("toxicity",), lambda: Memo(letters))
 
-    def read(self, text: str) -> np.ndarray:
-        """The counters of all words."""
-        found = words(text)
-        return np.fromiter(map(self.memo.__getitem__, found), np.int64, len(found))
 
-
-def _reader() -> Reader:
-    return worker_state(("toxicity",), Reader)
+def distinct(text: str) -> set[bytes]:
+    """The words of a text."""
+    found = set(map(_letters().__getitem__, words(text)))
+    found.discard(b"")
+    return found
 
 
 def segments(scores: np.ndarray, positive: np.ndarray) -> list[tuple[int, int, float]]:
@@ -81,14 +76,19 @@ def segments(scores: np.ndarray, positive: np.ndarray) -> list[tuple[int, int, f
 
 @dataclass
 class Model:
-    scores: np.ndarray  # by counter
+    scores: dict[bytes, float]  # of the words that have one
     rate: float  # of the extreme-value distribution
     places: float  # chance segments start in so many of a text's words
     slope: float
     offset: float
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)  # of the scores
+
+    def word_score(self, word: bytes) -> float:
+        return self.scores.get(letters(word), 0.0)
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-        score = self.scores[_reader().read(text)].astype(np.float64) - DRIFT
+        known, found = worker_state(("toxicity", self.name), lambda: Memo(self.word_score)), words(text)
+        score = np.fromiter(map(known.__getitem__, found), np.float64, len(found)) - DRIFT
         return len(score), segments(score, np.flatnonzero(score > 0))
 
     def evidence(self, n: int, best: float) -> float:
@@ -173,38 +173,50 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(beta[0]), 0.0), float(beta[1])
 
 
-def _counts(texts: DataFrame, group: Column) -> DataFrame:
-    """``(group, counter, n)``: documents that hold each counter; counter -1 counts the documents themselves."""
+def _word_counts(sample: DataFrame) -> DataFrame:
+    """``(word, toxic, clean)``: labelled documents of each kind that hold the word."""
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[int, np.ndarray] = {}
-        reader = _reader()
         for batch in batches:
-            for group, text in zip(batch["group"], batch["text"]):
-                total = totals.setdefault(group, np.zeros(BUCKETS + 1, np.int64))
-                total[np.unique(reader.read(text))] += 1
-                total[BUCKETS] += 1
-        for group, total in totals.items():
-            used = np.flatnonzero(total)
-            yield pd.DataFrame({"group": group, "counter": np.where(used == BUCKETS, -1, used), "n": total[used]})
-
-    kinds = "group int, counter int, n long"
+            totals: dict[int, Counter] = {0: Counter(), 1: Counter()}
+            for label, text in zip(batch["label"], batch["text"]):
+                totals[label].update(distinct(text))
+            for label, total in totals.items():
+                n = np.fromiter(total.values(), np.int64, len(total))
+                yield pd.DataFrame({"word": list(total), "toxic": n * label, "clean": n * (1 - label)})
+
     return (
-        texts.select(group.cast("int").alias("group"), "text").mapInPandas(add_up, kinds)
-        .groupBy("group", "counter").agg(F.sum("n").alias("n"))
+        sample.select("label", "text").mapInPandas(add_up, "word binary, toxic long, clean long")
+        .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     )
 
 
-def _arrays(counts: DataFrame) -> dict[int, tuple[np.ndarray, int]]:
-    """By group: counts of all counters, and the number of documents. A few times ``BUCKETS`` rows, whatever the corpus."""
-    out: dict[int, np.ndarray] = {}
-    for row in counts.collect():
-        out.setdefault(row["group"], np.zeros(BUCKETS + 1))[row["counter"]] = row["n"]
-    return {g: (a[:BUCKETS], int(a[BUCKETS])) for g, a in out.items()}
+def _everywhere(texts: DataFrame, wanted: list[bytes]) -> tuple[np.ndarray, int, int]:
+    """Over all documents: how many hold each word, the words of all (each once a document), the number of documents."""
+    shipped = texts.sparkSession.sparkContext.broadcast({word: i for i, word in enumerate(wanted)})
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = shipped.value
+        total, size, n = np.zeros(len(number), np.int64), 0, 0
+        for batch in batches:
+            for text in batch["text"]:
+                found = distinct(text)
+                size, n = size + len(found), n + 1
+                for word in number.keys() & found:
+                    total[number[word]] += 1
+        used = np.flatnonzero(total)
+        yield pd.DataFrame({"word": [*used, -1, -2], "n": [*total[used], size, n]})
+
+    rows = texts.select("text").mapInPandas(add_up, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counts = {row["word"]: row["n"] for row in rows}
+    return np.array([counts.get(i, 0) for i in range(len(wanted))], float), counts.get(-1, 0), counts.get(-2, 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text: str = "text", rows: int = SAMPLE) -> Model:
-    """Counts over all documents, log-odds and calibration from a bounded sample of labelled ones.
+    """Log-odds and calibration from a bounded sample of labelled documents, with counts over all as prior.
+
+    Words are counted each for itself. The sample says which ones have evidence; those are counted in all documents, and
+    they alone are sent to tasks.
 
     ``usable`` is a condition on ``doc_id`` in ``labels``. Null ids and labels take no part; a document is toxic if any
     of its labels says so; copies of a text count once. Without labels of both kinds nothing scores.
@@ -222,18 +234,26 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
         texts.join(F.broadcast(chosen), "doc_id").groupBy(F.sha2("text", 256).alias("copy"), "label").agg(F.first("text").alias("text")),
         "toxicity",
     )
-    none = (np.zeros(BUCKETS), 0)
-    everything = _arrays(_counts(texts, F.lit(0))).get(0, none)
-    classes = _arrays(_counts(sample, F.col("label")))
-    toxic, clean = classes.get(1, none), classes.get(0, none)
-    least = least_evidence(np.count_nonzero(toxic[0] + clean[0]))
-    certain = likelihood_ratio(toxic[0], clean[0], (toxic[1], clean[1])) > least
-    scores = np.where(certain, log_odds(everything[0], toxic[0], clean[0], (everything[1], toxic[1], clean[1])), 0.0)
-    scores[_NOTHING] = 0.0
-    if not (toxic[1] and clean[1]):
-        scores[:] = 0
-    shares = clean[0] + PRIOR * (everything[0] + 0.01) / max(everything[1], 1)
-    model = Model(scores, extreme_rate(scores - DRIFT, shares / shares.sum()), 1.0, 1.0, -3.0)
+    held = {row["label"]: row["count"] for row in sample.groupBy("label").count().collect()}
+    n_toxic, n_clean = held.get(1, 0), held.get(0, 0)
+    counted = stored(_word_counts(sample), "words")
+    whole = counted.agg(F.count("*").alias("words"), F.sum("clean").alias("clean")).first()
+    least = least_evidence(whole["words"]) if n_toxic and n_clean else np.inf
+
+    def certain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            toxic, clean = batch["toxic"].to_numpy(float), batch["clean"].to_numpy(float)
+            yield batch[likelihood_ratio(toxic, clean, (n_toxic, n_clean)) > least]
+
+    chosen_words = counted.mapInPandas(certain, counted.schema).orderBy("word").toPandas()
+    toxic, clean = chosen_words["toxic"].to_numpy(float), chosen_words["clean"].to_numpy(float)
+    everything, size, n = _everywhere(texts, chosen_words["word"].map(bytes).tolist())
+    scores = log_odds(everything, toxic, clean, (n, n_toxic, n_clean))
+    # by chance: the words of clean documents, and of all by the prior; the last place is for all words without score
+    shares = np.append(clean + PRIOR * everything / max(n, 1), 0.0)
+    shares[-1] = max((whole["clean"] or 0) + PRIOR * size / max(n, 1) - shares.sum(), 1e-9)
+    by_word = {bytes(word): float(score) for word, score in zip(chosen_words["word"], scores) if score}
+    model = Model(by_word, extreme_rate(np.append(scores, 0.0) - DRIFT, shares / shares.sum()), 1.0, 1.0, -3.0)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

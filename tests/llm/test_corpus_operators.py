@@ -188,6 +188,22 @@ def test_rare_words_of_toxic_documents_only_count(spark):
     assert [(p.first, p.end) for p in rows[2900].passages] == [(30, 32)]
 
 
+def test_words_are_counted_each_for_itself(spark):
+    """Clean documents hold 200,000 words more; none takes part in the counts or the score of another."""
+    rnd = random.Random(9)
+    letter = str.maketrans("0123456789", "abcdefghij")
+    texts = [" ".join(prose(rnd) + [f"q{i * 500 + j}z".translate(letter) for j in range(500)]) for i in range(400)]
+    texts += [" ".join(prose(rnd) + ["nasty", "vile"]) for _ in range(100)]
+    docs, known = documents(spark, *texts), labels(spark, [(i, 1, int(i >= 400)) for i in range(500)])
+    model = toxicity.fit(docs, known, F.lit(True))
+    assert {w for w, s in model.scores.items() if s > 0} == {b"nasty", b"vile"}
+    odds = toxicity.log_odds(*np.array([[100.0], [100.0], [0.0]]), (500, 100, 400))
+    assert np.allclose([model.scores[b"nasty"], model.scores[b"vile"]], odds)
+    unseen = " ".join(f"x{i}z".translate(letter) for i in range(20_000))
+    rows = toxicity.score(documents(spark, unseen, "Nasty, vile!"), model).orderBy("doc_id").collect()
+    assert rows[0].toxicity.score < 0.01 and not rows[0].toxicity.passages and rows[1].toxicity.score > 0.5
+
+
 def test_evidence_grows_with_the_count():
     n = np.arange(1.0, 15)
     found = toxicity.likelihood_ratio(n, 0 * n, (342, 2709))
