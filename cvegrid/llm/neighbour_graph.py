@@ -1,7 +1,7 @@
 """Nearest neighbours by inner product: a neighbour graph by NN-descent, searched greedily.
 
-Vectors get one more coordinate that makes their lengths equal, so the nearest by distance are the largest inner
-products. Sorting along random projections gives first neighbours; then, in rounds of Spark joins, the neighbours of every
+Vectors are compared by inner product, coded in eight bits with a scale of their own, whatever the others' lengths.
+Sorting their directions along random projections gives first neighbours, and so do the longest vectors; then, in rounds of Spark joins, the neighbours of every
 vector (those it lists and some that list it) are compared with each other, and each keeps the best it has met. A search
 holds the best vectors found so far for every query, follows the neighbours of all that it has not yet followed, and ends
 when there are none. Vectors and their lists live in shards; queries travel to them.
@@ -23,6 +23,8 @@ from .common import session, stored
 NEIGHBOURS, MEET, TAKE = 40, 20, 10
 #: Sortings for the first neighbours, vectors compared along them, neighbours taken from each, rounds of descent.
 SORTINGS, ALONG, FIRST, ROUNDS = 3, 256, 16, 3
+#: The longest vectors, which all are compared with.
+LONGEST = 256
 #: Vectors a search holds for a query, and entry points that all queries share.
 BEAM, ENTRIES = 320, 16
 #: Vectors in a shard and queries in a block, about: what one task handles together.
@@ -51,31 +53,32 @@ def vectors(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame,
     session(table.sparkSession)
     rows = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
-    norm2 = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)
-    sizes = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.max(norm2).alias("top"))
+    sizes = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"))
     best = sizes.orderBy(F.desc("n"), F.desc("width")).first()
-    width, n, top = (best["width"], best["n"], best["top"]) if best else (1, 0, 1.0)
+    width, n = (best["width"], best["n"]) if best else (1, 0)
     shards = max(1, -(-n // SHARD))
     random = np.random.default_rng(SEED)
-    directions = random.standard_normal((width + 1, SORTINGS, 6))
+    directions = random.standard_normal((width, SORTINGS, 6))
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array(list(batch["v"]), np.float64).reshape(-1, width)
-            rest = np.sqrt(np.maximum(top - (x * x).sum(axis=1), 0))
-            longer = np.concatenate([x, rest[:, None]], axis=1) / np.sqrt(top)
-            codes = np.clip(np.rint(longer * min(127.0, 40.0 * width**0.5)), -127, 127).astype(np.int8)
-            along = np.einsum("nd,dsk->nsk", longer, directions)
+            largest = np.abs(x).max(axis=1, keepdims=True)
+            shape = x / largest
+            length = np.sqrt((shape * shape).sum(axis=1, keepdims=True))
+            codes = np.rint(shape * 127).astype(np.int8)
+            along = np.einsum("nd,dsk->nsk", shape / length, directions)
             signs = ((along[:, :, :5] > 0) * (1 << np.arange(5))).sum(axis=2)
             keys = (signs << 40) + np.rint(along[:, :, 5] * (1 << 30)).astype(np.int64)
             ids = batch["id"].to_numpy(np.int64)
             yield pd.DataFrame({
                 "id": ids, "shard": _place(ids, shards), "vector": [r.tobytes() for r in x],
-                "code": [r.tobytes() for r in codes], **{f"key{t}": keys[:, t] for t in range(SORTINGS)},
+                "code": [l.tobytes() + r.tobytes() for l, r in zip(largest / 127, codes)],
+                "length": (largest * length)[:, 0], **{f"key{t}": keys[:, t] for t in range(SORTINGS)},
             })
 
     keys = "".join(f", key{t} long" for t in range(SORTINGS))
-    table = rows.where(F.size("v") == width).mapInPandas(coded, "id long, shard int, vector binary, code binary" + keys)
+    table = rows.where(F.size("v") == width).mapInPandas(coded, "id long, shard int, vector binary, code binary, length double" + keys)
     return stored(table, "vectors"), n, shards
 
 
@@ -85,8 +88,31 @@ def _best(edges: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     return edges.withColumn("rank", rank).where(F.col("rank") <= k).dropDuplicates(["u", "rank"])
 
 
+def _decoded(codes) -> tuple[np.ndarray, np.ndarray]:
+    """Scales and codes as a matrix, in which products of whole numbers are exact."""
+    codes = list(codes)
+    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    exact = np.float32 if raw.shape[1] <= 1024 else np.float64
+    return raw[:, :8].copy().view(np.float64)[:, 0], raw[:, 8:].copy().view(np.int8).astype(exact)
+
+
+def _products(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Inner products; those of a pair are the same wherever it is compared."""
+    return (left[1] @ right[1].T).astype(np.float64) * (left[0][:, None] * right[0][None, :])
+
+
 def _first(table: DataFrame, n: int) -> DataFrame:
-    """Neighbours along the sortings: stretches of ``ALONG`` vectors are compared."""
+    """Neighbours along the sortings, where stretches of ``ALONG`` vectors are compared, and among the longest vectors."""
+    longest = table.select("id", "code", "length").orderBy(F.desc("length"), "id").limit(LONGEST).collect()
+    heads = np.array([r["id"] for r in longest], np.int64)
+
+    def among(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _decoded([bytes(r["code"]) for r in longest])
+        for batch in batches:
+            ids = batch["id"].to_numpy(np.int64)
+            products = _products(_decoded(batch["code"]), known)
+            products[ids[:, None] == heads[None, :]] = -np.inf
+            yield _largest(products, ids, heads)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = None
@@ -101,10 +127,12 @@ def _first(table: DataFrame, n: int) -> DataFrame:
     parts = max(1, -(-n // (2 * SHARD)))
     each = [
         table.select("id", "code", f"key{t}").repartitionByRange(parts, f"key{t}", "id").sortWithinPartitions(f"key{t}", "id")
-        .select("id", "code").mapInPandas(compare, "u long, w long, s long")
+        .select("id", "code").mapInPandas(compare, "u long, w long, s double")
         for t in range(SORTINGS)
     ]
     edges = each[0]
+    if longest:
+        each.append(table.select("id", "code").mapInPandas(among, "u long, w long, s double"))
     for other in each[1:]:
         edges = edges.unionAll(other)
     return edges
@@ -112,15 +140,18 @@ def _first(table: DataFrame, n: int) -> DataFrame:
 
 def _pairs(rows: pd.DataFrame) -> pd.DataFrame:
     ids = rows["id"].to_numpy(np.int64)
-    codes = np.stack([np.frombuffer(c, np.int8) for c in rows["code"]]).astype(np.float32)
-    products = codes @ codes.T
+    decoded = _decoded(rows["code"])
+    products = _products(decoded, decoded)
     np.fill_diagonal(products, -np.inf)
-    k = min(FIRST, len(ids) - 1)
-    if k < 1:
-        return pd.DataFrame({"u": [], "w": [], "s": []}).astype("int64")
+    return _largest(products, ids, ids)
+
+
+def _largest(products: np.ndarray, ids: np.ndarray, others: np.ndarray) -> pd.DataFrame:
+    k = min(FIRST, len(others))
     best = np.argpartition(-products, k - 1, axis=1)[:, :k]
-    s = np.take_along_axis(products, best, axis=1)
-    return pd.DataFrame({"u": np.repeat(ids, k), "w": ids[best.reshape(-1)], "s": s.reshape(-1).astype(np.int64)})
+    s = np.take_along_axis(products, best, axis=1).reshape(-1)
+    found = pd.DataFrame({"u": np.repeat(ids, k), "w": others[best.reshape(-1)], "s": s})
+    return found[s > -np.inf]
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,12 +160,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column(0)
         members, offsets = lists.values, lists.offsets.to_numpy()
         ids, least = members.field("m").to_numpy(zero_copy_only=False), members.field("least").to_numpy(zero_copy_only=False)
-        codes = members.field("code")
-        width = len(codes[0].as_py()) if len(codes) else 1
-        matrix = np.frombuffer(b"".join(codes.to_pylist()), np.int8).reshape(-1, width).astype(np.float32)
+        scales, matrix = _decoded(members.field("code").to_pylist()) if len(ids) else (np.zeros(0), np.zeros((0, 1)))
         out_u, out_w, out_s = [], [], []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            products = matrix[a:b] @ matrix[a:b].T
+            here = scales[a:b], matrix[a:b]
+            products = _products(here, here)
             np.fill_diagonal(products, -np.inf)
             k = min(TAKE, b - a - 1)
             if k < 1:
@@ -144,10 +174,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, column = np.nonzero(s > least[a:b, None])
             out_u.append(ids[a:b][row])
             out_w.append(ids[a:b][best[row, column]])
-            out_s.append(s[row, column].astype(np.int64))
+            out_s.append(s[row, column])
         if out_u:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x).astype(np.int64)) for x in (out_u, out_w, out_s)], names=["u", "w", "s"])
+                [pa.array(np.concatenate(x)) for x in (out_u, out_w, out_s)], names=["u", "w", "s"])
 
 
 def graph(table: DataFrame, n: int, rounds: int = ROUNDS) -> DataFrame:
@@ -167,9 +197,9 @@ def graph(table: DataFrame, n: int, rounds: int = ROUNDS) -> DataFrame:
         members = listed.unionAll(listing).unionAll(own).distinct()
         least = edges.groupBy(F.col("u").alias("m")).agg(F.min("s").alias("low"), F.count("*").alias("held"))
         known = codes.join(least, "m", "left").select(
-            "m", "code", F.when(F.col("held") >= NEIGHBOURS, F.col("low")).otherwise(-(1 << 40)).cast("double").alias("least"))
+            "m", "code", F.when(F.col("held") >= NEIGHBOURS, F.col("low")).otherwise(float("-inf")).alias("least"))
         meetings = members.join(known, "m").groupBy("c").agg(F.collect_list(F.struct("m", "least", "code")).alias("members"))
-        offers = meetings.select("members").mapInArrow(_meet, "u long, w long, s long")
+        offers = meetings.select("members").mapInArrow(_meet, "u long, w long, s double")
         edges = stored(_best(edges.select("u", "w", "s").unionAll(offers)), "graph")
     return edges
 

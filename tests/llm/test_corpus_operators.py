@@ -55,6 +55,21 @@ def test_recall_against_brute_force(spark):
     assert len(got) == len(hits) and np.mean(hits) >= 0.9
 
 
+def test_recall_with_very_different_lengths(spark):
+    rnd = np.random.default_rng(6)
+    x = rnd.standard_normal((2000, 16)) * np.exp(1.5 * rnd.standard_normal((2000, 1)))
+    x[7] *= 1000 / np.linalg.norm(x[7])
+    found = defaultdict(set)
+    for r in neighbour_graph.nearest(vectors(spark, [(i, v.tolist(), 1, "x") for i, v in enumerate(x)]), F.col("id") % 20 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = []
+    for q in range(0, 2000, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits.append(len(found[q] & set(np.argsort(-scores)[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.9, np.mean(hits)
+
+
 def test_lengths_count_and_copies_are_ties(spark):
     rows = [(i, [1.0 + i % 4, 0.5], 1, "x") for i in range(80)]
     found = [r for r in neighbour_graph.nearest(vectors(spark, rows), F.col("id") == 0, k=5).collect()]
