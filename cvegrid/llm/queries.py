@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from cvegrid.session import scratch
 
-from . import bpe_prefix, curriculum, huffman, neighbour_graph, ngram_join, personal, quality_cnn, repetition, secret_scan, toxicity
+from . import (
+    bpe_prefix, curriculum, fill_middle, hard_negatives, huffman, neighbour_graph, ngram_join, personal, quality_cnn, repetition,
+    secret_scan, toxicity,
+)
 from .common import in_fold, session, table
 from .spans import count_kind, fingerprint, joined
 
@@ -201,6 +204,71 @@ def op10_huffman_tokens(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_kronecker_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, label)
+
+
+OP12_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+       s.id AS negative_id, positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+def op13_swar_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    cut = fill_middle.transform(table(spark, folder, "documents").select("doc_id", "text"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return cut.select(
+        "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars",
+        digest(F.col("fim.output")).alias("output_sha256"),
+        digest(fill_middle.restore(F.col("fim.output"), F.col("fim.form"))).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents
+), drawn AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS a,
+         CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                   OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut
+), parts AS (
+  SELECT *, array_to_string(u[:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+         array_to_string(u[greatest(a, b) + 1:], '') AS s
+  FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(len(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(len(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
 QUERIES = {
     "op1_personal_bootstrap": op1_personal_bootstrap,
     "op2_neighbour_graph": op2_neighbour_graph,
@@ -212,9 +280,13 @@ QUERIES = {
     "op8_suffix_repetition": op8_suffix_repetition,
     "op9_bpe_prefix": op9_bpe_prefix,
     "op10_huffman_tokens": op10_huffman_tokens,
+    "op12_kronecker_negatives": op12_kronecker_negatives,
+    "op13_swar_fill_middle": op13_swar_fill_middle,
 }
 ORACLES = {
     "op3_curriculum_mix": OP3_SQL,
     "op5_secret_ownership": OP5_SQL,
     "op6_partenum_join": OP6_SQL,
+    "op12_kronecker_negatives": OP12_SQL,
+    "op13_swar_fill_middle": OP13_SQL,
 }
