@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from cvegrid.session import scratch
 
 from . import (
-    bpe_prefix, curriculum, fill_middle, hard_negatives, huffman, neighbour_graph, ngram_join, personal, quality_cnn, repetition,
-    secret_scan, toxicity,
+    attention_lm, bpe_prefix, curriculum, fill_middle, hard_negatives, huffman, neighbour_graph, ngram_join, personal, quality_cnn,
+    repetition, secret_scan, toxicity,
 )
 from .common import in_fold, session, table
 from .spans import count_kind, fingerprint, joined
@@ -204,6 +204,16 @@ def op10_huffman_tokens(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_attention_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = attention_lm.fit(docs, ~in_fold(F.col("doc_id"), 5, 1))
+    return attention_lm.score(docs, model).select(
+        "doc_id",
+        in_fold(F.col("doc_id"), 5, 1).alias("held_out"),
+        "lm.n_tokens", "lm.n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "lm.base_score", "lm.score",
+    )
+
+
 def op12_kronecker_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, label)
@@ -280,6 +290,7 @@ QUERIES = {
     "op8_suffix_repetition": op8_suffix_repetition,
     "op9_bpe_prefix": op9_bpe_prefix,
     "op10_huffman_tokens": op10_huffman_tokens,
+    "op11_attention_lm": op11_attention_lm,
     "op12_kronecker_negatives": op12_kronecker_negatives,
     "op13_swar_fill_middle": op13_swar_fill_middle,
 }
