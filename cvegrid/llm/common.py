@@ -32,6 +32,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*written: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing will read it again."""
+    for df in written:
+        for file in df.inputFiles()[:1]:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of it with a number that ``df`` does not use."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in (name, *(f"{name}_{i}" for i in range(len(taken) + 1))) if x.lower() not in taken)
+
+
 def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether a row belongs to the held-out fold; a null id is held out of nothing."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))

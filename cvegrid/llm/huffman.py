@@ -9,7 +9,6 @@ stretches of a block side by side, or any one of them alone.
 from __future__ import annotations
 
 import string
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +23,7 @@ from pyspark.sql.functions import pandas_udf
 from tokenizers import Tokenizer
 
 from .common import Memo, session, stored, worker_state
+from .lexicon import REMEMBERED, Lexicon, parts, split
 
 TOKENIZER_FILE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
@@ -37,62 +37,93 @@ MARKS = regex.compile(r"\p{M}")
 # ---------------------------------------------------------------- tokens
 
 
-def _letters(word: bytes) -> bool:
-    """Whether the tokenizer sees letters alone, also after composition and lowering."""
-    return word.isalpha() or unicodedata.normalize("NFC", word.decode("utf-8")).lower().isalpha()
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in the model's vocabulary: itself if printable, else one from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
-class WordTokens:
+class WordTokens(Lexicon):
     """The library's ids of texts, word by word.
 
-    The tokenizer drops white space and never merges across it, so words are encoded once and remembered. ASCII letters
+    The tokenizer drops white space and never merges across it, so a word is encoded once and remembered. ASCII letters
     are lowered first, as the tokenizer does itself; texts with combining marks are left as they are, for there
-    composition comes first. A word of lower-case ASCII letters is one piece as it stands and goes to the library's model
-    directly; punctuation after letters is a piece of its own.
+    composition comes first. A word of letters is one piece and goes to the library's model directly, and punctuation
+    after letters is a piece of its own. Texts that hold the name of a special token go to the library whole.
     """
 
     TAIL = bytes(set(string.punctuation.encode()) - set(b"'"))  # an apostrophe may open an ending
 
-    def __init__(self, definition: str, width: int):
+    def __init__(self, definition: str, limit: int = REMEMBERED):
+        super().__init__(limit)
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.model, self.width = self.tokenizer.model, width
-        self.memo = Memo(self._encode, 800_000)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = Memo(self._whole, 10_000)
 
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+    def _whole(self, word: bytes) -> list[int]:
+        self.tokenizer.encode_special_tokens = True  # within a word their names come from lowering alone
+        return self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
 
-    def _encode(self, word: bytes) -> bytes:
+    def _one(self, word: bytes) -> list[int]:
         core = word.rstrip(self.TAIL)
-        if core != word and _letters(core):
-            return self.memo[core] + self.memo[word[len(core):]]
-        if word.isalpha() and word.islower():
-            return self.pack([token.id for token in self.model.tokenize(word.decode("ascii"))])
-        return self.pack(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids)
-
-    def encode(self, text: str) -> bytes:
+        if not core:
+            return self.pieces[word]
+        if core.isascii():
+            letters, lowered = core.isalpha(), core.lower()
+        else:  # Latin letters: composed already, and lowered alike everywhere but for the dotted I
+            text = core.decode("utf-8")
+            letters = text.isalpha() and max(text) < "\u0250" and "\u0130" not in text
+            lowered = text.lower().encode("utf-8")
+        if not letters:
+            return self.pieces[word]
+        piece = lowered.decode("ascii") if lowered.isascii() else "".join(map(self.letters.__getitem__, lowered))
+        ids = [token.id for token in self.model.tokenize(piece)]
+        return ids if len(core) == len(word) else ids + self.pieces[word[len(core):]]
+
+    def _spell(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._one(word) for word in words]
+        return np.fromiter((i for ids in found for i in ids), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _prepared(self, text: str) -> bytes:
         data = text.encode("utf-8")
-        if text.isascii() or not MARKS.search(text):
-            data = data.lower()  # bytes: ASCII letters only
-        return b"".join(map(self.memo.__getitem__, data.split()))
+        return data.lower() if text.isascii() or not MARKS.search(text) else data  # bytes: ASCII letters only
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out = []
+        for some in parts(texts):
+            if self.full():
+                self.forget()
+            named = [any(name in text for name in self.special) for text in some]
+            data, starts, ends, bounds = split([b"" if n else self._prepared(text) for n, text in zip(named, some)])
+            ids, sizes = self.spell(self.look(data, starts, ends))
+            found = np.split(ids, np.append(0, np.cumsum(sizes))[bounds[1:-1]])
+            for at in np.flatnonzero(named).tolist():
+                self.tokenizer.encode_special_tokens = False
+                found[at] = np.array(self.tokenizer.encode(some[at], add_special_tokens=False).ids, np.uint32)
+            out += found
+        return out
 
 
 def tokenize(docs: DataFrame, text: str = "text", into: str = "ids", tokenizer_file: str = TOKENIZER_FILE,
              end_id: int | None = END_ID, width: int = 4) -> DataFrame:
     """Add ``into``: the ids of ``text`` as little-endian unsigned integers of ``width`` bytes, ended by ``end_id``.
 
+    The ids are those of the library with ``add_special_tokens=False``: a special token's name in a text is its one id.
     Null text counts as empty; other columns and repeated rows pass unchanged.
     """
     session(docs.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as file:  # on the driver; the tasks get its bounded content
         shipped = docs.sparkSession.sparkContext.broadcast(file.read())
-    tail = b"" if end_id is None else np.array([end_id], f"<u{width}").tobytes()
+    tail = np.array([] if end_id is None else [end_id], f"<u{width}").tobytes()
 
     @pandas_udf("binary")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = worker_state(("words", shipped.value, width), lambda: WordTokens(shipped.value, width))
+        coder = worker_state(("words", tokenizer_file), lambda: WordTokens(shipped.value))
         for batch in batches:
-            yield pd.Series([coder.encode(text) + tail for text in batch], dtype=object)
+            yield pd.Series([ids.astype(f"<u{width}").tobytes() + tail for ids in coder.encode(batch.tolist())], dtype=object)
 
     return docs.withColumn(into, tokens(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
 

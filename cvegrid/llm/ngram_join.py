@@ -19,20 +19,22 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import Memo, session, stored, worker_state
+from .common import discard, free_name, session, stored, worker_state
+from .lexicon import Hasher, parts, split
 
 WORDS = 3
 #: Similarity in hundredths from which two sets are linked.
 SIMILARITY = 90
 #: Partitions beyond those needed, and one more for so many differences, so that a set need not sign its empty parts.
 SLACK, PER_SLACK = 2, 32
-#: Nodes a task remembers having signed.
-SIGNED = 1_000_000
+#: Places where a task remembers nodes that it has signed.
+SIGNED = 1 << 20
+#: Bits of the map of wanted rows, and rows of a group's block that meet those of another.
+WANTED, BLOCK = 1 << 24, 512
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -43,23 +45,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
+    """The sets of hashed n-grams of many texts, each sorted."""
+
     def __init__(self, n: int):
-        self.n = n
-        self.memo = Memo(xxhash.xxh3_64_intdigest)
+        self.n, self.hasher = n, Hasher()
         self.factors = _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
-    def shingles(self, text: str) -> np.ndarray:
-        """The set of hashed n-grams, sorted; fewer words give their whole sequence, no words nothing."""
-        found = text.encode("utf-8", "surrogatepass").lower().split()  # as bytes: A to Z alone are lowered
-        hashes = np.fromiter(map(self.memo.__getitem__, found), np.uint64, len(found))
-        m = min(self.n, len(hashes))
-        if not m:
-            return hashes
-        places = len(hashes) - m + 1
-        grams = np.full(places, m, np.uint64)
+    def _grams(self, hashes: np.ndarray, m: int) -> np.ndarray:
+        grams = np.full(max(len(hashes) - m + 1, 0), m, np.uint64)
         for i in range(m):
-            grams += hashes[i:i + places] * self.factors[i]
-        return np.unique(_mix(grams))
+            grams += hashes[i:i + len(grams)] * self.factors[i]
+        return _mix(grams)
+
+    def sets(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Fewer words than n give their whole sequence, no words nothing."""
+        for some in parts(texts):
+            # as bytes: A to Z alone are lowered
+            data, starts, ends, bounds = split([t.encode("utf-8", "surrogatepass").lower() for t in some])
+            hashes = self.hasher(data, starts, ends)
+            grams = self._grams(hashes, self.n)
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if high - low >= self.n:
+                    yield np.unique(grams[low:high - self.n + 1])
+                else:
+                    yield self._grams(hashes[low:high], high - low)[:high > low]
 
 
 def node(grams: np.ndarray) -> int:
@@ -183,7 +192,7 @@ def nodes(texts: DataFrame, n: int) -> DataFrame:
     @pandas_udf("size long, node long, parity array<long>, wide binary")
     def named(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [_shingler(n).shingles(t) for t in batch]
+            sets = list(_shingler(n).sets(batch.tolist()))
             yield pd.DataFrame({"size": [len(s) for s in sets], "node": [node(s) for s in sets], "parity": [parity(s) for s in sets],
                                 "wide": [wide_parity(s) for s in sets]})
 
@@ -194,17 +203,14 @@ def signed(texts: DataFrame, n: int, similarity: int) -> DataFrame:
     """``(signature, node)`` of every set; a task signs copies of a set once."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+        seen = np.zeros(SIGNED, np.int64)  # the node last signed at each place
         for batch in batches:
             names, lists = [], []
-            for t in batch["text"]:
-                grams = _shingler(n).shingles(t)
+            for grams in _shingler(n).sets(batch["text"].tolist()):
                 name = node(grams)
-                if not len(grams) or name in seen:
+                if seen[name % SIGNED] == name:  # the empty set is 0, and signs nothing
                     continue
-                if len(seen) >= SIGNED:
-                    seen.clear()
-                seen.add(name)
+                seen[name % SIGNED] = name
                 names.append(name)
                 lists.append(signatures(grams, similarity))
             counts = [len(x) for x in lists]
@@ -230,19 +236,61 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.where(x != y).select("a", "b", F.least(x, y).alias("root_a"), F.greatest(x, y).alias("root_b"))
 
 
+def grouped(signs: DataFrame) -> DataFrame:
+    """``(signature, node, hub)`` of the signatures that several nodes have; a node of the group is its hub.
+
+    Rows are dealt by signature and sorted, which spills; one pass over them holds nothing but the row before. Any node
+    serves as a hub; it is drawn by group, so that a node of many groups meets many hubs.
+    """
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, hub, alone = None, None, True
+        for batch in batches:
+            s, v = batch["signature"].to_numpy(np.int64), batch["node"].to_numpy(np.int64)
+            if last is not None:  # the row before stands in front again
+                s, v = np.append(last[0], s), np.append(last[1], v)
+            new = np.append(True, (s[1:] != s[:-1]) | (v[1:] != v[:-1]))
+            s, v = s[new], v[new]
+            first = np.append(True, s[1:] != s[:-1])
+            hubs = v[np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))]
+            if last is not None:
+                hubs[: int(np.argmax(first[1:])) + 1 if first[1:].any() else len(s)] = hub
+            shared = ~first | np.append(~first[1:], False)
+            shared[0] = shared[0] and (last is None or alone)  # else it came out already
+            shared[0] = shared[0] and len(s) > 1 and not first[1]
+            yield pd.DataFrame({"signature": s[shared], "node": v[shared], "hub": hubs[shared]})
+            alone = bool(first[-1]) if len(s) > 1 or last is None else alone
+            last, hub = (s[-1], v[-1]), hubs[-1]
+
+    dealt = signs.withColumn("draw", F.xxhash64("signature", "node")).repartition("signature").sortWithinPartitions("signature", "draw", "node")
+    return dealt.select("signature", "node").mapInPandas(pick, "signature long, node long, hub long")
+
+
+def _among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose id may be wanted, found while reading them: few others reach the exchange.
+
+    The map of wanted ids has ``WANTED`` bits, whatever their number: 2 MB at most, in words of 64.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(WANTED))
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(id), {WANTED}) % 64 AS INT))")
+    marks = wanted.select((place / 64).cast("long").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    near = texts.withColumn("word", (place / 64).cast("long")).join(F.broadcast(marks), "word")
+    return near.where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+
+
 def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``(node, grams)`` of the wanted nodes ``(node, id)``, from the texts of one id each."""
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [_shingler(n).shingles(t) for t in batch["text"]]
+            sets = list(_shingler(n).sets(batch["text"].tolist()))
             right = [node(s) == name for s, name in zip(sets, batch["node"])]
             yield pd.DataFrame({
                 "node": batch["node"][right].to_numpy(np.int64),
                 "grams": pd.Series([s.tobytes() for s, ok in zip(sets, right) if ok], dtype=object),
             })
 
-    found = texts.join(wanted.withColumnRenamed("id", "wanted_id"), F.col("id").eqNullSafe(F.col("wanted_id"))).select("node", "text")
+    found = _among(texts, wanted).join(wanted.withColumnRenamed("id", "wanted_id"), F.col("id").eqNullSafe(F.col("wanted_id"))).select("node", "text")
     return found.mapInPandas(again, "node long, grams binary").dropDuplicates(["node"])
 
 
@@ -280,7 +328,8 @@ def components(links: DataFrame) -> DataFrame:
         hung = lower.join(smallest, "u")
         small = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             smallest.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), "links")
+        last, edges = edges, stored(small.distinct(), "links")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if now == before:
             break
@@ -301,11 +350,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = W
     classes = named.where("size > 0").groupBy("node").agg(
         F.min("id").alias("id"), F.any_value("size").alias("size"), F.any_value("parity").alias("parity"),
         F.any_value("wide").alias("wide"))
-    signs = signed(texts, n, similarity).repartition("signature")
-    # any node serves as a group's hub; drawn by group, so that a node of many groups meets many hubs
-    drawn = F.min_by("node", F.xxhash64("signature", "node")).alias("hub")
-    shared = signs.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"), drawn).where("low < high")
-    groups = stored(signs.join(shared.select("signature", "hub"), "signature").select("signature", "node", "hub").distinct(), "groups")
+    groups = stored(grouped(signed(texts, n, similarity)), "groups")
     members = stored(classes.join(groups.select("node").distinct(), "node"), "members")
     left = members.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("parity").alias("parity_a"))
     right = members.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("parity").alias("parity_b"))
@@ -326,19 +371,25 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = W
         pairs = left_over.select("a", "b")
         if one_each:
             pairs = left_over.groupBy("root_a", "root_b").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-        links = stored(links.unionByName(_linked(pairs, sets, similarity)), "linked")
+        last, links = (links, roots), stored(links.unionByName(_linked(pairs, sets, similarity)), "linked")
         roots = stored(components(links), "roots")
         tested = stored(tested.unionByName(pairs), "pairs")
-    # what is left are pairs without their group's hub; each group's rows are dealt once, for both sides
+        discard(*last, left_over)
+    # what is left are pairs without their group's hub; a large group's rows are dealt in blocks, each two of which meet
     labelled = groups.where("node <> hub").select("signature", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    open_groups = stored(labelled.join(mixed.select("signature"), "signature"), "open")
-    dealt = open_groups.join(members, "node").select("signature", "node", "root", "size", "parity").repartition("signature")
+    mixed = labelled.groupBy("signature").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low < high")
+    open_groups = stored(labelled.join(mixed.select("signature", "blocks"), "signature"), "open")
+    block, other_block = F.pmod(F.xxhash64("node"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = open_groups.join(members, "node").select("signature", "node", "root", "size", "parity", block.alias("block"), other_block)
+    dealt = placed.select(
+        "signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "root", "size", "parity", "block",
+    ).repartition("signature", "low", "high")
     one, other = (
-        dealt.toDF("signature", side, f"root_{side}", f"size_{side}", f"parity_{side}") for side in ("a", "b")
+        dealt.toDF("signature", "low", "high", side, f"root_{side}", f"size_{side}", f"parity_{side}", f"block_{side}") for side in ("a", "b")
     )
-    apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-    may = one.join(other, "signature").where(apart & may_link).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & ((F.col("low") == F.col("high")) | (F.col("block_a") != F.col("block_b")))
+    may = one.join(other, ["signature", "low", "high"]).where(apart & may_link).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
     across = stored(_narrowed(may, members, similarity), "pairs")
     if not across.isEmpty():
         more = _linked(across, stored(_sets(texts, _named(members, across), n), "sets"), similarity)
@@ -353,7 +404,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = W
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, similarity: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: the one whose id names the component. Rows without words stay."""
+    """``docs`` with one document of each group: the one whose id names the component, once if the row is repeated.
+
+    Rows without words stay, as often as they are there. Of rows that share an id but not their columns each stays.
+    """
     judged = join(docs, id_col, text, n, similarity)
-    kept = judged.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
+    name = free_name(docs, "kept_id")
+    kept = stored(judged.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias(name)).agg(
+        F.max("n_shingles").alias("size"), F.count("*").alias("times")), "kept")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(name))
+    several = (F.col("size") > 0) & (F.col("times") > 1)
+    once = docs.join(kept.where(~several).select(name), same, "left_semi")
+    repeated = kept.where(several).select(name)
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(docs.join(repeated, same, "left_semi").distinct())

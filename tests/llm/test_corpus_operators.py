@@ -410,3 +410,30 @@ def test_pipeline_run_and_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES[1:]:
         none = stage(spark, none, SF)
     assert none.count() == 0
+
+
+def test_signature_groups_by_one_pass(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.randint(0, 300), rnd.randint(0, 12)) for _ in range(1500)] + [(7, i % 700) for i in range(2000)]
+    found = ngram_join.grouped(spark.createDataFrame(rows, "signature long, node long")).collect()
+    held = {}
+    for s, v in rows:
+        held.setdefault(s, set()).add(v)
+    expected = {(s, v) for s, nodes in held.items() if len(nodes) > 1 for v in nodes}
+    assert len(found) == len(expected) and {(r.signature, r.node) for r in found} == expected
+    hubs = {}
+    for r in found:
+        hubs.setdefault(r.signature, set()).add(r.hub)
+    assert all(len(h) == 1 and h <= held[s] for s, h in hubs.items())
+    assert ngram_join.grouped(spark.createDataFrame([], "signature long, node long")).count() == 0
+
+
+def test_one_of_equal_rows_stays_and_names_do_not_clash(spark):
+    texts = ["one two three four five six seven"] * 2 + ["", "other words are these here now too"]
+    docs = documents(spark, *texts)
+    docs = docs.unionByName(docs).withColumnsRenamed({"row": "kept_id", "ids": "__id", "score": "size"})
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 2, 3]
+    other = docs.withColumn("lang", F.monotonically_increasing_id().cast("string"))
+    assert sorted(r.doc_id for r in ngram_join.keep_one(other).collect()) == [0, 0, 2, 2, 3, 3]

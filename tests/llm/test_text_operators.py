@@ -264,11 +264,19 @@ def test_blocks_come_back():
 def test_word_tokens_equal_the_library():
     with open(huffman.TOKENIZER_FILE, encoding="utf-8") as file:
         definition = file.read()
-    ours, library, rnd = huffman.WordTokens(definition, 4), Tokenizer.from_str(definition), random.Random(6)
-    library.encode_special_tokens = True
-    for _ in range(2000):
-        text = "".join(rnd.choice("aeAEéÉßz .,'’中文字😀̌́‍0９\n\t<|>ſKﬁJHTİΣσ s'll!?*") for _ in range(rnd.randint(0, 25)))
-        assert np.frombuffer(ours.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    ours, library, rnd = huffman.WordTokens(definition, 500), Tokenizer.from_str(definition), random.Random(6)
+    texts = ["".join(rnd.choice("aeAEéÉßz .,'’中文字😀̌́‍0９\n\t<|>ſKﬁJHTİıΣσŁøĳŉ\u00a0\u2003 s'll!?*") for _ in range(rnd.randint(0, 25)))
+             for _ in range(3000)]
+    names = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "a", " ", "É", "x.", "<|", "|>"]
+    texts += ["".join(rnd.choice(names) for _ in range(rnd.randint(1, 6))) for _ in range(600)]
+    for text, ids in zip(texts, ours.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_names_of_special_tokens_are_one_id(spark):
+    rows = huffman.tokenize(documents(spark, "a <|endoftext|>b", "<|startoftext|>"), end_id=None).orderBy("doc_id").collect()
+    ids = [np.frombuffer(r.ids, "<u4").tolist() for r in rows]
+    assert ids[0][1] == 49407 and len(ids[0]) == 3 and ids[1] == [49406]
 
 
 def test_huffman_query_on_whole_table(spark):
