@@ -75,6 +75,20 @@ class Hasher:
         return out ^ (out >> np.uint64(32))
 
 
+class Growing:
+    """An array that grows by doubling."""
+
+    def __init__(self, dtype: type):
+        self.room, self.values = np.zeros(1024, dtype), np.zeros(0, dtype)
+
+    def add(self, more: np.ndarray) -> None:
+        n = len(self.values)
+        if n + len(more) > len(self.room):
+            self.room = np.resize(self.room, 2 * (n + len(more)))
+        self.room[n:n + len(more)] = more
+        self.values = self.room[:n + len(more)]
+
+
 class Lexicon:
     """Words by number: their hashes and token ids, for as many words as a task remembers.
 
@@ -88,13 +102,16 @@ class Lexicon:
     def forget(self) -> None:
         self.forgotten += 1
         self.number: dict[int, int] = {}
-        self.hashes = np.zeros(0, np.int64)
-        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self._hashes, self._starts, self._sizes, self._ids = Growing(np.int64), Growing(np.int64), Growing(np.int64), Growing(np.uint32)
         # the word last seen at each place, found without the dictionary
         self.place_hash, self.place_number = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.int32)
 
+    @property
+    def hashes(self) -> np.ndarray:
+        return self._hashes.values
+
     def full(self) -> bool:
-        return len(self.hashes) > self.limit
+        return len(self.number) > self.limit
 
     def look(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The numbers of the words at these places of a buffer."""
@@ -121,16 +138,17 @@ class Lexicon:
         return numbers
 
     def _add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        numbers = np.arange(len(self.hashes), len(self.hashes) + len(hashes))
+        numbers = np.arange(len(self.number), len(self.number) + len(hashes))
         self.number.update(zip(hashes.tolist(), numbers.tolist()))
-        self.hashes = np.append(self.hashes, hashes.view(np.int64))
-        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
-        self.sizes, self.ids = np.append(self.sizes, sizes), np.append(self.ids, ids)
+        self._hashes.add(hashes.view(np.int64))
+        self._starts.add(len(self._ids.values) + np.cumsum(sizes) - sizes)
+        self._sizes.add(sizes)
+        self._ids.add(ids)
         return numbers
 
     def spell(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words one after the other, and how many each has."""
-        sizes = self.sizes[numbers]
+        sizes = self._sizes.values[numbers]
         before = np.cumsum(sizes) - sizes
-        at = np.repeat(self.starts[numbers] - before, sizes) + np.arange(int(sizes.sum()))
-        return self.ids[at], sizes
+        at = np.repeat(self._starts.values[numbers] - before, sizes) + np.arange(int(sizes.sum()))
+        return self._ids.values[at], sizes

@@ -163,7 +163,7 @@ def _narrowed(pairs: DataFrame, members: DataFrame, similarity: int) -> DataFram
     wide = members.where("wide IS NOT NULL").select("node", "size", "wide")
     both = pairs.join(wide.toDF("b", "size_b", "wide_b"), "b", "left").join(wide.toDF("a", "size_a", "wide_a"), "a", "left")
     apart = (100 + similarity) * differ("wide_a", "wide_b") > (100 - similarity) * F.coalesce(F.col("size_a") + F.col("size_b"), F.lit(0))
-    return both.where(~apart).select("a", "b")
+    return both.where(~apart).select(*pairs.columns)
 
 
 def _may_link(similarity: int, size_a: str, parity_a: str, size_b: str, parity_b: str) -> Column:
@@ -295,7 +295,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs ``(a, b)`` that are similar, by their sets."""
+    """The pairs, ``a`` and ``b`` among their columns, that are similar, by their sets."""
 
     @pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -309,7 +309,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"))
-    return pairs.join(right, "b").join(left, "a").where(similar("grams_a", "grams_b")).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").where(similar("grams_a", "grams_b")).select(*pairs.columns)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        lower = large.where("u <> v").distinct()
+        lower = large.where("u <> v")
         smallest = lower.groupBy("u").agg(F.min("v").alias("m"))
         hung = lower.join(smallest, "u")
         small = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
@@ -338,6 +338,13 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after more links ``(root_a, root_b)`` between components: only these are taken together."""
+    over = stored(components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), "over")
+    lifted = roots.join(over.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return stored(lifted.unionByName(over).groupBy("node").agg(F.min("root").alias("root")), "roots")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
@@ -362,19 +369,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = W
     sets = stored(_sets(texts, _named(members, stars), n), "sets")
     # one comparison a node first; then, between the components that gives, one for each two that have a pair left; then all
     tested = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stored(_linked(tested, sets, similarity), "linked")
-    roots = stored(components(links), "roots")
+    roots = stored(components(stored(_linked(tested, sets, similarity), "linked")), "roots")
     for one_each in (True, False):
         left_over = stored(_between(stars, roots).join(tested, ["a", "b"], "left_anti"), "pairs")
         if left_over.isEmpty():
             break
-        pairs = left_over.select("a", "b")
+        pairs = left_over
         if one_each:
-            pairs = left_over.groupBy("root_a", "root_b").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-        last, links = (links, roots), stored(links.unionByName(_linked(pairs, sets, similarity)), "linked")
-        roots = stored(components(links), "roots")
-        tested = stored(tested.unionByName(pairs), "pairs")
-        discard(*last, left_over)
+            pairs = left_over.groupBy("root_a", "root_b").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b", "root_a", "root_b")
+        links = stored(_linked(pairs, sets, similarity), "linked")
+        if not links.isEmpty():
+            last, roots = roots, _merged(roots, links)
+            discard(last, links)
+        tested = stored(tested.unionByName(pairs.select("a", "b")), "pairs")
+        discard(left_over)
     # what is left are pairs without their group's hub; a large group's rows are dealt in blocks, each two of which meet
     labelled = groups.where("node <> hub").select("signature", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.groupBy("signature").agg(
@@ -389,12 +397,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = W
         dealt.toDF("signature", "low", "high", side, f"root_{side}", f"size_{side}", f"parity_{side}", f"block_{side}") for side in ("a", "b")
     )
     apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & ((F.col("low") == F.col("high")) | (F.col("block_a") != F.col("block_b")))
-    may = one.join(other, ["signature", "low", "high"]).where(apart & may_link).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    may = one.join(other, ["signature", "low", "high"]).where(apart & may_link).select(
+        "a", "b", F.least("root_a", "root_b").alias("root_a"), F.greatest("root_a", "root_b").alias("root_b")).distinct().join(tested, ["a", "b"], "left_anti")
     across = stored(_narrowed(may, members, similarity), "pairs")
     if not across.isEmpty():
-        more = _linked(across, stored(_sets(texts, _named(members, across), n), "sets"), similarity)
-        links = stored(links.unionByName(more), "linked")
-        roots = stored(components(links), "roots")
+        links = stored(_linked(across, stored(_sets(texts, _named(members, across), n), "sets"), similarity), "linked")
+        if not links.isEmpty():
+            roots = _merged(roots, links)
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     labels = rooted.join(least, "root").select("node", "component_id")
