@@ -15,7 +15,7 @@ def parse_instant(col: Column) -> Column:
 
 
 def parse_iso_date(col: Column) -> Column:
-    """Calendar date, ``2025-02-15`` or ``20250215``, nothing else."""
+    """Calendar date, ``2024-11-08`` or ``20241108``, nothing else."""
     return F.when(
         col.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(col, F.lit("yyyy-MM-dd")).cast("date")
     ).when(

@@ -1,27 +1,136 @@
-"""Dotted-numeric versions and version ranges as comparable columns."""
+"""Versions and version ranges as comparable columns, in the order of their ecosystem.
+
+A version becomes a text key: numbers padded to one width, and marks below the dot that continues a release, so that the
+order of the texts is the order of the versions. Keys of one ecosystem are comparable with each other alone.
+"""
 
 from pyspark.sql import Column, functions as F
 
 #: A range as stored: bounds are version keys; ``known`` is false where a bound
-#: is not dotted-numeric.
+#: is no version of the ecosystem.
 RANGE = "struct<lo:string,lo_in:boolean,hi:string,hi_in:boolean,known:boolean>"
 
 _DIGITS = 18
 
+#: Ecosystems, lower-case, by the rules their versions follow; dotted numbers in all others.
+SCHEMES = {
+    "pep440": ("pypi", "pip", "python"),
+    "semver": ("npm", "go", "golang", "crates.io", "cargo", "rust", "nuget", "hex", "pub", "actions"),
+    "maven": ("maven", "gradle"),
+}
+#: Qualifiers of the last scheme below a release, in order; all others come after it.
+_MAVEN_BELOW = ("alpha", "beta", "milestone", "rc", "snapshot")
+
+
+def scheme_of(ecosystem: Column) -> Column:
+    """The rules of an ecosystem's versions; NULL for dotted numbers."""
+    known = F.lower(ecosystem)
+    out = F.lit(None).cast("string")
+    for scheme, names in SCHEMES.items():
+        out = F.when(known.isin(*names), scheme).otherwise(out)
+    return out
+
+
+def _number(digits: Column) -> Column:
+    return F.lpad(F.regexp_replace(digits, "^0+", ""), _DIGITS, "0")
+
+
+def _release(dotted: Column) -> Column:
+    """Dotted numbers with equal width; trailing zeros go, so that 1.10 and 1.10.0 are one version."""
+    return F.array_join(F.transform(F.split(F.regexp_replace(dotted, r"(\.0+)+$", ""), r"\."), _number), ".")
+
+
+_NUMBERS = rf"\d{{1,{_DIGITS}}}(?:\.\d{{1,{_DIGITS}}})*"
+
+# ``(`` marks a release that nothing follows; what comes before it has a lower mark, what comes after it a higher one, and
+# all marks are lower than the dot
+
+_PEP440 = (
+    rf"^(?:(\d{{1,{_DIGITS}}})!)?({_NUMBERS})"
+    rf"(?:[-_.]?(alpha|beta|preview|pre|rc|a|b|c)[-_.]?(\d{{0,{_DIGITS}}}))?"
+    rf"(?:-(\d{{1,{_DIGITS}}})|[-_.]?(post|rev|r)[-_.]?(\d{{0,{_DIGITS}}}))?"
+    rf"(?:[-_.]?(dev)[-_.]?(\d{{0,{_DIGITS}}}))?"
+    r"(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?$"
+)
+
+
+def _pep440_key(text: Column) -> Column:
+    """Epoch, release, then: development alone, pre-release, none; post-release; development; local version."""
+    part = lambda i: F.regexp_extract(text, _PEP440, i)
+    pre, implied, post, dev, local = part(3), part(5), part(6), part(8), part(10)
+    kind = F.when(pre.startswith("a"), "a").when(pre.startswith("b"), "b").otherwise("c")
+    no_post = (implied == "") & (post == "")
+    pre_mark = (
+        F.when(pre != "", F.concat(F.lit("#"), kind, _number(part(4))))
+        .when(no_post & (dev != ""), "!").otherwise("(")
+    )
+    post_mark = F.when(no_post, "!").otherwise(F.concat(F.lit("#"), _number(F.concat(implied, part(7)))))
+    dev_mark = F.when(dev != "", F.concat(F.lit("!"), _number(part(9)))).otherwise("(")
+    segments = F.transform(F.split(local, "[-_.]"), lambda x: F.when(
+        x.rlike(r"^\d+$"), F.concat(F.lit("~"), _number(x))).otherwise(x))  # numbers come after words
+    local_mark = F.when(local != "", F.concat(F.lit("+"), F.array_join(segments, "."))).otherwise("")
+    key = F.concat(_number(part(1)), F.lit("/"), _release(part(2)), pre_mark, post_mark, dev_mark, local_mark)
+    return F.when(text.rlike(_PEP440), key)
 
-def version_key(text: Column) -> Column:
-    """A key whose text order is version order: ``1.10.0`` -> ``…01.…10``.
 
-    Components are padded to equal width, and trailing zeros go, so that 1.10
-    and 1.10.0 are one version. Anything but dotted numbers gives NULL.
+_SEMVER = rf"^({_NUMBERS})(?:-([0-9a-z-]+(?:\.[0-9a-z-]+)*))?(?:\+[0-9a-z.-]+)?$"
+
+
+def _semver_key(text: Column) -> Column:
+    """Release, then the identifiers of a pre-release: numbers before words, fewer before more. Builds do not count.
+
+    Words keep their case: upper-case letters come first.
     """
-    plain = F.regexp_replace(F.trim(text), r"^[vV]", "")
-    short = F.regexp_replace(plain, r"(\.0+)+$", "")
-    parts = F.transform(F.split(short, r"\."), lambda x: F.lpad(F.regexp_replace(x, "^0+", ""), _DIGITS, "0"))
-    return F.when(plain.rlike(rf"^\d{{1,{_DIGITS}}}(\.\d{{1,{_DIGITS}}})*$"), F.array_join(parts, "."))
+    pattern = _SEMVER.replace("a-z", "a-zA-Z")
+    pre = F.regexp_extract(text, pattern, 2)
+    names = F.transform(F.split(pre, r"\."), lambda x: F.when(
+        x.rlike(rf"^\d{{1,{_DIGITS}}}$"), F.concat(F.lit("!"), _number(x))).otherwise(F.concat(F.lit("#"), x)))
+    mark = F.when(pre == "", "(").otherwise(F.concat(F.lit("!"), F.array_join(names, " ")))
+    return F.when(text.rlike(pattern), F.concat(_release(F.regexp_extract(text, pattern, 1)), mark))
+
+
+_MAVEN = rf"^({_NUMBERS})((?:[-.]?(?:[a-z]+|\d{{1,{_DIGITS}}}))*)$"
+
 
+def _maven_key(text: Column) -> Column:
+    """Release, then qualifiers: those below a release in their order, the release itself, a service pack, all others."""
+    rest = F.regexp_replace(F.regexp_extract(text, _MAVEN, 2), r"([-.]0+)+$", "")
+    for short, long in (("a", "alpha"), ("b", "beta"), ("m", "milestone")):
+        rest = F.regexp_replace(rest, rf"(?<![a-z]){short}(?=\d)", long)
+    tokens = F.regexp_extract_all(rest, F.lit(r"[-.]?(?:[a-z]+|\d+)"), F.lit(0))
 
-def parse_ranges(text: Column) -> Column:
+    def mark(token: Column) -> Column:
+        name = F.regexp_replace(token, "^[-.]", "")
+        out = F.concat(F.lit("("), name)
+        for i, below in enumerate(_MAVEN_BELOW):
+            out = F.when(name.isin(*(["rc", "cr"] if below == "rc" else [below])), "!\"#$%"[i]).otherwise(out)
+        out = F.when(name == "sp", "'").when(name.isin("final", "ga", "release"), "").otherwise(out)
+        digits = F.concat(F.when(token.startswith("."), ".").otherwise(")"), _number(name))
+        return F.when(name.rlike(r"^\d"), digits).otherwise(out)
+
+    key = F.concat(_release(F.regexp_extract(text, _MAVEN, 1)), F.array_join(F.transform(tokens, mark), ""), F.lit("&"))
+    wildcard = text.rlike(r"[-.]x($|[-.])")  # names many versions, not one
+    return F.when(text.rlike(_MAVEN) & ~wildcard, key)
+
+
+def version_key(text: Column, scheme: Column | None = None) -> Column:
+    """A key whose text order is version order by ``scheme``; NULL for what is no version by it.
+
+    Without a scheme only dotted numbers are versions: ``1.10.0`` -> ``…01.…10``.
+    """
+    plain = F.regexp_replace(F.trim(text), r"^[vV]", "")
+    dotted = F.when(plain.rlike(rf"^{_NUMBERS}$"), _release(plain))
+    if scheme is None:
+        return dotted
+    return (
+        F.when(scheme == "pep440", _pep440_key(F.lower(plain)))
+        .when(scheme == "semver", _semver_key(plain))
+        .when(scheme == "maven", _maven_key(F.lower(plain)))
+        .otherwise(dotted)
+    )
+
+
+def parse_ranges(text: Column, scheme: Column | None = None) -> Column:
     """Range text to an array of ranges; conditions of one range and the ranges
     themselves are both separated by commas.
 
@@ -32,7 +141,7 @@ def parse_ranges(text: Column) -> Column:
     lowest = F.lit("")
 
     def bound(t: Column) -> Column:
-        return version_key(F.regexp_replace(t, r"^[<>=\s]+", ""))
+        return version_key(F.regexp_replace(t, r"^[<>=\s]+", ""), scheme)
 
     def opened(t: Column) -> Column:
         key = bound(t)

@@ -3,8 +3,10 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.severity import allowed_levels_of
-from ..functions.versions import match_level, parse_ranges, version_key
+from ..functions.versions import parse_ranges, scheme_of, version_key
 from ..schemas import SEVERITY_LADDER
+from ..session import cut
+from .stabbing import blocks_of_point, blocks_of_range, ranked
 
 
 def explode_projects(projects: DataFrame) -> DataFrame:
@@ -12,34 +14,58 @@ def explode_projects(projects: DataFrame) -> DataFrame:
     return projects.select("project", F.inline("dependencies"))
 
 
+#: Above every version key, which begin with a digit.
+_TOP = "~"
+
+
+def affected(versions: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Versions ``(keys, version, key)`` with the ``cve_id`` and ``patched_version`` of the ranges that they lie in.
+
+    Bounds and versions are ranked together; a version and a range meet in the block of ranks that they share.
+    """
+    bounded = ranges.withColumn("hi", F.coalesce("hi", F.lit(_TOP)))
+    ends = [bounded.select(*keys, F.col(end).alias("key")) for end in ("lo", "hi")]
+    ranks, bits = ranked(versions.select(*keys, "key").unionByName(ends[0]).unionByName(ends[1]), [*keys, "key"])
+    low = F.col("low_rank") + F.when(F.col("lo_in"), 0).otherwise(1)
+    high = F.col("high_rank") - F.when(F.coalesce("hi_in", F.lit(False)), 0).otherwise(1)
+    placed = (
+        bounded.join(ranks.withColumnsRenamed({"key": "lo", "rank": "low_rank"}), [*keys, "lo"])
+        .join(ranks.withColumnsRenamed({"key": "hi", "rank": "high_rank"}), [*keys, "hi"])
+        .select("cve_id", "patched_version", F.inline(blocks_of_range(low, high, bits)))
+    )
+    points = versions.join(ranks, [*keys, "key"]).select(*keys, "version", F.inline(blocks_of_point(F.col("rank"), bits)))
+    return points.join(placed, ["size", "place"]).select(*keys, "version", "cve_id", "patched_version")
+
+
 def match(dependencies: DataFrame, packages: DataFrame) -> DataFrame:
-    """Dependencies ``(project, ecosystem, package, version)`` with the CVEs they may have.
+    """Dependencies ``(project, ecosystem, package, version, ...)`` with the CVEs they may have.
 
     ``status`` is affected or unknown; a version outside every range gives no
-    row. Each distinct version is compared once, then handed to its projects.
+    row. Each distinct version is looked up once, by the order of its ecosystem,
+    then handed to its projects with whatever else their rows say.
     """
-    deps = dependencies.select(
-        "project", "ecosystem", "package", "version",
-        F.lower("ecosystem").alias("ecosystem_lc"), F.lower("package").alias("package_lc"),
-    )
+    deps = dependencies.withColumns({"ecosystem_lc": F.lower("ecosystem"), "package_lc": F.lower("package")})
     keys = ["ecosystem_lc", "package_lc"]
-    versions = deps.select(*keys, "version").distinct().withColumn("_key", version_key(F.col("version")))
+    scheme = scheme_of(F.col("ecosystem_lc"))
+    versions = cut(deps.select(*keys, "version").distinct().withColumn("key", version_key(F.col("version"), scheme)))
     # only packages somebody uses, one row per range; without a range nothing can be told
-    ranges = (
-        packages.join(deps.select(*keys).distinct(), keys, "left_semi")
-        .select(*keys, "cve_id", "patched_version", F.explode_outer(parse_ranges(F.col("vulnerable_versions"))).alias("r"))
+    ranges = cut(
+        packages.join(versions.select(*keys).distinct(), keys, "left_semi")
+        .select(*keys, "cve_id", "patched_version", F.explode_outer(parse_ranges(F.col("vulnerable_versions"), scheme)).alias("r"))
         .select(*keys, "cve_id", "patched_version", "r.*")
     )
-    level = match_level(*[F.col(c) for c in ("_key", "lo", "lo_in", "hi", "hi_in", "known")])
-    hits = (
-        versions.join(ranges, keys)
-        .withColumn("_level", level)
-        .where(F.col("_level") > 0)
-        .groupBy(*keys, "version", "cve_id")
-        .agg(F.max("_level").alias("_level"), F.max("patched_version").alias("patched_version"))
+    found = affected(versions.where("key IS NOT NULL"), ranges.where("known"), keys).withColumn("_level", F.lit(2))
+    # what cannot be told: a version without order with all CVEs of its package, any version with those of a range without order
+    grouped = lambda rows: rows.groupBy(*keys, "cve_id").agg(F.max("patched_version").alias("patched_version"))
+    dark = ranges.where("known IS NULL OR NOT known")
+    unclear = (
+        versions.where("key IS NULL").join(grouped(ranges), keys)
+        .unionByName(versions.where("key IS NOT NULL").join(grouped(dark), keys)).drop("key").withColumn("_level", F.lit(1))
     )
+    hits = found.unionByName(unclear).groupBy(*keys, "version", "cve_id").agg(
+        F.max("_level").alias("_level"), F.max("patched_version").alias("patched_version"))
     return deps.join(hits, [*keys, "version"]).select(
-        "project", "ecosystem", "package", "version", "cve_id",
+        *dependencies.columns, "cve_id",
         F.when(F.col("_level") == 2, "affected").otherwise("unknown").alias("status"), "patched_version",
     )
 

@@ -60,10 +60,13 @@ def fold_vulnerabilities(states: DataFrame, columns=tuple(MERGED_COLUMNS)) -> Da
 
 
 def vulnerability_table(folded: DataFrame, columns=tuple(MERGED_COLUMNS)) -> DataFrame:
-    """Stored table from folded states."""
+    """Stored table from folded states; of the last status only a rejection is kept."""
+    last = {c: F.col(f"{c}.value") for c in columns}
+    if "record_status" in last:
+        last["record_status"] = F.when(last["record_status"] == "REJECTED", last["record_status"])
     return folded.select(
         "cve_id",
-        *[F.col(f"{c}.value").alias(c) for c in columns],
+        *[value.alias(c) for c, value in last.items()],
         "cisa_kev",
         "raw_sources",
         F.col("first_seq.synced_at").alias("created_in_db"),

@@ -116,7 +116,7 @@ def nvd_pages(c: Corpus) -> DataFrame:
         F.struct(v31.alias("cvssMetricV31"), v40.alias("cvssMetricV40"), v2.alias("cvssMetricV2")).alias("metrics"),
         F.concat(day, F.lit("T10:15:30.000")).alias("published"),
         F.when(key % 9 != 0, F.concat(day, F.lit("T11:00:00.000"))).alias("lastModified"),
-        F.when(key % 97 == 0, "2025-02-15").alias("cisaActionDue"),
+        F.when(key % 97 == 0, "2024-11-08").alias("cisaActionDue"),
         refs.alias("references"),
     ).alias("cve"))
     return _paged(c.table("part"), "p_partkey", F.to_json(cve), "vulnerabilities")
@@ -137,8 +137,8 @@ _NVD_SQL = _select(
     cvss_version="CASE p_type WHEN 'PROMO' THEN '3.1' WHEN 'LARGE' THEN '4.0' WHEN 'SMALL' THEN '2.0' END",
     severity="CASE WHEN p_type IN ('PROMO', 'LARGE', 'SMALL') THEN CASE WHEN p_size > 25 THEN 'HIGH' ELSE 'LOW' END END",
     cisa_kev="p_partkey % 97 = 0",
-    record_status="CASE WHEN p_partkey % 41 = 0 THEN 'REJECTED' END",
-    cisa_kev_due_date="CASE WHEN p_partkey % 97 = 0 THEN '2025-02-15' END",
+    record_status="CASE WHEN p_partkey % 41 = 0 THEN 'REJECTED' ELSE 'ANALYZED' END",
+    cisa_kev_due_date="CASE WHEN p_partkey % 97 = 0 THEN '2024-11-08' END",
     published_at=f"strftime({_NVD_DAY} + INTERVAL 36930 SECOND, {_SQL_STAMP})",
     modified_at=f"strftime({_NVD_MODIFIED}, {_SQL_STAMP})",
     references="'https://a.example/' || CAST(p_partkey AS VARCHAR) || '|advisory;https://b.example/' || "
@@ -165,7 +165,7 @@ def github_landed(c: Corpus) -> DataFrame:
     none = F.lit(None)
     package = lambda name, rng: F.struct(
         F.struct(F.lit("pip").alias("ecosystem"), name.alias("name")).alias("package"),
-        rng.alias("vulnerable_version_range"), F.lit("2.3.1").alias("first_patched_version"))
+        rng.alias("vulnerable_version_range"), F.lit("3.4.6").alias("first_patched_version"))
     advisory = F.struct(
         F.concat(F.lit("GHSA-"), _s("p_partkey")).alias("ghsa_id"),
         F.when(key % 20 != 0, F.concat(F.lit("CVE-2024-"), _s("p_partkey"))).alias("cve_id"),
@@ -183,7 +183,7 @@ def github_landed(c: Corpus) -> DataFrame:
         F.date_format(F.lit(datetime(2024, 1, 1)) + F.make_dt_interval((key % 365).cast("int")), "yyyy-MM-dd'T'09:30:00'Z'")
         .alias("updated_at"),
         F.array(
-            package(F.concat(F.lit("lib"), _s("p_size")), F.lit(">=2.0.0, <2.3.1")),
+            package(F.concat(F.lit("lib"), _s("p_size")), F.lit(">=3.1.0, <3.4.6")),
             package(F.lit(""), F.lit("< 1")),
             package(F.lit("tool"), none.cast("string")),
         ).alias("vulnerabilities"),
@@ -210,7 +210,7 @@ _GH_FROM = "part WHERE p_partkey % 20 <> 0 AND NOT (p_partkey % 3 <> 0 AND p_par
     severity="CASE p_size % 5 WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'LOW' END",
     published_at=f"strftime({_GH_DAY} + INTERVAL 8 HOUR, {_SQL_STAMP})",
     modified_at=f"strftime({_GH_DAY} + INTERVAL 34200 SECOND, {_SQL_STAMP})",
-    affected_packages="'pip|lib' || CAST(p_size AS VARCHAR) || '|>=2.0.0, <2.3.1|2.3.1;pip|tool|-|2.3.1'",
+    affected_packages="'pip|lib' || CAST(p_size AS VARCHAR) || '|>=3.1.0, <3.4.6|3.4.6;pip|tool|-|3.4.6'",
     references="'https://r.example/' || CAST(p_partkey AS VARCHAR) || '|-'",
 ))
 def normalize_github(c: Corpus) -> DataFrame:

@@ -4,6 +4,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.versions import version_key
 from ..operators import dependencies, stats
 from .corpus import Corpus, with_sql
 from .registry import query
@@ -119,6 +120,47 @@ SELECT project, CAST(day AS VARCHAR) AS day, critical, high, medium, low, total,
   total - coalesce(lag(total) OVER (PARTITION BY project ORDER BY day), 0) AS change FROM counted"""))
 def project_trend(c: Corpus) -> DataFrame:
     """CVEs per project and scan day."""
-    keys = ["project", "ecosystem", "package", "version"]
-    dated = _matches(c).join(c.dependencies.select(*keys, "day").distinct(), keys)
-    return dependencies.severity_trend(dated, c.vulns).withColumn("day", F.col("day").cast("string"))
+    deps = c.dependencies.select("project", "ecosystem", "package", "version", "day").distinct()
+    return dependencies.severity_trend(dependencies.match(deps, c.packages), c.vulns).withColumn("day", F.col("day").cast("string"))
+
+
+#: Orders as releases of a customer's packages, in three ecosystems: place, numbers, and how far a release has come.
+_RELEASES = """releases AS (
+  SELECT o_custkey, ['pep440', 'semver', 'maven'][o_orderkey % 3 + 1] AS scheme, o_orderkey // 7 % 3 AS major,
+    o_orderkey // 3 % 12 AS minor, o_orderkey // 11 % 5 AS phase, o_orderkey // 5 % 13 AS n FROM orders),
+named AS (
+  SELECT o_custkey, scheme, major, minor, phase, major || '.' || minor || CASE scheme
+    WHEN 'pep440' THEN ['.dev' || n, 'a' || n, 'rc' || n, '', '.post' || n][phase + 1]
+    WHEN 'semver' THEN ['.0-' || n, '.0-alpha.' || n, '.0-rc.' || n, '.0', '.1'][phase + 1]
+    ELSE ['-alpha-' || n, '-RC' || n, '-SNAPSHOT', '', '-sp-' || n][phase + 1] END AS version,
+    CASE WHEN phase = 3 OR (scheme = 'semver' AND phase = 4) OR (scheme = 'maven' AND phase = 2) THEN 0 ELSE n END AS n
+  FROM releases)"""
+
+
+@query("latest_versions", f"""WITH {_RELEASES}
+SELECT o_custkey, scheme, arg_max(version, [major, minor, phase, n]) AS latest,
+  arg_min(version, [major, minor, phase, n]) AS first, count(DISTINCT version) AS versions,
+  count(DISTINCT version) FILTER (WHERE [major, minor, phase, n] < [1, 0, 3, 0]) AS before_1
+FROM named GROUP BY o_custkey, scheme""")
+def latest_versions(c: Corpus) -> DataFrame:
+    """The first and last version a customer's orders stand for, and how many come before 1.0, each by its ecosystem."""
+    key = F.col("o_orderkey")
+    n, phase = F.floor(key / 5) % 13, F.floor(key / 11) % 5
+    endings = {
+        "pep440": ([".dev", "a", "rc", "", ".post"], ["n", "n", "n", "", "n"]),
+        "semver": ([".0-", ".0-alpha.", ".0-rc.", ".0", ".1"], ["n", "n", "n", "", ""]),
+        "maven": (["-alpha-", "-RC", "-SNAPSHOT", "", "-sp-"], ["n", "n", "", "", "n"]),
+    }
+    ending = F.lit(None).cast("string")
+    for i, (texts, numbers) in enumerate(endings.values()):
+        for j, (text, number) in enumerate(zip(texts, numbers)):
+            value = F.concat(F.lit(text), n.cast("string")) if number else F.lit(text)
+            ending = F.when((key % 3 == i) & (phase == j), value).otherwise(ending)
+    schemes = F.array(*map(F.lit, endings))
+    rows = c.table("orders").select(
+        "o_custkey", F.get(schemes, (key % 3).cast("int")).alias("scheme"),
+        F.concat_ws("", (F.floor(key / 7) % 3).cast("string"), F.lit("."), (F.floor(key / 3) % 12).cast("string"), ending).alias("version"))
+    keyed = rows.distinct().withColumn("key", version_key(F.col("version"), F.col("scheme")))
+    return keyed.groupBy("o_custkey", "scheme").agg(
+        F.max_by("version", "key").alias("latest"), F.min_by("version", "key").alias("first"), F.count("*").alias("versions"),
+        F.count_if(F.col("key") < version_key(F.lit("1.0"), F.col("scheme"))).alias("before_1"))

@@ -66,7 +66,8 @@ def normalize(raw: DataFrame, seq: Column) -> DataFrame:
         cisa_kev_due_date=parse_iso_date(p("cisaActionDue")),
         published_at=parse_instant(p("published")),
         modified_at=parse_instant(p("lastModified")),
-        record_status=F.when(F.upper(p("vulnStatus")) == "REJECTED", "REJECTED"),
+        # any status: a later one takes a rejection back
+        record_status=F.upper(blank_to_null(p("vulnStatus"))),
         references=F.transform(
             F.filter(p("references"), lambda r: r.url != ""),
             lambda r: F.struct(r.url.alias("url"), _ref_type(r.tags).alias("ref_type")),
