@@ -23,13 +23,15 @@ from pyspark.sql.functions import pandas_udf
 from tokenizers import Tokenizer
 
 from .common import Memo, session, stored, worker_state
-from .lexicon import REMEMBERED, Lexicon, parts, split
+from .lexicon import Lexicon, parts, split
 
 TOKENIZER_FILE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 BLOCK = 1 << 17
 CHECKPOINT = 64
 LIMIT = 16
+#: Words that a task remembers: about 100 MB.
+WORDS = 450_000
 #: Marks that may combine with a letter before it, where case and composition interact.
 MARKS = regex.compile(r"\p{M}")
 
@@ -55,7 +57,7 @@ class WordTokens(Lexicon):
 
     TAIL = bytes(set(string.punctuation.encode()) - set(b"'"))  # an apostrophe may open an ending
 
-    def __init__(self, definition: str, limit: int = REMEMBERED):
+    def __init__(self, definition: str, limit: int = WORDS):
         super().__init__(limit)
         self.tokenizer = Tokenizer.from_str(definition)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
