@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.crawl_state import content_table, log_rows
 from ..session import scratch
 from ..sources import EPSS, OSV_FILES
-from ..streaming.ingest import ingest
+from ..streaming.ingest import ingest, sync_name
 from ..streaming.store import Store
 from .catalog_feeds import nvd_pages, osv_members
 from .corpus import NOW, Corpus, with_sql
@@ -53,7 +53,7 @@ def stream_merge(c: Corpus) -> DataFrame:
     landing, checkpoint = f"{root}/landing/osv", f"{root}/checkpoint/osv"
     members.where(~later).repartition(3).write.text(landing)
     _land_snapshot(c, f"{root}/landing/epss", "CVE-2024-")
-    store = Store(c.spark, f"{root}/store")
+    store = Store(c.spark, f"{root}/store", 8)
     started = datetime(2024, 7, 1, tzinfo=timezone.utc)
     ingest(store, OSV_FILES, landing, checkpoint, started, 2).awaitTermination()
     ingest(store, EPSS, f"{root}/landing/epss", f"{root}/checkpoint/epss", started + timedelta(hours=1)).awaitTermination()
@@ -78,7 +78,7 @@ def feed_sync(c: Corpus) -> DataFrame:
     root = scratch(c.spark, "sync")
     nvd_pages(c).write.partitionBy("page").text(f"{root}/landing/nvd")
     landings = {"nvd": f"{root}/landing/nvd", "epss": _land_snapshot(c, f"{root}/landing/epss", "CVE-2024-")}
-    store = Store(c.spark, f"{root}/store")
+    store = Store(c.spark, f"{root}/store", 8)
     sync_all(store, landings, NOW)
     sync_all(store, landings, NOW + timedelta(hours=7))
     store.compact()
@@ -86,6 +86,35 @@ def feed_sync(c: Corpus) -> DataFrame:
     return rows.select(*_COLUMNS, F.array_join("raw_sources", ",").alias("raw_sources"))
 
 
+@query("store_buckets", f"""WITH scored AS (
+  SELECT l_partkey, max(l_discount) AS d, min(l_tax) AS t, max(CASE WHEN l_returnflag = 'R' THEN l_discount END) AS r,
+    min(CASE WHEN l_returnflag = 'R' THEN l_tax END) AS rt FROM lineitem GROUP BY l_partkey)
+SELECT 'CVE-2024-' || CAST(l_partkey AS VARCHAR) AS cve_id,
+  CASE WHEN l_partkey % 40 = 3 THEN 0.5 WHEN l_partkey % 40 = 7 THEN coalesce(r, d) ELSE d END AS epss_score,
+  CASE WHEN l_partkey % 40 = 3 THEN 0.25 WHEN l_partkey % 40 = 7 THEN coalesce(rt, t) ELSE t END AS epss_percentile,
+  CASE WHEN l_partkey % 40 = 3 THEN 3 WHEN l_partkey % 40 = 7 AND r IS NOT NULL THEN 2 ELSE 1 END AS round FROM scored""")
+def store_buckets(c: Corpus) -> DataFrame:
+    """A snapshot and two partial ones, each folded into the buckets it touches, then all but the last version retired."""
+    root = scratch(c.spark, "buckets")
+    store, lines = Store(c.spark, f"{root}/store", 8), c.table("lineitem")
+    name = F.concat(F.lit("CVE-2024-"), F.col("l_partkey").cast("string")).alias("cve")
+    best = F.max("l_discount").cast("string").alias("epss"), F.min("l_tax").cast("string").alias("percentile")
+    some = F.col("l_partkey") % 40
+    rounds = [
+        lines.groupBy("l_partkey").agg(*best),
+        lines.where((some == 7) & (F.col("l_returnflag") == "R")).groupBy("l_partkey").agg(*best),
+        lines.where(some == 3).select("l_partkey", F.lit("0.5").alias("epss"), F.lit("0.25").alias("percentile")).distinct(),
+    ]
+    for number, scores in enumerate(rounds, 1):
+        path, at = f"{root}/landing/{number}", NOW + timedelta(days=number)
+        scores.select(name, "epss", "percentile").write.option("header", True).csv(path)
+        store.append(EPSS.records(EPSS.read(c.spark, path), at), EPSS.name, sync_name(at))
+        store.compact()
+    store.retire(keep=1)
+    days = F.date_diff(F.col("updated_in_db").cast("date"), F.lit(NOW).cast("date"))
+    return store.published("vulnerabilities").select("cve_id", "epss_score", "epss_percentile", days.alias("round"))
+
+
 #: Claims of a round: fewer than there are pages, so that the order of claims decides.
 _LIMIT = 60
 _CLAIMED = f""", claimed AS (SELECT r.cve_id, r.url FROM page_refs r JOIN vulns v ON v.cve_id = r.cve_id

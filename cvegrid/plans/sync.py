@@ -27,9 +27,8 @@ def sync_feed(store: Store, source: Source, landing: str, now: datetime) -> int:
     """Log what a feed gained since its last sync; returns the number of records."""
     records = source.records(source.read(store.spark, landing), now, fetch_since(last_sync(store, source.name)))
     name = sync_name(now)
-    store.append(records, source.name, name)
-    count = store.log().where((F.col("feed") == source.name) & (F.col("sync") == name)).count()
-    store.record_run(source.name, now, count)
+    count = store.append(records, source.name, name)
+    store.record_run(source.name, now, count, name)
     return count
 
 
@@ -37,9 +36,8 @@ def sync_exploits(store: Store, now: datetime) -> int:
     """Exploit records from the references merged so far."""
     name = sync_name(now)
     store.append(exploitdb.records(store.table("cve_references"), now), "exploitdb", name)
-    mine = store.log().where((F.col("feed") == "exploitdb") & (F.col("sync") == name))
-    count = mine.select("cve_id").distinct().count()
-    store.record_run("exploitdb", now, count)
+    count = store.logged("exploitdb", name).select("cve_id").distinct().count()
+    store.record_run("exploitdb", now, count, name)
     return count
 
 

@@ -169,6 +169,14 @@ CVE_REFERENCES = T.StructType([
     T.StructField("source", T.StringType()),
 ])
 
+#: Name of a stored table -> its columns.
+STORED = {
+    "vulnerabilities": VULNERABILITIES,
+    "affected_packages": AFFECTED_PACKAGES,
+    "exploits": EXPLOITS,
+    "cve_references": CVE_REFERENCES,
+}
+
 RUN_LOG = T.StructType([
     T.StructField("source_name", T.StringType()),
     T.StructField("synced_at", T.TimestampType()),

@@ -3,7 +3,7 @@
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.base import Source
@@ -33,13 +33,13 @@ def ingest(
     Nothing is dropped for being late: there is no watermark, and merging does
     not depend on when a record arrives. ``started`` names the stream's first
     run and stays the same over restarts, so that a retried batch overwrites
-    its own folder. Each batch moves the feed's mark like a batch sync.
+    its own folder, and one that was written and recorded is neither written nor
+    counted again. Each batch moves the feed's mark like a batch sync.
     """
     def write(landed: DataFrame, batch: int) -> None:
         at, name = clock(), sync_name(started, batch)
-        store.append(source.records(landed, at), source.name, name)
-        mine = store.log().where((F.col("feed") == source.name) & (F.col("sync") == name))
-        store.record_run(source.name, at, mine.count())
+        if not store.recorded(source.name, name):
+            store.record_run(source.name, at, store.append(source.records(landed, at), source.name, name), name)
 
     return (
         source.stream(store.spark, landing, files_per_trigger)

@@ -28,10 +28,10 @@ def lines(*records):
 def test_stream_equals_batch_and_replay_changes_nothing(spark, land, tmp_path):
     files = {f"f{i}__json": lines(*[osv(j) for j in range(i, i + 4)]) for i in range(6)}
     landing = land("osv", **files)
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), 4)
     ingest(store, OSV_FILES, landing, str(tmp_path / "cp"), T0, 2).awaitTermination()
     assert store.log().select("sync").distinct().count() == 3
-    whole = Store(spark, str(tmp_path / "whole"))
+    whole = Store(spark, str(tmp_path / "whole"), 4)
     whole.append(OSV_FILES.records(OSV_FILES.read(spark, landing), T0), "osv", sync_name(T0))
     pick = lambda s, n: sorted(map(str, s.table(n).drop("created_in_db", "updated_in_db").collect()))
     for name in ("vulnerabilities", "affected_packages", "exploits", "cve_references"):
@@ -46,7 +46,7 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, land, tmp_path):
 
 
 def test_late_files_are_merged(spark, land, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), 4)
     for hour, stamp in enumerate(["2025-02-01T00:00:00Z", "2020-01-01T00:00:00Z"]):
         landing = land("osv", **{f"late{hour}__json": lines(osv(1, stamp))})
         ingest(store, OSV_FILES, landing, str(tmp_path / "cp"), T0, clock=lambda h=hour: T0 + timedelta(hours=h)).awaitTermination()
@@ -64,7 +64,7 @@ def test_sync_windows_and_order(spark, land, tmp_path):
     with zipfile.ZipFile(folder / "all.zip", "w") as z:
         z.writestr("1.json", json.dumps(osv(1)))
         z.writestr("2.json", json.dumps(osv(2, modified="2025-03-01T05:30:00Z")))
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), 4)
     # the derived exploits see the references of the same run
     assert sync_all(store, {"osv": str(folder)}, T0) == {"osv": 2, "exploitdb": 2}
     assert last_sync(store, "osv") == T0
@@ -76,7 +76,7 @@ def test_sync_windows_and_order(spark, land, tmp_path):
 
 
 def test_failing_feed_keeps_its_mark(spark, tmp_path, land):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), 4)
     csv = land("epss", s__csv="#c\ncve,epss,percentile\nCVE-2025-0001,0.5,0.6\n")
     with pytest.raises(ExceptionGroup):
         sync_all(store, {"osv": str(tmp_path / "missing"), "epss": csv}, T0, forced=["osv", "epss"])
@@ -96,7 +96,7 @@ def cves(table):
 
 
 def test_nothing_is_lost_after_a_compaction(spark, land, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), 4)
     first = land("osv", a__json=lines(osv(1)))
     ingest(store, OSV_FILES, first, str(tmp_path / "cp"), T0).awaitTermination()
     land_osv(spark, store, tmp_path, "later", T0 + timedelta(hours=1), osv(2))
@@ -114,14 +114,14 @@ def test_nothing_is_lost_after_a_compaction(spark, land, tmp_path):
 
 
 def test_streams_move_the_mark(spark, land, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), 4)
     landing = land("osv", a__json=lines(osv(1)))
     ingest(store, OSV_FILES, landing, str(tmp_path / "cp"), T0, clock=lambda: T0 + timedelta(hours=2)).awaitTermination()
     assert last_sync(store, "osv") == T0 + timedelta(hours=2)
 
 
 def test_facts_after_the_package_alert_once(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), 4)
     deps = spark.createDataFrame([("p", "pypi", "pkg1", "1.5")], "project string, ecosystem string, package string, version string")
     out, checkpoint = str(tmp_path / "alerts"), str(tmp_path / "cp")
     land_osv(spark, store, tmp_path, "one", T0, osv(1))
@@ -138,7 +138,7 @@ def test_facts_after_the_package_alert_once(spark, tmp_path):
 
 
 def test_watch(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), 4)
     deps = spark.createDataFrame([("p", "pypi", "pkg1", "1.5"), ("p", "pypi", "pkg2", "9")],
                                  "project string, ecosystem string, package string, version string")
     out, checkpoint = str(tmp_path / "alerts"), str(tmp_path / "cp")
@@ -155,3 +155,72 @@ def test_watch(spark, tmp_path):
     log(osv(3), at=T0 + timedelta(hours=1))
     watch(store, deps, out, checkpoint, min_epss=-1.0).awaitTermination()
     assert spark.read.parquet(out).count() == 1
+
+
+def scores(spark, tmp_path, store, at, rows):
+    folder = tmp_path / f"scores{at:%d%H}"
+    folder.mkdir()
+    (folder / "s.csv").write_text("cve,epss,percentile\n" + "".join(f"CVE-2025-{i:04d},{v},0.5\n" for i, v in rows))
+    return store.append(EPSS.records(EPSS.read(spark, str(folder)), at), "epss", sync_name(at))
+
+
+def test_small_batches_rewrite_their_buckets_alone(spark, tmp_path):
+    store, T1, T2 = Store(spark, str(tmp_path / "store"), buckets=16), T0 + timedelta(hours=1), T0 + timedelta(hours=2)
+    assert scores(spark, tmp_path, store, T0, [(i, 0.1) for i in range(200)]) == 200
+    assert store.compact() == 1
+    reader = store.published("vulnerabilities")  # planned on version 1, read after version 3
+    first = {(r.name, r.bucket): r.made for r in store.manifest(1)}
+    assert len(first) == 16 and set(first.values()) == {1}
+    scores(spark, tmp_path, store, T1, [(7, 0.2)])
+    assert store.compact() == 2
+    scores(spark, tmp_path, store, T2, [(7, 0.3), (8, 0.4)])
+    assert store.compact() == 3
+    made = [r.made for r in store.manifest(3)]
+    assert len(made) == 16 and made.count(3) == 2 and made.count(1) == 14
+    # the files read by version 3 are the old ones but for two buckets
+    files = [f for f in store.published("vulnerabilities").inputFiles()]
+    assert sum("version=3" in f for f in files) == 2 and not any("version=2" in f for f in files)
+    found = {r.cve_id: r.epss_score for r in store.published("vulnerabilities").collect()}
+    assert found == {f"CVE-2025-{i:04d}": {7: 0.3, 8: 0.4}.get(i, 0.1) for i in range(200)}
+    assert {r.epss_score for r in reader.collect()} == {0.1}
+    assert store.published("vulnerabilities").schema.simpleString() == store.table("vulnerabilities").schema.simpleString()
+
+
+def test_retired_files_are_needed_by_no_kept_version(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), buckets=4)
+    store.retire()  # nothing to retire yet
+    for hour in range(4):
+        scores(spark, tmp_path, store, T0 + timedelta(hours=hour), [(i, hour / 10) for i in range(10 * hour, 40)])
+        assert store.compact() == hour + 1
+    kept = store.published("vulnerabilities")
+    before = {n: sorted(map(str, store.table(n).collect())) for n in ("vulnerabilities", "exploits")}
+    store.retire(keep=1)
+    store.retire(keep=1)
+    assert store.log().count() == 0 and kept.count() == 40
+    assert {n: sorted(map(str, store.table(n).collect())) for n in before} == before
+    assert not list((tmp_path / "store" / "states").glob("*/version=1/bucket=*/*.parquet")) or any(
+        r.made == 1 for r in store.manifest(4))
+    # a sync that was folded and retired may be written again, and later ones are folded as ever
+    scores(spark, tmp_path, store, T0 + timedelta(hours=30), [(3, 0.9), (99, 0.8)])
+    assert store.compact() == 5
+    found = {r.cve_id: r.epss_score for r in store.published("vulnerabilities").collect()}
+    assert len(found) == 41 and found["CVE-2025-0003"] == 0.9 and found["CVE-2025-0020"] == 0.2
+
+
+def test_an_empty_sync_makes_an_unchanged_version(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), buckets=4)
+    assert scores(spark, tmp_path, store, T0, []) == 0
+    assert store.compact() == 1 and store.manifest(1) == [] and store.published("exploits").count() == 0
+    scores(spark, tmp_path, store, T0 + timedelta(hours=1), [(1, 0.5)])
+    assert store.compact() == 2 and cves(store.published("vulnerabilities")) == ["CVE-2025-0001"]
+
+
+def test_a_replayed_batch_is_neither_written_nor_counted_again(spark, land, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), 4)
+    landing = land("osv", a__json=lines(osv(1), osv(2)))
+    for checkpoint in ("cp", "cp2"):  # a lost checkpoint replays the batch under the same name
+        ingest(store, OSV_FILES, landing, str(tmp_path / checkpoint), T0).awaitTermination()
+    assert [(r.source_name, r.records) for r in store.runs().collect()] == [("osv", 2)]
+    assert len(store.log().inputFiles()) == 1
+    store.record_run("osv", T0, 2, sync_name(T0))
+    assert store.runs().count() == 1
