@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..schemas import MERGED_COLUMNS
+from ..schemas import MERGED_COLUMNS, NORMALIZED
 
 
 def stamped(value: Column, seq: Column) -> Column:
@@ -74,6 +74,16 @@ def vulnerability_table(folded: DataFrame, columns=tuple(MERGED_COLUMNS)) -> Dat
     )
 
 
+def folded_records(records: DataFrame) -> DataFrame:
+    """Normalized records of one sync without lists, one a CVE: merging them is merging all of them."""
+    folded = fold_vulnerabilities(vulnerability_states(records))
+    parts = {c: F.col(f"{c}.value") for c in MERGED_COLUMNS}
+    parts |= {"cve_id": F.col("cve_id"), "source": F.col("raw_sources")[0], "cisa_kev": F.col("cisa_kev"), "seq": F.col("last_seq")}
+    return folded.select(*[
+        parts.get(f.name, F.array()).cast(f.dataType).alias(f.name) for f in NORMALIZED.fields
+    ])
+
+
 # --- affected packages ------------------------------------------------------------
 
 PACKAGE_KEY = ["cve_id", "ecosystem", "package_name", "source"]

@@ -63,7 +63,13 @@ def stream_merge(c: Corpus) -> DataFrame:
     return store.table("vulnerabilities").select(*_COLUMNS, F.array_join("raw_sources", ",").alias("raw_sources"))
 
 
-@query("feed_sync", f"""WITH {_SNAPSHOT},
+_CHANGED = """snapshot AS (
+  SELECT 'CVE-2024-' || CAST(l_partkey AS VARCHAR) AS cve_id, CASE WHEN l_partkey % 40 = 7 THEN 0.5 ELSE max(l_discount) END
+    AS epss_score, CASE WHEN l_partkey % 40 = 7 THEN 0.25 ELSE min(l_tax) END AS epss_percentile
+  FROM lineitem GROUP BY l_partkey)"""
+
+
+@query("feed_sync", f"""WITH {_CHANGED},
 nvd_side AS (
   SELECT 'CVE-2024-' || CAST(p_partkey AS VARCHAR) AS cve_id,
     CASE WHEN p_partkey % 4 = 0 THEN upper(p_name) ELSE p_name END AS description,
@@ -74,13 +80,18 @@ SELECT coalesce(n.cve_id, s.cve_id) AS cve_id, description, severity, epss_score
   concat_ws(',', CASE WHEN s.cve_id IS NOT NULL THEN 'epss' END, CASE WHEN n.cve_id IS NOT NULL THEN 'nvd' END) AS raw_sources
 FROM nvd_side n FULL JOIN snapshot s ON s.cve_id = n.cve_id""")
 def feed_sync(c: Corpus) -> DataFrame:
-    """Two rounds of batch syncs of landed feeds; the second round reads an overlap again."""
+    """Two rounds of batch syncs of landed feeds; the second finds changed scores in the snapshot and logs these alone."""
     root = scratch(c.spark, "sync")
     nvd_pages(c).write.partitionBy("page").text(f"{root}/landing/nvd")
     landings = {"nvd": f"{root}/landing/nvd", "epss": _land_snapshot(c, f"{root}/landing/epss", "CVE-2024-")}
     store = Store(c.spark, f"{root}/store", 8)
     sync_all(store, landings, NOW)
-    sync_all(store, landings, NOW + timedelta(hours=7))
+    store.compact()
+    changed = c.table("lineitem").where(F.col("l_partkey") % 40 == 7).select(
+        F.concat(F.lit("CVE-2024-"), F.col("l_partkey").cast("string")).alias("cve"), F.lit("0.5").alias("epss"),
+        F.lit("0.25").alias("percentile")).distinct()
+    changed.write.mode("append").option("header", True).option("compression", "gzip").csv(landings["epss"])
+    sync_all(store, landings, NOW + timedelta(hours=25))
     store.compact()
     rows = store.published("vulnerabilities")
     return rows.select(*_COLUMNS, F.array_join("raw_sources", ",").alias("raw_sources"))

@@ -15,7 +15,9 @@ class Source:
 
     ``unpack`` turns landed rows into one row per record
     ``(cve_id, payload, arrival)``; ``since`` is the incremental filter on
-    those rows; ``normalize`` projects them onto the common record.
+    those rows; ``normalize`` projects them onto the common record. ``every``
+    is the number of seconds between syncs. A ``snapshot`` feed states all its
+    values anew each time and has no lists; syncs log what changed in it.
     """
 
     name: str
@@ -25,6 +27,13 @@ class Source:
     since: Callable[[DataFrame, datetime, datetime], DataFrame]
     normalize: Callable[[DataFrame, Column], DataFrame]
     options: dict[str, str] = field(default_factory=dict)
+    every: int = 21_600
+    snapshot: bool = False
+
+    @property
+    def rank(self) -> int:
+        """Place among feeds that sync at the same instant; further feeds come after the fixed ones."""
+        return _rank(self.name)
 
     def read(self, spark: SparkSession, path: str) -> DataFrame:
         """Landed files as rows, each with its file and block for ordering."""
@@ -52,6 +61,10 @@ class Source:
         return self.normalize(raw, arrival_seq(self.name, F.lit(synced_at)))
 
 
+def _rank(source: str) -> int:
+    return SOURCE_ORDER.index(source) if source in SOURCE_ORDER else len(SOURCE_ORDER)
+
+
 def _with_file(df: DataFrame) -> DataFrame:
     return df.select(
         "*",
@@ -76,10 +89,9 @@ def arrival(item: Column | None = None, row: Column | None = None) -> Column:
 
 def arrival_seq(source: str, synced_at: Column) -> Column:
     """Arrival order across syncs and feeds, from the record's own ``arrival``."""
-    rank = SOURCE_ORDER.index(source) if source in SOURCE_ORDER else len(SOURCE_ORDER)
     return F.struct(
         synced_at.cast("timestamp").alias("synced_at"),
-        F.lit(rank).alias("source_rank"),
+        F.lit(_rank(source)).alias("source_rank"),
         *[F.col(f"arrival.{f}").alias(f) for f in ARRIVAL.fieldNames()],
     )
 

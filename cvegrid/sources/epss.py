@@ -30,4 +30,5 @@ def normalize(raw: DataFrame, seq: Column) -> DataFrame:
     )
 
 
-EPSS = Source("epss", SCHEMA, "csv", unpack, since, normalize, {"header": "true", "comment": "#"})
+EPSS = Source("epss", SCHEMA, "csv", unpack, since, normalize, {"header": "true", "comment": "#"},
+              every=86_400, snapshot=True)

@@ -43,4 +43,4 @@ def normalize(raw: DataFrame, seq: Column) -> DataFrame:
     )
 
 
-KEV = Source("cisa_kev", SCHEMA, "json", unpack, since, normalize, {"multiLine": "true"})
+KEV = Source("cisa_kev", SCHEMA, "json", unpack, since, normalize, {"multiLine": "true"}, every=86_400)

@@ -14,7 +14,7 @@ need. The driver handles names of files, buckets and versions, never records.
 
 Layout under the root: ``log/feed=…/sync=…``, ``runs/source_name=…/sync=…``,
 ``states/<table>/version=…/bucket=…``, ``tables/<table>/version=…/bucket=…``,
-``manifest/version=…``, ``held/version=…``, ``versions``.
+``manifest/version=…``, ``held/version=…``, ``versions``, ``snapshots/feed=…/sync=…``.
 """
 
 from collections.abc import Iterable
@@ -26,8 +26,8 @@ from urllib.parse import unquote
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F, types as T
 
-from ..operators.merge import FOLDS, TABLES, batch_states, merge
-from ..schemas import NORMALIZED, RUN_LOG, STORED
+from ..operators.merge import FOLDS, TABLES, batch_states, folded_records, merge
+from ..schemas import MERGED_COLUMNS, NORMALIZED, RUN_LOG, STORED
 from ..session import local
 
 _LOG = T.StructType([
@@ -79,6 +79,24 @@ class Store:
         """Normalized records of all syncs that are still logged."""
         return self._table("log", _LOG)
 
+    def changes(self, records: DataFrame, feed: str, sync: str, before: str | None) -> DataFrame:
+        """Of a whole snapshot, one record for each CVE that the snapshot ``before`` lacked or had other values of.
+
+        The snapshot is kept beside the log for the next one to compare with.
+        """
+        values = [*MERGED_COLUMNS, "cisa_kev"]
+        path = f"{self.root}/snapshots/feed={feed}"
+        print_of = F.xxhash64(*[F.struct(F.col(c), F.col(c).isNull()) for c in values]).alias("print")
+        folded_records(records).select("*", print_of).write.mode("overwrite").parquet(f"{path}/sync={sync}")
+        now = self.spark.read.parquet(f"{path}/sync={sync}")
+        if before is not None and before != sync and self._exists(f"{path}/sync={before}/_SUCCESS"):
+            now = now.join(self.spark.read.parquet(f"{path}/sync={before}").select("cve_id", "print"), ["cve_id", "print"], "left_anti")
+        return now.select(*NORMALIZED.fieldNames())
+
+    def forget_snapshot(self, feed: str, sync: str) -> None:
+        """Remove a snapshot that a later recorded one replaces."""
+        self._remove(f"{self.root}/snapshots/feed={feed}/sync={sync}")
+
     def record_run(self, source: str, synced_at: datetime, records: int, sync: str) -> None:
         """The high-water mark moves only after all of a sync is written; a sync counts once, however often it is recorded."""
         row = local(self.spark, [(synced_at, records)], "synced_at TIMESTAMP, records BIGINT")

@@ -1,12 +1,16 @@
 """Store, streams, batch syncs, watch mode."""
 
 import json
+import os
+from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from cvegrid.plans.sync import fetch_since, last_sync, sync_all
-from cvegrid.sources import EPSS, OSV_FILES
+from cvegrid.sources import EPSS, OSV_FILES, SOURCES, register
+from cvegrid.sources.base import conform
 from cvegrid.streaming.ingest import ingest, sync_name
 from cvegrid.streaming.store import Store
 from cvegrid.streaming.watch import alerted, watch
@@ -224,3 +228,43 @@ def test_a_replayed_batch_is_neither_written_nor_counted_again(spark, land, tmp_
     assert len(store.log().inputFiles()) == 1
     store.record_run("osv", T0, 2, sync_name(T0))
     assert store.runs().count() == 1
+
+
+def test_a_repeated_snapshot_logs_its_changes_alone(spark, tmp_path):
+    store, folder = Store(spark, str(tmp_path / "store"), 4), tmp_path / "epss"
+    folder.mkdir()
+
+    def synced(day, name=None, text=""):
+        if name:
+            (folder / name).write_text("cve,epss,percentile\n" + text)
+            os.utime(folder / name, (1_700_000_000 + day, 1_700_000_000 + day))
+        return sync_all(store, {"epss": str(folder)}, T0 + timedelta(days=day), sources={"epss": EPSS})["epss"]
+
+    assert synced(0, "a.csv", "CVE-2025-0001,0.1,0.2\nCVE-2025-0002,0.3,\nCVE-2025-0001,0.1,0.2\n") == 2
+    assert [synced(1), synced(2)] == [0, 0] and last_sync(store, "epss") == T0 + timedelta(days=2)
+    # a value that comes or goes is a change; NULL does not compete with what is stored
+    assert synced(3, "b.csv", "CVE-2025-0002,0.3,0.9\nCVE-2025-0003,,0.5\n") == 2
+    assert synced(4) == 0 and store.log().count() == 4
+    found = {r.cve_id[-1]: (r.epss_score, r.epss_percentile) for r in store.table("vulnerabilities").collect()}
+    assert found == {"1": (0.1, 0.2), "2": (0.3, 0.9), "3": (None, 0.5)}
+    assert len(os.listdir(tmp_path / "store" / "snapshots" / "feed=epss")) == 1
+
+
+def test_a_registered_feed_is_due_synced_and_ranked(spark, tmp_path):
+    store, folder = Store(spark, str(tmp_path / "store"), 4), tmp_path / "vendor"
+    folder.mkdir()
+    (folder / "v.csv").write_text("cve,epss,percentile\nCVE-2025-0001,0.9,\n")
+    own = replace(EPSS, name="vendor", every=60, normalize=lambda raw, seq: conform(
+        raw, "vendor", seq, F.col("cve_id"), epss_score=F.col("payload.epss").cast("double")))
+    register(own)
+    try:
+        (tmp_path / "epss").mkdir()
+        (tmp_path / "epss" / "e.csv").write_text("cve,epss,percentile\nCVE-2025-0001,0.4,0.5\n")
+        landings = {"vendor": str(folder), "epss": str(tmp_path / "epss")}
+        assert sync_all(store, landings, T0) == {"epss": 1, "vendor": 1, "exploitdb": 0}
+        assert sync_all(store, landings, T0 + timedelta(seconds=59)) == {}
+        assert sync_all(store, landings, T0 + timedelta(seconds=60)) == {"vendor": 0}
+        row = store.table("vulnerabilities").first()
+        assert (row.epss_score, row.epss_percentile, row.raw_sources) == (0.9, 0.5, ["epss", "vendor"])
+    finally:
+        del SOURCES["vendor"]
