@@ -9,6 +9,7 @@ from ..session import scratch
 from ..sources import EPSS, OSV_FILES
 from ..streaming.ingest import ingest, sync_name
 from ..streaming.store import Store
+from ..streaming.watch import alerted, watch
 from .catalog_feeds import nvd_pages, osv_members
 from .corpus import NOW, Corpus, with_sql
 from .enrich import read_log, run_round
@@ -126,6 +127,42 @@ def store_buckets(c: Corpus) -> DataFrame:
     return store.published("vulnerabilities").select("cve_id", "epss_score", "epss_percentile", days.alias("round"))
 
 
+@query("watch_alerts", """WITH scores AS (SELECT l_partkey, max(l_discount) AS score FROM lineitem GROUP BY l_partkey)
+SELECT 'C' || CAST(c_custkey AS VARCHAR) AS project, 'pypi' AS ecosystem, 'pkg' || CAST(p_partkey AS VARCHAR) AS package,
+  '1.5rc1' AS version, 'CVE-2025-' || CAST(p_partkey AS VARCHAR) AS cve_id, 'affected' AS status, '2' AS patched_version,
+  CASE WHEN p_size > 40 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, false AS cisa_kev, score AS epss_score
+FROM customer JOIN part ON p_partkey = c_custkey JOIN scores ON l_partkey = p_partkey
+WHERE c_custkey % 3 <> 0 AND p_size > 25 AND score > 0.08""")
+def watch_alerts(c: Corpus) -> DataFrame:
+    """Watch mode over three syncs: packages, then the scores that make them alert, then the same scores again."""
+    root = scratch(c.spark, "watch")
+    store, out = Store(c.spark, f"{root}/store", 8), f"{root}/alerts"
+    key = F.col("p_partkey").cast("string")
+    fixed = F.struct(F.lit("ECOSYSTEM").alias("type"), F.array(
+        F.struct(F.lit("1").alias("introduced"), F.lit(None).cast("string").alias("fixed")),
+        F.struct(F.lit(None).cast("string").alias("introduced"), F.lit("2").alias("fixed"))).alias("events"))
+    level = F.when(F.col("p_size") > 40, "CRITICAL").when(F.col("p_size") > 25, "HIGH").otherwise("LOW")
+    affected = F.struct(
+        F.struct(F.lit("PyPI").alias("ecosystem"), F.concat(F.lit("pkg"), key).alias("name")).alias("package"),
+        F.struct(level.alias("severity")).alias("database_specific"), F.array(fixed).alias("ranges"))
+    advisory = F.struct(
+        F.concat(F.lit("OSV-"), key).alias("id"), F.array(F.concat(F.lit("CVE-2025-"), key)).alias("aliases"),
+        F.lit("2024-06-01T00:00:00Z").alias("modified"), F.array(affected).alias("affected"))
+    c.table("part").select(F.to_json(advisory).alias("value")).write.text(f"{root}/landing/osv")
+    _land_snapshot(c, f"{root}/landing/epss", "CVE-2025-")
+    customer = F.col("c_custkey")
+    projects = c.table("customer").select(
+        F.concat(F.lit("C"), customer.cast("string")).alias("project"), F.lit("pypi").alias("ecosystem"),
+        F.concat(F.lit("pkg"), customer.cast("string")).alias("package"),
+        F.when(customer % 3 == 0, "2.0").otherwise("1.5rc1").alias("version"))
+    for hour, source in enumerate((OSV_FILES, EPSS, EPSS)):
+        at = NOW + timedelta(hours=hour)
+        landed = source.read(c.spark, f"{root}/landing/{source.name}")
+        store.append(source.records(landed, at), source.name, sync_name(at))
+        watch(store, projects, out, f"{root}/checkpoint", min_epss=0.08).awaitTermination()
+    return alerted(c.spark, out)
+
+
 #: Claims of a round: fewer than there are pages, so that the order of claims decides.
 _LIMIT = 60
 _CLAIMED = f""", claimed AS (SELECT r.cve_id, r.url FROM page_refs r JOIN vulns v ON v.cve_id = r.cve_id
