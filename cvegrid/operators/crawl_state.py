@@ -8,38 +8,70 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import MAX_CRAWL_ATTEMPTS
 
-EVENTS = ["seed", "claim", "release", "fail", "complete"]
+JOB = ("cve_id", "url")
 
+#: Events of a job, with the order in which they happen within one round. A
+#: page that could not be stored is free again without a failure being counted,
+#: and so is one whose content has changed since it was stored.
+EVENTS = {"seed": 0, "release": 1, "changed": 1, "claim": 2, "fail": 3, "unstored": 3, "complete": 4}
 
-def _order(event: Column, *at: str) -> Column:
-    """Time, and within one round the order in which steps happen."""
-    step = F.when(event == "seed", 0).when(event == "release", 1).when(event == "claim", 2).when(event == "fail", 3).otherwise(4)
-    return F.struct(*at, step.alias("_step"))
 
+def step(event: Column) -> Column:
+    """Place of an event within its round."""
+    places = F.create_map(*[F.lit(x) for pair in EVENTS.items() for x in pair])
+    return F.coalesce(F.try_element_at(places, event), F.lit(max(EVENTS.values())))
 
-def fold_progress(events: DataFrame, keys=("cve_id", "url"), at=("at",)) -> DataFrame:
-    """Status and attempts per job from its events.
 
-    Failures are counted over the job's life; the third makes it dead. Each
-    task reduces its events first, so one busy job stays one row per task.
-    """
+def event_states(events: DataFrame, keys=JOB, at=("at",)) -> DataFrame:
+    """One unmerged state per event: the event with its place in time, and whether it counts as a failure."""
     event = F.col("event")
-    last = F.max_by(event, _order(event, *at))
-    attempts = F.count_if(event == "fail")
-    return events.groupBy(*keys).agg(last.alias("_last"), attempts.cast("int").alias("attempts")).select(
+    return events.select(
+        *keys,
+        F.struct(*at, step(event).alias("step"), event.alias("event")).alias("last"),
+        (event == "fail").cast("int").alias("attempts"),
+    )
+
+
+def fold_states(states: DataFrame, keys=JOB) -> DataFrame:
+    """States of the same job become one: the last event, and all failures.
+
+    Each task reduces its states first, so one busy job stays one row per task.
+    Failures add up, so no event may be folded in twice.
+    """
+    kept = [F.max(c).alias(c) for c in ("domain", "page") if c in states.columns]
+    return states.groupBy(*keys).agg(F.max("last").alias("last"), F.sum("attempts").cast("int").alias("attempts"), *kept)
+
+
+def queue(states: DataFrame, keys=JOB) -> DataFrame:
+    """Status and attempts per job from its folded state; the third failure makes it dead."""
+    last, attempts = F.col("last.event"), F.col("attempts")
+    return states.select(
         *keys,
-        F.when(F.col("_last") == "complete", "complete")
-        .when(F.col("_last") == "claim", "claimed")
-        .when((F.col("_last") == "fail") & (F.col("attempts") >= MAX_CRAWL_ATTEMPTS), "dead")
+        F.when(last == "complete", "complete")
+        .when(last == "claim", "claimed")
+        .when((last == "fail") & (attempts >= MAX_CRAWL_ATTEMPTS), "dead")
         .otherwise("pending").alias("status"),
         "attempts",
+        *[c for c in ("domain",) if c in states.columns],
+    )
+
+
+def fold_progress(events: DataFrame, keys=JOB, at=("at",)) -> DataFrame:
+    """Status and attempts per job from its events."""
+    return queue(fold_states(event_states(events, keys, at), keys), keys)
+
+
+def log_states(log: DataFrame) -> DataFrame:
+    """States of logged events, with the job's domain and a print of the page stored last."""
+    page = F.struct("at", F.sha2("content", 256).alias("print"))
+    return event_states(
+        log.withColumn("page", F.when(F.col("event") == "complete", page)), (*JOB, "domain", "page")
     )
 
 
 def progress_table(log: DataFrame) -> DataFrame:
     """Work queue with domains."""
-    domains = log.where(F.col("event") == "seed").groupBy("cve_id", "url").agg(F.max("domain").alias("domain"))
-    return fold_progress(log).join(domains, ["cve_id", "url"], "left")
+    return queue(fold_states(log_states(log)))
 
 
 def content_table(log: DataFrame) -> DataFrame:
@@ -64,14 +96,26 @@ def log_rows(jobs: DataFrame, event: str, at, domain=None, content=None, embeddi
     )
 
 
-def expired_claims(log: DataFrame, now, lease_hours: int) -> DataFrame:
+def lost_claims(states: DataFrame, now, lease_hours: int) -> DataFrame:
     """Claims older than the lease, as release rows; otherwise a lost claim would stay claimed."""
-    event = F.col("event")
-    state = log.groupBy("cve_id", "url").agg(
-        F.max_by(event, _order(event, "at")).alias("_last"), F.max("at").alias("_at")
-    )
-    old = F.col("_at") < F.lit(now).cast("timestamp") - F.make_dt_interval(hours=F.lit(lease_hours))
-    return log_rows(state.where((F.col("_last") == "claim") & old), "release", now)
+    old = F.col("last.at") < F.lit(now).cast("timestamp") - F.make_dt_interval(hours=F.lit(lease_hours))
+    return log_rows(states.where((F.col("last.event") == "claim") & old), "release", now)
+
+
+def expired_claims(log: DataFrame, now, lease_hours: int) -> DataFrame:
+    """``lost_claims`` of a log."""
+    return lost_claims(fold_states(event_states(log)), now, lease_hours)
+
+
+def requeued(states: DataFrame, fetched: DataFrame, now) -> DataFrame:
+    """Rows that free completed jobs whose page, fetched again as ``(cve_id, url, text)``, is not the stored one.
+
+    A page fetched again without text says nothing about the stored one.
+    """
+    done = states.where((F.col("last.event") == "complete") & (F.col("last.at") < F.lit(now).cast("timestamp")))
+    seen = fetched.where(F.coalesce("text", F.lit("")) != "").select(*JOB, F.sha2("text", 256).alias("_print"))
+    changed = done.join(seen, list(JOB)).where(F.col("_print") != F.col("page.print"))
+    return log_rows(changed.select(*JOB).distinct(), "changed", now)
 
 
 def changed_pages(stored: DataFrame, fetched: DataFrame) -> DataFrame:

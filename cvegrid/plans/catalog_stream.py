@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.crawl_state import content_table, log_rows
 from ..session import scratch
 from ..sources import EPSS, OSV_FILES
+from ..streaming.crawl import crawl_stream, current_queue
 from ..streaming.ingest import ingest, sync_name
 from ..streaming.store import Store
 from ..streaming.watch import alerted, watch
@@ -205,3 +206,20 @@ def stored_pages(c: Corpus) -> DataFrame:
     path, queue = _two_rounds(c)
     pages = content_table(read_log(c.spark, path)).where(F.col("content") != "")
     return pages.join(queue, ["cve_id", "url"]).select("cve_id", "url", F.size("embedding").alias("width"), "status")
+
+
+@query("crawl_stream", with_sql("crawl_events", """
+SELECT job, attempts, CASE WHEN last = 'complete' THEN 'complete' WHEN last = 'claim' THEN 'claimed'
+  WHEN last = 'fail' AND attempts >= 3 THEN 'dead' ELSE 'pending' END AS status
+FROM (SELECT job, arg_max(event, row(ts, event_id)) AS last,
+        CAST(count(*) FILTER (WHERE event = 'fail') AS INTEGER) AS attempts
+      FROM crawl_events GROUP BY job)"""))
+def crawl_queue_stream(c: Corpus) -> DataFrame:
+    """The work queue kept as a stream's state; it goes on after a restart, with events older than those it has seen."""
+    root = scratch(c.spark, "queue")
+    events = c.crawl_events.withColumnRenamed("ts", "at")
+    for part in (1, 0):
+        events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{root}/landing")
+        landed = c.spark.readStream.schema(events.schema).parquet(f"{root}/landing")
+        crawl_stream(landed, f"{root}/jobs", f"{root}/checkpoint", ["job"], F.col("event_id")).awaitTermination()
+    return current_queue(c.spark.read.parquet(f"{root}/jobs"), ["job"])

@@ -59,3 +59,10 @@ def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     fields = to_arrow_schema(StructType.fromDDL(schema))
     columns = list(zip(*rows)) or [()] * len(fields)
     return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields), schema)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names of the entries of a folder; none if it does not exist."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return sorted(f.getPath().getName() for f in system.listStatus(place)) if system.exists(place) else []

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from cvegrid.functions.text import cap_utf8, content_type, domain_of, estimate_tokens, html_text
 from cvegrid.functions.versions import match_level, parse_ranges, version_key
 from cvegrid.operators import crawl_state, dependencies, frontier, semantic, stats
-from cvegrid.plans.enrich import read_log, run_round, seed_and_claim
+from cvegrid.plans.enrich import queue_before, read_log, run_round, seed_and_claim
 from cvegrid.schemas import CRAWL_LOG
+from cvegrid.streaming.crawl import crawl_stream, current_queue
 
 NOW = datetime(2025, 3, 1, 6, tzinfo=timezone.utc)
 
@@ -223,3 +224,66 @@ def test_hosts_are_compared_as_hosts(spark):
              "https://evil-exploit-db.com/exploits/1": "vendor_advisory", "https://www.exploit-db.com/exploits/1": "poc_readme"}
     rows = spark.createDataFrame([(u,) for u in kinds], "url string")
     assert {r.url: r.kind for r in rows.select("url", content_type(F.col("url")).alias("kind")).collect()} == kinds
+
+
+def test_stream_of_events_equals_the_fold(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [("c", "hot" if rng.random() < 0.33 else f"u{rng.randrange(9)}", None, rng.choice(list(crawl_state.EVENTS)),
+             NOW + timedelta(seconds=i), None, None) for i in range(300)]
+    odd = [("c", "u0", None, None, NOW, None, None), ("c", "u1", None, "fail", None, None, None), (None, "u2", None, "claim", NOW, None, None)]
+    rng.shuffle(rows)  # they arrive in any order
+    landing, out, checkpoint = (str(tmp_path / n) for n in ("landing", "out", "checkpoint"))
+    landed = spark.readStream.schema(CRAWL_LOG)
+    for part in (rows[:100], rows[100:] + odd):  # the second start is a restart
+        spark.createDataFrame(part, CRAWL_LOG).write.mode("append").parquet(landing)
+        crawl_stream(landed.parquet(landing), out, checkpoint).awaitTermination()
+    both = rows + odd[2:]
+    fold = {(r.cve_id, r.url): (r.status, r.attempts) for r in crawl_state.fold_progress(spark.createDataFrame(both, CRAWL_LOG)).collect()}
+    found = current_queue(spark.read.parquet(out)).collect()
+    assert {(r.cve_id, r.url): (r.status, r.attempts) for r in found} == fold
+    # nothing new: nothing is read, written or counted again
+    before = spark.read.parquet(out).count()
+    crawl_stream(landed.parquet(landing), out, checkpoint).awaitTermination()
+    assert spark.read.parquet(out).count() == before
+
+
+def test_failed_stores_and_changed_pages_are_queued_again(spark, tmp_path):
+    refs = spark.createDataFrame([("c1", "https://h/0"), ("c1", "https://h/1")], "cve_id string, url string")
+    vulns = spark.createDataFrame([("c1", True, 0.5, None)], "cve_id string, cisa_kev boolean, epss_score double, cvss_score double")
+
+    def page(text):
+        return spark.createDataFrame([("c1", f"https://h/{i}", 200, f"<body>{text}</body>".encode()) for i in (0, 1)],
+                                     "cve_id string, url string, status int, body binary")
+
+    vectors = spark.createDataFrame([("c1", "https://h/0", [0.5, 0.5]), ("c1", "https://h/1", [0.5])],
+                                    "cve_id string, url string, embedding array<float>")
+    path = str(tmp_path / "log")
+
+    def after(day, text="old", limit=5, **more):
+        rows = run_round(spark, path, refs, vulns, page(text), vectors, NOW + timedelta(days=day), limit=limit, width=2, **more)
+        return {r.url[-1]: (r.status, r.attempts) for r in rows.collect()}
+
+    # the second page comes with a vector of another width: it is not stored, and no failure is counted
+    assert after(0) == {"0": ("complete", 0), "1": ("pending", 0)}
+    assert after(1, refetched=page("old")) == {"0": ("complete", 0), "1": ("pending", 0)}
+    assert after(2, "new", limit=0, refetched=page("new")) == {"0": ("pending", 0), "1": ("pending", 0)}
+    assert after(3, "new") == after(3, "new") == {"0": ("complete", 0), "1": ("pending", 0)}
+    assert [r.content for r in crawl_state.content_table(read_log(spark, path)).collect()] == ["new"]
+    # a round that is repeated with later ones in place starts from what was before it
+    assert after(2, "new", limit=0, refetched=page("new")) == {"0": ("pending", 0), "1": ("pending", 0)}
+    assert after(4, "new", refetched=page("")) == {"0": ("complete", 0), "1": ("pending", 0)}
+
+
+def test_a_round_folds_what_the_last_queue_does_not_hold(spark, tmp_path):
+    refs = spark.createDataFrame([("c1", "https://h/0")], "cve_id string, url string")
+    vulns = spark.createDataFrame([("c1", True, 0.5, None)], "cve_id string, cisa_kev boolean, epss_score double, cvss_score double")
+    pages = spark.createDataFrame([("c1", "https://h/0", 500, b"")], "cve_id string, url string, status int, body binary")
+    vectors = spark.createDataFrame([], "cve_id string, url string, embedding array<float>")
+    path = str(tmp_path / "log")
+    for day in range(3):
+        run_round(spark, path, refs, vulns, pages, vectors, NOW + timedelta(days=day), width=2)
+    states, steps = queue_before(spark, path, "9")
+    files = states.inputFiles()
+    assert len(steps) == 6 and not any("/step=" in f for f in files) and any("/_queues/" in f for f in files)
+    assert [(r.status, r.attempts) for r in crawl_state.queue(states).collect()] == [("dead", 3)]
+    assert read_log(spark, path).count() == 7
