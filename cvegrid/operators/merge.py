@@ -208,6 +208,45 @@ def merge(name: str, states: DataFrame | None, base: DataFrame | None = None) ->
     return FOLDS[name](union_all(base, states))
 
 
+# --- deletions --------------------------------------------------------------------
+
+def deletions(removed: DataFrame) -> DataFrame:
+    """Last deletion per CVE of rows ``(cve_id, deleted_at)``."""
+    return removed.where(F.col("cve_id").isNotNull() & F.col("deleted_at").isNotNull()).groupBy("cve_id").agg(
+        F.max("deleted_at").alias("deleted_at")
+    )
+
+
+def _later(stamp: Column) -> Column:
+    return stamp.isNotNull() & (stamp.getField("synced_at") > F.col("deleted_at"))
+
+
+def without_deleted(name: str, states: DataFrame, deleted: DataFrame) -> DataFrame:
+    """States of a table, folded or not, as if all that was synced up to a CVE's deletion had not been.
+
+    A deletion takes the CVE's values and its child rows; what is synced after
+    it comes back, and syncing an older record again does not. Values have
+    stamps and go one by one. A folded state's flag and sources have none: they
+    go where nothing of the CVE is later than its deletion, so a deletion has
+    to be applied before what follows it is folded in.
+    """
+    kept = states.columns
+    rows = states.join(deleted, "cve_id", "left")
+    live = F.col("deleted_at").isNull()
+    if name == "affected_packages":
+        return rows.where(live | _later(F.col("versions.seq.seq"))).select(*kept)
+    if name == "vulnerabilities":
+        stamps = {c: F.col(f"{c}.seq") for c in kept if c in MERGED_COLUMNS}
+        first = F.when(live | _later(F.col("first_seq")), F.col("first_seq")).otherwise(F.col("last_seq"))
+        rows = rows.where(live | _later(F.col("last_seq"))).withColumn("first_seq", first)
+    else:
+        values = EXPLOIT_VALUES if name == "exploits" else REFERENCE_VALUES
+        stamps = {c: F.col(f"{c}.seq.seq") for c in values}
+        # a child row without any value has no stamp, and goes with its CVE
+        rows = rows.where(live | _later(F.greatest(*stamps.values())))
+    return rows.withColumns({c: F.when(live | _later(s), F.col(c)) for c, s in stamps.items()}).select(*kept)
+
+
 def split_by_parent(children: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Child rows with a stored CVE, and the rest for quarantine."""
     keys = parents.select("cve_id")

@@ -128,6 +128,34 @@ def store_buckets(c: Corpus) -> DataFrame:
     return store.published("vulnerabilities").select("cve_id", "epss_score", "epss_percentile", days.alias("round"))
 
 
+@query("store_deletions", f"""WITH {_SNAPSHOT}
+SELECT cve_id, CASE WHEN part % 10 = 0 THEN 0.5 ELSE epss_score END AS epss_score,
+  CASE WHEN part % 10 = 0 THEN NULL ELSE epss_percentile END AS epss_percentile, CASE WHEN part % 10 = 0 THEN 3 ELSE 0 END AS since
+FROM (SELECT *, CAST(split_part(cve_id, '-', 3) AS BIGINT) AS part FROM snapshot) WHERE part % 5 <> 0 OR part % 10 = 0""")
+def store_deletions(c: Corpus) -> DataFrame:
+    """A snapshot, of which every fifth CVE is deleted; the same snapshot in an overlap; half of the deleted come back later."""
+    root = scratch(c.spark, "deletions")
+    store, part = Store(c.spark, f"{root}/store", 8), F.col("l_partkey")
+    landing = _land_snapshot(c, f"{root}/landing/epss", "CVE-2024-")
+    name = F.concat(F.lit("CVE-2024-"), part.cast("string"))
+
+    def log(path: str, at: datetime) -> None:
+        store.append(EPSS.records(EPSS.read(c.spark, path), at), EPSS.name, sync_name(at))
+
+    log(landing, NOW)
+    store.compact()
+    deleted = NOW + timedelta(days=2)
+    store.delete(c.table("lineitem").where(part % 5 == 0).select(name.alias("cve_id")), deleted, sync_name(deleted))
+    log(landing, NOW)  # logged again, as synced before the deletion
+    store.compact()
+    back = c.table("lineitem").where(part % 10 == 0).select(name.alias("cve"), F.lit("0.5").alias("epss"), F.lit("").alias("percentile"))
+    back.distinct().write.option("header", True).csv(f"{root}/landing/back")
+    log(f"{root}/landing/back", NOW + timedelta(days=3))
+    store.compact()
+    days = F.date_diff(F.col("created_in_db").cast("date"), F.lit(NOW).cast("date"))
+    return store.published("vulnerabilities").select("cve_id", "epss_score", "epss_percentile", days.alias("since"))
+
+
 @query("watch_alerts", """WITH scores AS (SELECT l_partkey, max(l_discount) AS score FROM lineitem GROUP BY l_partkey)
 SELECT 'C' || CAST(c_custkey AS VARCHAR) AS project, 'pypi' AS ecosystem, 'pkg' || CAST(p_partkey AS VARCHAR) AS package,
   '1.5rc1' AS version, 'CVE-2025-' || CAST(p_partkey AS VARCHAR) AS cve_id, 'affected' AS status, '2' AS patched_version,

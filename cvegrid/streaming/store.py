@@ -14,7 +14,12 @@ need. The driver handles names of files, buckets and versions, never records.
 
 Layout under the root: ``log/feed=…/sync=…``, ``runs/source_name=…/sync=…``,
 ``states/<table>/version=…/bucket=…``, ``tables/<table>/version=…/bucket=…``,
-``manifest/version=…``, ``held/version=…``, ``versions``, ``snapshots/feed=…/sync=…``.
+``manifest/version=…``, ``held/version=…``, ``versions``, ``snapshots/feed=…/sync=…``,
+``deletions/sync=…``.
+
+A deletion is logged like a sync and holds for all that was synced before it,
+also where that is logged later: deletions are kept, and applied to what the
+log has gained and to the buckets that a deletion has touched.
 """
 
 from collections.abc import Iterable
@@ -26,7 +31,7 @@ from urllib.parse import unquote
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F, types as T
 
-from ..operators.merge import FOLDS, TABLES, batch_states, folded_records, merge
+from ..operators.merge import FOLDS, TABLES, batch_states, deletions, folded_records, merge, without_deleted
 from ..schemas import MERGED_COLUMNS, NORMALIZED, RUN_LOG, STORED
 from ..session import local
 
@@ -39,6 +44,7 @@ _VERSIONS = "version INT"
 _HELD = "file STRING"
 #: ``made`` is the version whose folder holds the bucket; ``buckets`` is how many there are.
 _MANIFEST = "name STRING, bucket INT, made INT, buckets INT"
+_DELETED = "cve_id STRING, deleted_at TIMESTAMP"
 _BUCKET = T.StructField("bucket", T.IntegerType())
 
 #: Columns that stored tables are laid out by, so that filters skip files.
@@ -109,6 +115,26 @@ class Store:
     def runs(self) -> DataFrame:
         return self._table("runs", RUN_LOG)
 
+    # --- deletions ------------------------------------------------------------------
+
+    def delete(self, cves: DataFrame, at: datetime, sync: str) -> None:
+        """Delete CVEs (a column ``cve_id``) with their child rows as of ``at``; later records bring them back."""
+        rows = cves.select("cve_id", F.lit(at).cast("timestamp").alias("deleted_at")).distinct()
+        rows.write.mode("overwrite").parquet(f"{self.root}/deletions/sync={sync}")
+
+    def deleted(self) -> DataFrame:
+        """Last deletion per CVE."""
+        return deletions(self._table("deletions", _DELETED))
+
+    def _deletion_files(self) -> set[str]:
+        """Deletion files, by a path that no log file has."""
+        files = self._table("deletions", _DELETED).inputFiles()
+        return {"deletions/" + unquote(f).rsplit("/deletions/", 1)[1] for f in files}
+
+    def _deleted_in(self, files: Iterable[str]) -> DataFrame | None:
+        paths = [f"{self.root}/{f}" for f in sorted(files)]
+        return self.spark.read.schema(_DELETED).parquet(*paths) if paths else None
+
     # --- reading --------------------------------------------------------------------
 
     def version(self) -> int | None:
@@ -123,6 +149,7 @@ class Store:
         """Folded states of a table, current to the last sync; only of ``cves`` (a column ``cve_id``) where given."""
         current = self.version()
         fresh = self._records(sorted(self._files() - self._held(current)))
+        gone = self._deletion_files()
         kept = [] if current is None else [r for r in self.manifest(current) if r.name == name]
         if cves is not None and kept:
             wanted = self._buckets_of(cves, kept[0].buckets)
@@ -131,7 +158,21 @@ class Store:
         if cves is not None:
             fresh = fresh.join(cves, "cve_id", "left_semi")
             base = None if base is None else base.join(cves, "cve_id", "left_semi")
-        return merge(name, batch_states(fresh)[name], base)
+        return merge(name, *self._live(name, fresh, base, gone, gone - self._held(current)))
+
+    def _live(
+        self, name: str, fresh: DataFrame, base: DataFrame | None, gone: set[str], new: set[str]
+    ) -> tuple[DataFrame, DataFrame | None]:
+        """Unfolded states of log records and folded ones of a version, less what is deleted.
+
+        A version's states know of the deletions it holds; only ``new`` ones are applied to them.
+        """
+        states, removed, since = batch_states(fresh)[name], self._deleted_in(gone), self._deleted_in(new)
+        if removed is not None:
+            states = without_deleted(name, states, deletions(removed))
+        if base is not None and since is not None:
+            base = without_deleted(name, base, deletions(since))
+        return states, base
 
     def table(self, name: str, cves: DataFrame | None = None) -> DataFrame:
         """A table current to the last sync."""
@@ -155,19 +196,22 @@ class Store:
         """
         current = self.version()
         old = [] if current is None else self.manifest(current)
-        held, files = self._held(current), self._files()
-        if files <= held:
+        held, files, gone = self._held(current), self._files(), self._deletion_files()
+        if files | gone <= held:
             return current or 0
         number = (current or 0) + 1
         buckets = old[0].buckets if old else self.buckets
         fresh = self._records(sorted(files - held))
         touched = self._buckets_of(fresh, buckets)
+        if gone - held:
+            touched |= self._buckets_of(self._deleted_in(gone - held), buckets)
         kept = [r for r in old if r.bucket not in touched]
 
         def fold(name: str) -> list[tuple]:
             base = self._read("states", [r for r in old if r.name == name and r.bucket in touched])
             states = f"{self.root}/states/{name}/version={number}"
-            schema = self._write(merge(name, batch_states(fresh)[name], base), states, buckets)
+            live, base = self._live(name, fresh, base, gone, gone - held)
+            schema = self._write(merge(name, live, base), states, buckets)
             written = self.spark.read.schema(schema).parquet(states)
             self._write(TABLES[name](written), f"{self.root}/tables/{name}/version={number}", buckets, LAYOUT[name])
             return [(name, bucket, number, buckets) for bucket in self._buckets_in(states)]
@@ -176,7 +220,7 @@ class Store:
         with ThreadPoolExecutor(len(FOLDS)) as pool:
             made = [row for rows in pool.map(fold, FOLDS if touched else ()) for row in rows]
         # files that were retired need no mention any more
-        self._list([(f,) for f in files], _HELD, f"held/version={number}")
+        self._list([(f,) for f in files | gone], _HELD, f"held/version={number}")
         self._list([*map(tuple, kept), *made], _MANIFEST, f"manifest/version={number}")
         self._list([(number,)], _VERSIONS, "versions", "append")
         return number

@@ -268,3 +268,57 @@ def test_a_registered_feed_is_due_synced_and_ranked(spark, tmp_path):
         assert (row.epss_score, row.epss_percentile, row.raw_sources) == (0.9, 0.5, ["epss", "vendor"])
     finally:
         del SOURCES["vendor"]
+
+
+def test_a_deleted_cve_stays_away_until_a_later_record(spark, tmp_path, land):
+    def hour(n):
+        return T0 + timedelta(hours=n)
+
+    def log(landing, at):
+        return store.append(OSV_FILES.records(OSV_FILES.read(spark, landing), at), "osv", sync_name(at))
+
+    def seen():
+        tables = ("vulnerabilities", "affected_packages", "cve_references")
+        now = [cves(store.table(t)) for t in tables]
+        version = store.version()
+        if version is not None and store._files() | store._deletion_files() <= store._held(version):
+            assert [cves(store.published(t)) for t in tables] == now
+        return now[0], now[1]
+
+    store = Store(spark, str(tmp_path / "store"), buckets=4)
+    landing = land("osv", a__json=lines(osv(1), osv(2)))
+    log(landing, hour(0))
+    one, both = cves(store.table("vulnerabilities"))[1:], cves(store.table("vulnerabilities"))
+    assert len(both) == 2 and seen()[0] == both
+    store.compact()
+    gone = spark.createDataFrame([(both[0],), (both[0],), (None,), ("CVE-0-0",)], "cve_id string")
+    store.delete(gone, hour(1), sync_name(hour(1)))
+    assert seen()[0] == one  # before a compaction
+    store.compact()
+    assert seen()[0] == one and set(seen()[1]) == set(one)  # and after it
+    assert store.compact() == store.version() == 2
+    # an overlap window logs the old record again: by its time it is older than the deletion
+    log(landing, hour(0) + timedelta(minutes=5))
+    assert seen()[0] == one
+    store.compact()
+    assert seen()[0] == one
+    # a later record brings it back, and nothing of the time before
+    scores(spark, tmp_path, store, hour(2), [(1, 0.4)])
+    store.compact()
+    row = store.published("vulnerabilities").where(F.col("cve_id") == both[0]).first()
+    assert (row.epss_score, row.severity, row.description, row.raw_sources) == (0.4, None, None, ["epss"])
+    assert set(seen()[1]) == set(one)
+
+
+def test_deletions_and_records_in_one_compaction(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), buckets=4)
+    scores(spark, tmp_path, store, T0, [(1, 0.1), (2, 0.2)])
+    both = spark.createDataFrame([("CVE-2025-0001",), ("CVE-2025-0002",)], "cve_id string")
+    store.delete(both, T0 + timedelta(hours=1), "d")
+    scores(spark, tmp_path, store, T0 + timedelta(hours=2), [(2, 0.3)])
+    live = {r.cve_id: r.epss_score for r in store.table("vulnerabilities").collect()}
+    store.compact()
+    published = {r.cve_id: r.epss_score for r in store.published("vulnerabilities").collect()}
+    assert live == published == {"CVE-2025-0002": 0.3}
+    assert [(r.cve_id, r.deleted_at is not None) for r in store.deleted().orderBy("cve_id").collect()] == [
+        ("CVE-2025-0001", True), ("CVE-2025-0002", True)]
