@@ -112,8 +112,9 @@ class PrefixEncoder:
         while end and piece[:end] not in known:
             end -= 1
         last = self.extend([known[piece[:k]] for k in range(1, end + 1)], piece)
-        if len(known) > PREFIXES:
+        if len(known) > PREFIXES:  # start anew, with the shared beginnings too: every prefix of a known one is known
             known.clear()
+            end = 0
         for k in range(end + 1, len(piece) + 1):
             known[piece[:k]] = last[k - 1]
         return self.path(last)

@@ -225,6 +225,13 @@ def test_bpe_appends_and_edits_are_exact(bpe):
         assert edited == data[:start] + new + data[stop:] and table == prefix.extend([], edited)
 
 
+def test_bpe_memo_of_prefixes_starts_anew_at_any_piece(bpe, monkeypatch):
+    monkeypatch.setattr(bpe_prefix, "PREFIXES", 6)
+    small = bpe_prefix.PrefixEncoder(bpe[0].prefix.ranks)
+    for word in (" eaqx", " eaqxzzk", " eaqxzwv", " eaqxzwvk", " eaqxq", " eazzq", " eazzqj"):
+        assert small.encode_piece(word.encode()) == bpe[1].encode_ordinary(word)
+
+
 def test_bpe_query_on_whole_table(spark, bpe):
     rows = {r.doc_id: r for r in QUERIES["op9_bpe_prefix"](spark, SF).collect()}
     for doc_id, text in texts_of(spark).items():
