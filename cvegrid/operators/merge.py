@@ -2,8 +2,13 @@
 
 Every mutable column is kept as a *stamped* value ``(seq, value)``. The later
 stamp wins and NULL never competes, so merging is ``max`` per column: partial
-results can be combined in any order and any number of times. A hot CVE is
-reduced to one row per task before anything is shuffled.
+results can be combined in any order and any number of times.
+
+Stamps are rows, which Spark aggregates by sorting, and a task's share of a
+large table does not fit its memory. So observations of a whole table are dealt
+by key into parts of bounded size first, while they are narrow, and get their
+stamps as they are aggregated. A part that is too large, as a hot CVE's, is
+split over tasks, each of which leaves one row of a CVE.
 """
 
 from functools import reduce
@@ -32,31 +37,55 @@ def union_all(*parts: DataFrame | None) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), present)
 
 
+def dealt(observations: DataFrame, *keys: str) -> DataFrame:
+    """Observations by key, in parts of bounded size: AQE splits a larger one, the rows of one key too.
+
+    They are not dealt by the keys themselves, so that each part is folded before its rows are dealt by these.
+    """
+    return observations.withColumn("_deal", F.pmod(F.xxhash64(*keys), F.lit(1 << 30))).hint("rebalance", F.col("_deal"))
+
+
+def folded_once(rows: DataFrame, keys: list[str], *folds: Column) -> DataFrame:
+    """Rows with few of a key, which no task could reduce: dealt by key as they are, and folded there."""
+    hashed = rows.withColumn("_hash", F.xxhash64(*keys)).repartition("_hash")
+    return hashed.groupBy("_hash", *keys).agg(*folds).drop("_hash")
+
+
 # --- vulnerabilities ------------------------------------------------------------
 
+def _vulnerability_values(columns) -> dict[str, Column]:
+    seq = F.col("seq")
+    return {c: stamped(F.col(c), seq) for c in columns} | {
+        "cisa_kev": F.coalesce("cisa_kev", F.lit(False)), "raw_sources": F.array("source"), "first_seq": seq, "last_seq": seq,
+    }
+
+
+def _vulnerability_fold(state: dict[str, Column], columns) -> list[Column]:
+    return [
+        *[F.max(state[c]).alias(c) for c in columns],
+        F.bool_or(state["cisa_kev"]).alias("cisa_kev"),
+        # distinct source lists are few, however many rows carry them
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set(state["raw_sources"])))).alias("raw_sources"),
+        F.min(state["first_seq"]).alias("first_seq"),
+        F.max(state["last_seq"]).alias("last_seq"),
+    ]
+
+
 def vulnerability_states(observations: DataFrame, columns=tuple(MERGED_COLUMNS)) -> DataFrame:
     """One unmerged state per observation ``(cve_id, source, cisa_kev, seq, columns…)``."""
-    seq = F.col("seq")
-    return observations.select(
-        "cve_id",
-        *[stamped(F.col(c), seq).alias(c) for c in columns],
-        F.coalesce("cisa_kev", F.lit(False)).alias("cisa_kev"),
-        F.array("source").alias("raw_sources"),
-        seq.alias("first_seq"),
-        seq.alias("last_seq"),
-    )
+    return observations.select("cve_id", *[v.alias(c) for c, v in _vulnerability_values(columns).items()])
 
 
 def fold_vulnerabilities(states: DataFrame, columns=tuple(MERGED_COLUMNS)) -> DataFrame:
     """States of the same CVE become one. The flag is sticky, sources accumulate."""
-    return grouped(states, "cve_id").agg(
-        *[F.max(c).alias(c) for c in columns],
-        F.bool_or("cisa_kev").alias("cisa_kev"),
-        # distinct source lists are few, however many rows carry them
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("raw_sources")))).alias("raw_sources"),
-        F.min("first_seq").alias("first_seq"),
-        F.max("last_seq").alias("last_seq"),
-    ).drop("_hash")
+    state = {c: F.col(c) for c in (*columns, "cisa_kev", "raw_sources", "first_seq", "last_seq")}
+    return grouped(states, "cve_id").agg(*_vulnerability_fold(state, columns)).drop("_hash")
+
+
+def fold_observed_vulnerabilities(observations: DataFrame, columns=tuple(MERGED_COLUMNS)) -> DataFrame:
+    """``fold_vulnerabilities(vulnerability_states(observations))`` for many observations."""
+    rows = dealt(observations.select("cve_id", "source", "cisa_kev", "seq", *columns), "cve_id")
+    return grouped(rows, "cve_id").agg(*_vulnerability_fold(_vulnerability_values(columns), columns)).drop("_hash")
 
 
 def vulnerability_table(folded: DataFrame, columns=tuple(MERGED_COLUMNS)) -> DataFrame:
@@ -101,14 +130,23 @@ def package_observations(normalized: DataFrame) -> DataFrame:
 
 def package_states(observations: DataFrame) -> DataFrame:
     """Both version fields travel together: a later entry replaces them, NULL included."""
-    versions = F.struct("vulnerable_versions", "patched_version")
-    return observations.select(*PACKAGE_KEY, F.struct("seq", versions.alias("value")).alias("versions"))
+    return observations.select(*PACKAGE_KEY, _versions().alias("versions"))
+
+
+def _versions() -> Column:
+    return F.struct("seq", F.struct("vulnerable_versions", "patched_version").alias("value"))
 
 
 def fold_packages(states: DataFrame) -> DataFrame:
     return grouped(states, *PACKAGE_KEY).agg(F.max("versions").alias("versions")).drop("_hash")
 
 
+def fold_observed_packages(observations: DataFrame) -> DataFrame:
+    """``fold_packages(package_states(observations))`` for many observations."""
+    rows = observations.select(*PACKAGE_KEY, "seq", "vulnerable_versions", "patched_version")
+    return folded_once(rows, PACKAGE_KEY, F.max(_versions()).alias("versions"))
+
+
 def package_table(folded: DataFrame) -> DataFrame:
     """Stored table, with lower-case copies so that filters reach the files' statistics."""
     return folded.select(
@@ -146,6 +184,12 @@ def fold_exploits(states: DataFrame) -> DataFrame:
     return grouped(states, *EXPLOIT_KEY).agg(*[F.max(c).alias(c) for c in EXPLOIT_VALUES]).drop("_hash")
 
 
+def fold_observed_exploits(observations: DataFrame) -> DataFrame:
+    """``fold_exploits(exploit_states(observations))`` for many observations."""
+    rows = observations.select("cve_id", "source", F.coalesce("source_id", F.lit("")).alias("source_id"), *EXPLOIT_VALUES, "seq")
+    return folded_once(rows, EXPLOIT_KEY, *[F.max(stamped(F.col(c), F.col("seq"))).alias(c) for c in EXPLOIT_VALUES])
+
+
 def exploit_table(folded: DataFrame) -> DataFrame:
     return folded.select(*EXPLOIT_KEY, *[F.col(f"{c}.value").alias(c) for c in EXPLOIT_VALUES])
 
@@ -172,6 +216,12 @@ def fold_references(states: DataFrame) -> DataFrame:
     return grouped(states, *REFERENCE_KEY).agg(*[F.max(c).alias(c) for c in REFERENCE_VALUES]).drop("_hash")
 
 
+def fold_observed_references(observations: DataFrame) -> DataFrame:
+    """``fold_references(reference_states(observations))`` for many observations."""
+    rows = observations.select(*REFERENCE_KEY, *REFERENCE_VALUES, "seq")
+    return folded_once(rows, REFERENCE_KEY, *[F.max(stamped(F.col(c), F.col("seq"))).alias(c) for c in REFERENCE_VALUES])
+
+
 def reference_table(folded: DataFrame) -> DataFrame:
     return folded.select(*REFERENCE_KEY, *[F.col(f"{c}.value").alias(c) for c in REFERENCE_VALUES])
 
@@ -203,6 +253,15 @@ TABLES = {
 }
 
 
+#: From observations to folded states, for whole tables of them.
+FOLDS_OBSERVED = {
+    "vulnerabilities": fold_observed_vulnerabilities,
+    "affected_packages": fold_observed_packages,
+    "exploits": fold_observed_exploits,
+    "cve_references": fold_observed_references,
+}
+
+
 def merge(name: str, states: DataFrame | None, base: DataFrame | None = None) -> DataFrame:
     """Fold a batch of states into the folded base of a table."""
     return FOLDS[name](union_all(base, states))

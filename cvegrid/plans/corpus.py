@@ -179,11 +179,11 @@ class Corpus:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def _stored(self, name: str, rows: DataFrame, *layout: str) -> DataFrame:
-        """A merged table as questions find it: written once, laid out for their filters."""
+        """A merged table as questions find it: written once, each part of the fold sorted for their filters."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _PATHS:
             path = scratch(self.spark, name)
-            rows.repartitionByRange(*layout).sortWithinPartitions(*layout).write.parquet(path)
+            rows.sortWithinPartitions(*layout).write.parquet(path)
             _PATHS[key] = path
         return self.spark.read.parquet(_PATHS[key])
 
@@ -235,7 +235,7 @@ class Corpus:
         return self._stored("packages", self.merged_packages(), "ecosystem_lc", "package_lc", "cve_id")
 
     def merged_packages(self) -> DataFrame:
-        return merge.package_table(merge.fold_packages(merge.package_states(self.package_rows)))
+        return merge.package_table(merge.fold_observed_packages(self.package_rows))
 
     @cached_property
     def exploit_rows(self) -> DataFrame:
@@ -258,7 +258,7 @@ class Corpus:
         return self._stored("exploits", self.merged_exploits(), "cve_id")
 
     def merged_exploits(self) -> DataFrame:
-        return merge.exploit_table(merge.fold_exploits(merge.exploit_states(self.exploit_rows)))
+        return merge.exploit_table(merge.fold_observed_exploits(self.exploit_rows))
 
     @cached_property
     def reference_rows(self) -> DataFrame:
@@ -280,7 +280,7 @@ class Corpus:
         return self._stored("references", self.merged_references(), "cve_id")
 
     def merged_references(self) -> DataFrame:
-        return merge.reference_table(merge.fold_references(merge.reference_states(self.reference_rows)))
+        return merge.reference_table(merge.fold_observed_references(self.reference_rows))
 
     @cached_property
     def page_references(self) -> DataFrame:
@@ -316,10 +316,9 @@ class Corpus:
     def merged(self) -> DataFrame:
         return self._stored("merged", self.merged_vulns(), "cve_id")
 
-    def merged_vulns(self) -> DataFrame:
-        """Merged CVE table without the sync times, which the projection has none of."""
-        folded = merge.fold_vulnerabilities(merge.vulnerability_states(self.observations))
-        return merged_view(folded)
+    def merged_vulns(self, columns=tuple(merge.MERGED_COLUMNS)) -> DataFrame:
+        """Merged CVE table, or these columns of it, without the sync times, which the projection has none of."""
+        return merged_view(merge.fold_observed_vulnerabilities(self.observations, columns), columns)
 
     @cached_property
     def intents(self) -> DataFrame:
@@ -370,7 +369,5 @@ class Corpus:
         )
 
 
-def merged_view(folded: DataFrame) -> DataFrame:
-    return folded.select(
-        "cve_id", *[F.col(f"{c}.value").alias(c) for c in merge.MERGED_COLUMNS], "cisa_kev", "raw_sources"
-    )
+def merged_view(folded: DataFrame, columns=tuple(merge.MERGED_COLUMNS)) -> DataFrame:
+    return folded.select("cve_id", *[F.col(f"{c}.value").alias(c) for c in columns], "cisa_kev", "raw_sources")

@@ -1,12 +1,14 @@
 """Merging: what wins, and that order and grouping of batches do not matter."""
 
 import random
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cvegrid.operators import merge
+from cvegrid.plans.corpus import Corpus
 
 COLS = ("description", "severity")
 SCHEMA = "cve_id string, source string, seq bigint, description string, severity string, cisa_kev boolean"
@@ -94,3 +96,25 @@ def test_orphans_are_set_aside(spark):
     kept, aside = merge.split_by_parent(kids, spark.createDataFrame([("a",)], "cve_id string"))
     assert [r.n for r in kept.collect()] == [1] and [r.n for r in aside.collect()] == [2]
     assert [r.n for r in merge.without_cve(kids, kept).collect()] == [2]
+
+
+def test_whole_tables_are_dealt_before_they_are_sorted(spark):
+    """A task's share of a table does not fit its memory; its observations go by key first, without stamps for each column."""
+    c = Corpus(spark, "/root/testdata/sf0.001")
+    for rows in (c.merged_vulns(), c.merged_packages(), c.merged_exploits(), c.merged_references()):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        lowest = [line for line in plan.splitlines() if re.search(r"Exchange|Sort|Aggregate", line)][-1]
+        assert "Exchange" in lowest
+
+
+def test_folds_of_observations_equal_those_of_states(spark):
+    c = Corpus(spark, "/root/testdata/sf0.001")
+    states = {
+        "vulnerabilities": merge.vulnerability_states(c.observations), "affected_packages": merge.package_states(c.package_rows),
+        "exploits": merge.exploit_states(c.exploit_rows), "cve_references": merge.reference_states(c.reference_rows),
+    }
+    observed = dict(zip(states, (c.observations, c.package_rows, c.exploit_rows, c.reference_rows)))
+    for name, unfolded in states.items():
+        one, other = merge.FOLDS[name](unfolded), merge.FOLDS_OBSERVED[name](observed[name])
+        assert one.columns == other.columns
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
