@@ -1,8 +1,8 @@
 """Scores of texts by a small causal self-attention model over subword ids, beside a plain count of words.
 
-One pass over the training texts counts words and subword ids and keeps every ``RATE``-th window of ids. The model learns from
-those windows in rounds: every task trains on its own ones from the parameters of the round before, and the results are
-averaged, each embedding weighing what it was seen. Windows, tasks and counts all grow with the corpus.
+One pass over the training texts counts words and subword ids and keeps their windows of ids. The model learns from every
+window, each in one of some rounds: every task trains on its own ones from the parameters of the round before, and the results
+are averaged, each embedding weighing what it was seen. Windows, tasks and counts all grow with the corpus.
 
 A window holds ``2 * STEP`` inputs; the later half is scored, the earlier one is context. So windows overlap, every token
 is scored once, and a batch of windows is one masked attention. The next id's probability is that of its class by
@@ -34,7 +34,9 @@ STEP, WIDTH, OWN, SHARED = 8, 8, 4096, 256
 #: Classes of the next id: the commonest ids, and groups of the others.
 COMMON, GROUPS = 48, 16
 #: One window in so many is learned from; rounds; windows of a step of descent; its first length.
-RATE, ROUNDS, BATCH, LEARN = 64, 2, 128, 0.05
+RATE, ROUNDS, BATCH, LEARN = 1, 2, 128, 0.05
+#: After so many steps, each has so many times as many windows: less work a window.
+EARLY, LATER = 64, 8
 #: Windows that are scored together.
 TOGETHER = 256
 #: Words whose counts every task gets.
@@ -261,7 +263,7 @@ class Descent:
 
 
 def _gathered(texts: DataFrame, shipped, name: str, vocabulary: int, rate: int) -> DataFrame:
-    """``(kind, key, n, ids)``: counts of words and of subword ids by task, and the windows to learn from."""
+    """``(kind, key, n, ids)``: counts of words and of subword ids by task, and the windows to learn from, some together."""
     end, start, pad = vocabulary, vocabulary + 1, vocabulary + 2
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,8 +292,9 @@ def _gathered(texts: DataFrame, shipped, name: str, vocabulary: int, rate: int)
                 drawn = (digests[text] ^ order * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
                 chosen = np.flatnonzero((drawn >> np.uint64(33)) % np.uint64(rate) == 0)
                 earlier = np.where(is_first[chosen, None], np.uint32(pad), inputs[chosen - 1])
-                rows = np.concatenate([earlier, inputs[chosen], targets[chosen]], axis=1).astype("<u4")
-                yield pd.DataFrame({"kind": np.int32(WINDOW), "key": np.int64(0), "n": np.int64(1), "ids": [r.tobytes() for r in rows]})
+                # the other inputs are the targets before them
+                rows = np.concatenate([earlier, inputs[chosen, :1], targets[chosen]], axis=1).astype("<u4")
+                yield pd.DataFrame({"kind": np.int32(WINDOW), "key": np.int64(0), "n": np.int64(len(rows)), "ids": [rows.tobytes()]})
                 if words.full():
                     yield counted()
                     words.forget()
@@ -302,7 +305,7 @@ def _gathered(texts: DataFrame, shipped, name: str, vocabulary: int, rate: int)
 
 
 def _learned(kept: DataFrame, model: Model, rounds: int) -> dict[str, np.ndarray]:
-    """Parameters after some rounds, each the average of what the tasks have learned from their windows."""
+    """Parameters after some rounds, each the average of what the tasks have learned from their windows of the round."""
     spark, weights = kept.sparkSession, model.weights
     pad, slot, kind = model.vocabulary + 2, model.slot, model.kind
     names = sorted(weights)
@@ -317,10 +320,11 @@ def _learned(kept: DataFrame, model: Model, rounds: int) -> dict[str, np.ndarray
             start, slot, kind = shipped.value
             descent, seen, n = Descent(start, learn), np.zeros(len(start["embed"]), np.int64), 0
             for batch in batches:
-                rows = np.frombuffer(b"".join(batch["ids"]), "<u4").reshape(-1, 3 * STEP)
-                for at in range(0, len(rows), BATCH):
-                    some = rows[at:at + BATCH]
-                    before, now, targets = (some[:, j * STEP:(j + 1) * STEP] for j in range(3))
+                rows, at = np.frombuffer(b"".join(batch["ids"]), "<u4").reshape(-1, 2 * STEP + 1)[i::rounds], 0
+                while at < len(rows):
+                    some = rows[at:at + (BATCH if descent.steps < EARLY else BATCH * LATER)]
+                    at += len(some)
+                    before, now, targets = some[:, :STEP], some[:, STEP:-1], some[:, STEP + 1:]
                     real = targets != pad
                     _, change = gradients(descent.w, slot[now], slot[before], before[:, 0] == pad, kind[targets], real)
                     descent.step(change)

@@ -179,3 +179,21 @@ def test_awkward_rows_and_empty_tables(spark):
     assert nothing.train_tokens == 0 and lm.score(empty(spark), nothing).count() == 0
     scored = lm.score(docs, nothing).collect()
     assert all(r.lm.n_known == 0 and abs(r.lm.base_score) < 1e-6 and math.isfinite(r.lm.score) for r in scored)
+
+
+def test_every_window_of_the_training_texts_is_learned_from(spark, monkeypatch):
+    """By default no window is left out, and the rounds share them: each is learned from once."""
+    rows = documents(spark, *[" ".join(f"w{i * j % 91}" for j in range(200 + i)) for i in range(40)], "", None)
+    kept = []
+    monkeypatch.setattr(lm, "_learned", lambda windows, model, rounds: kept.append(windows) or model.weights)
+    lm.fit(rows, F.col("doc_id") != 4)
+    words = lm.Words(RANKS)
+    expected = Counter()
+    end = max(RANKS.values()) + 1
+    for r in rows.where("doc_id <> 4").collect():
+        ids, counts = lm.sequences(words, [(r.text or "").encode().lower()], end)[2:]
+        expected.update(map(bytes, lm.windows(ids, counts, end + 1, end + 2)[1].astype("<u4")))
+    found = Counter()
+    for r in kept[0].collect():
+        found.update(map(bytes, np.frombuffer(r.ids, "<u4").reshape(-1, 2 * lm.STEP + 1)[:, -lm.STEP:].copy()))
+    assert found == expected and sum(found.values()) > 1000
