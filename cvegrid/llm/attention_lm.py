@@ -205,38 +205,58 @@ def class_logs(tables: dict, hidden: np.ndarray, kinds: np.ndarray) -> tuple[np.
     return np.log(odds[np.arange(len(kinds)), kinds] / total), t, odds, total
 
 
+def summed(slots: np.ndarray, rows: np.ndarray, n_slots: int) -> np.ndarray:
+    """The sum of each slot's rows; slots are below 65,536."""
+    order = np.argsort(slots.astype(np.uint16), kind="stable")
+    ordered = slots[order]
+    first = np.flatnonzero(np.diff(ordered, prepend=-1))
+    out = np.zeros((n_slots, rows.shape[1]), rows.dtype)
+    out[ordered[first]] = np.add.reduceat(rows[order], first)
+    return out
+
+
 def gradients(w: dict, now: np.ndarray, before: np.ndarray, is_first: np.ndarray, kinds: np.ndarray, real: np.ndarray) -> tuple[float, dict]:
-    """The mean loss of windows, and its derivatives. ``real`` marks targets that are no filling."""
-    n, tables = max(int(real.sum()), 1), tables_of(w)
-    active, hidden, t, weights, total, q, k, v, mixed = attend(tables, now, before, is_first)
-    flat, kinds, here = active.reshape(-1, WIDTH), kinds.reshape(-1), real.reshape(-1)
-    logs, s, odds, sums = class_logs(tables, flat, kinds)
-    d = odds / sums[:, None]
-    d[np.arange(len(d)), kinds] -= 1
-    d *= (here / n).astype(d.dtype)[:, None] / s
-    d[s <= LEAST] = 0
-    out = {"out": flat.T @ d, "base": d.sum(axis=0)}
-    d_hidden = (d @ w["out"].T).reshape(hidden.shape) * (hidden > 0)
-    share = weights / total
-    d_value = share.transpose(0, 2, 1) @ d_hidden
-    d_share = d_hidden @ v[:, :, :WIDTH].transpose(0, 2, 1) - (d_hidden * mixed).sum(axis=2, keepdims=True)
-    d_x = share * d_share / np.where(t > 0, t, 1)
-    out["far"] = np.bincount(DISTANCE.reshape(-1), d_x.sum(axis=0).reshape(-1), 2 * STEP)
-    d_query, d_key = d_x @ k * (16 * SCALE), d_x.transpose(0, 2, 1) @ q * 16
-    embed, d_embed = w["embed"], np.zeros_like(w["embed"])
-    for slots, parts in ((now, {"query": d_query, "keep": d_hidden}), (np.concatenate([before, now], axis=1), {"key": d_key, "value": d_value})):
-        slots = slots.reshape(-1)
-        rows, change = embed[slots], np.zeros((len(slots), WIDTH), embed.dtype)
-        for name, part in parts.items():
-            part = part.reshape(-1, WIDTH)
-            out[name] = rows.T @ part
-            change += part @ w[name].T
-        order = np.argsort(slots, kind="stable")
-        ordered = slots[order]
-        first = np.flatnonzero(np.diff(ordered, prepend=-1))
-        d_embed[ordered[first]] += np.add.reduceat(change[order], first)
+    """The mean loss of windows, and its derivatives. ``real`` marks targets that are no filling.
+
+    ``TOGETHER`` windows at a time, whose arrays fit a processor's cache; embeddings get the sums of their slots.
+    """
+    n, tables, loss = max(int(real.sum()), 1), tables_of(w), 0.0
+    embed = w["embed"]
+    out = {name: np.zeros_like(w[name]) for name in ("out", "base", "far")}
+    as_now, as_seen = [], []
+    for at in range(0, len(now), TOGETHER):
+        some = slice(at, at + TOGETHER)
+        active, hidden, t, weights, total, q, k, v, mixed = attend(tables, now[some], before[some], is_first[some])
+        flat, wanted, here = active.reshape(-1, WIDTH), kinds[some].reshape(-1), real[some].reshape(-1)
+        logs, s, d, sums = class_logs(tables, flat, wanted)
+        loss -= float((logs * here).sum())
+        part = (here / n).astype(d.dtype)
+        d *= (part / sums)[:, None]
+        d[np.arange(len(d)), wanted] -= part
+        d /= s
+        d[s <= LEAST] = 0
+        out["out"] += flat.T @ d
+        out["base"] += d.sum(axis=0)
+        d_hidden = (d @ w["out"].T).reshape(hidden.shape)
+        d_hidden *= hidden > 0
+        weights /= total
+        d_value = weights.transpose(0, 2, 1) @ d_hidden
+        d_x = d_hidden @ v[:, :, :WIDTH].transpose(0, 2, 1)
+        d_x -= (d_hidden * mixed).sum(axis=2, keepdims=True)
+        d_x *= weights
+        d_x /= np.where(t > 0, t, 1)
+        out["far"] += np.bincount(DISTANCE.reshape(-1), d_x.sum(axis=0).reshape(-1), 2 * STEP).astype(d_x.dtype)
+        as_now.append(np.concatenate([d_x @ k, d_hidden], axis=2).reshape(-1, 2 * WIDTH))
+        as_seen.append(np.concatenate([d_x.transpose(0, 2, 1) @ q, d_value], axis=2).reshape(-1, 2 * WIDTH))
+    of_now = summed(now.reshape(-1), np.concatenate(as_now), len(embed))
+    of_seen = summed(np.concatenate([before, now], axis=1).reshape(-1), np.concatenate(as_seen), len(embed))
+    d_embed = np.zeros_like(embed)
+    for name, part in (("query", of_now[:, :WIDTH] * (16 * SCALE)), ("keep", of_now[:, WIDTH:]),
+                       ("key", of_seen[:, :WIDTH] * 16), ("value", of_seen[:, WIDTH:])):
+        out[name] = embed.T @ part
+        d_embed += part @ w[name].T
     out["embed"] = d_embed
-    return -float((logs * here).sum() / n), out
+    return loss / n, out
 
 
 class Descent:
@@ -262,12 +282,17 @@ class Descent:
 # ---------------------------------------------------------------- learning
 
 
+def _words(name: str, shipped) -> Words:
+    """A worker's words, the same for counting and for scoring, by whatever model."""
+    return worker_state(("subwords", name), lambda: Words(shipped.value))
+
+
 def _gathered(texts: DataFrame, shipped, name: str, vocabulary: int, rate: int) -> DataFrame:
     """``(kind, key, n, ids)``: counts of words and of subword ids by task, and the windows to learn from, some together."""
     end, start, pad = vocabulary, vocabulary + 1, vocabulary + 2
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = worker_state(("subwords", name), lambda: Words(shipped.value))
+        words = _words(name, shipped)
         seen = np.zeros(0, np.int64)
         ends = 0
 
@@ -411,8 +436,8 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", tokenizer_file: str
 
 
 class Scorer:
-    def __init__(self, model: Model, ranks: dict[bytes, int]):
-        self.words, self.model = Words(ranks), model
+    def __init__(self, model: Model, words: Words):
+        self.words, self.model = words, model
         self.tables, self.forgotten = tables_of(model.weights), -1
 
     def _count(self) -> None:
@@ -464,6 +489,15 @@ class Scorer:
         return np.bincount(text, out, len(counts)) / np.log(10)
 
 
+def _scorer(model: Model, words: Words) -> Scorer:
+    """A worker's scorer; that of a model before is let go."""
+    held = worker_state(("attention",), dict)
+    if model.name not in held:
+        held.clear()
+        held[model.name] = Scorer(model, words)
+    return held[model.name]
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "lm", tokenizer_file: str = TOKENIZER_FILE) -> DataFrame:
     """Add ``into``: ``n_tokens`` (words and an end), ``n_known`` (those counted in training), ``base_score`` and ``score``.
 
@@ -479,7 +513,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "lm", t
 
     @pandas_udf("n long, logs double, known long, rare array<long>, times array<long>, score double")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = worker_state(("attention", shipped.value.name), lambda: Scorer(shipped.value, tokens.value))
+        scorer = _scorer(shipped.value, _words(tokenizer_file, tokens))
         for batch in batches:
             parts = [scorer.texts(some) for some in _batches(batch.tolist())]
             columns = [[x for part in parts for x in part[i]] for i in range(6)]

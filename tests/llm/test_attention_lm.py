@@ -2,13 +2,14 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cvegrid.llm import attention_lm as lm
-from cvegrid.llm import lexicon
+from cvegrid.llm import common, lexicon
 from cvegrid.llm.common import in_fold
 from cvegrid.llm.queries import QUERIES
 
@@ -197,3 +198,27 @@ def test_every_window_of_the_training_texts_is_learned_from(spark, monkeypatch):
     for r in kept[0].collect():
         found.update(map(bytes, np.frombuffer(r.ids, "<u4").reshape(-1, 2 * lm.STEP + 1)[:, -lm.STEP:].copy()))
     assert found == expected and sum(found.values()) > 1000
+
+
+def test_a_worker_keeps_one_scorer_and_the_words_that_it_counted(monkeypatch):
+    """Workers outlive a query: scorers of models before, each with words of its own, filled their memory."""
+    monkeypatch.setattr(common, "_WORKER_STATE", {})
+    shipped = SimpleNamespace(value=RANKS)
+    words = lm._words("file", shipped)
+    models = [a_model(seed) for seed in (1, 2, 3)]
+    scorers = [lm._scorer(model, lm._words("file", shipped)) for model in models]
+    assert all(s.words is words for s in scorers) and [s.model for s in scorers] == models
+    assert lm._scorer(models[2], words) is scorers[2] and list(common._WORKER_STATE[("attention",)].values()) == [scorers[2]]
+
+
+def test_gradients_of_many_windows_are_those_of_its_parts(monkeypatch):
+    model, rng = a_model(4), np.random.default_rng(2)
+    now, before = rng.integers(0, 40, (9, lm.STEP)), rng.integers(0, 40, (9, lm.STEP))
+    kinds, real, first = rng.integers(0, 30, (9, lm.STEP)), rng.random((9, lm.STEP)) < 0.8, rng.random(9) < 0.3
+    found = []
+    for together in (2, 9):
+        monkeypatch.setattr(lm, "TOGETHER", together)
+        found.append(lm.gradients(model.weights, now, before, first, kinds, real))
+    assert found[0][0] == pytest.approx(found[1][0], rel=1e-5)
+    for name, x in found[0][1].items():
+        assert x == pytest.approx(found[1][1][name], rel=1e-3, abs=1e-5), name
