@@ -140,14 +140,24 @@ def parity(grams: np.ndarray) -> list[int]:
     return np.packbits(flips.astype(np.uint8)).view(np.int64).tolist()
 
 
-#: Sets from this size on have a second, wider map of so many bits: the first one says little about long texts.
+#: Sets from this size on have a second, wider map: the first one says little about long texts. It has two to four bits
+#: an element, and so many at most.
 WIDE_FROM, WIDE = 1024, 1 << 14
 
 
 def wide_parity(grams: np.ndarray) -> bytes | None:
     if len(grams) < WIDE_FROM:
         return None
-    return np.packbits((np.bincount((grams >> np.uint64(20)).astype(np.int64) % WIDE, minlength=WIDE) & 1).astype(np.uint8)).tobytes()
+    bits = min(WIDE, 2 << (len(grams) - 1).bit_length())
+    return np.packbits((np.bincount((grams >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_difference(a: bytes, b: bytes) -> int:
+    """In how many bits two wide maps differ; a longer one is folded to the length of the other."""
+    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, n), axis=0) for x in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _narrowed(pairs: DataFrame, members: DataFrame, similarity: int) -> DataFrame:
@@ -156,8 +166,7 @@ def _narrowed(pairs: DataFrame, members: DataFrame, similarity: int) -> DataFram
     @pandas_udf("long")
     def differ(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([
-            0 if a is None or b is None else int(np.bitwise_count(np.frombuffer(a, np.uint64) ^ np.frombuffer(b, np.uint64)).sum())
-            for a, b in zip(left, right)
+            0 if a is None or b is None else wide_difference(a, b) for a, b in zip(left, right)
         ])
 
     wide = members.where("wide IS NOT NULL").select("node", "size", "wide")
@@ -365,10 +374,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = W
     may = (
         groups.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
         .join(right, "b").join(left, "a").where(may_link).select("a", "b"))
+    may = stored(may, "pairs")
     stars = stored(_narrowed(may, members, similarity), "pairs")
+    discard(may)
     sets = stored(_sets(texts, _named(members, stars), n), "sets")
     # one comparison a node first; then, between the components that gives, one for each two that have a pair left; then all
-    tested = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    tested = stored(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     roots = stored(components(stored(_linked(tested, sets, similarity), "linked")), "roots")
     for one_each in (True, False):
         left_over = stored(_between(stars, roots).join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -399,6 +410,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = W
     apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & ((F.col("low") == F.col("high")) | (F.col("block_a") != F.col("block_b")))
     may = one.join(other, ["signature", "low", "high"]).where(apart & may_link).select(
         "a", "b", F.least("root_a", "root_b").alias("root_a"), F.greatest("root_a", "root_b").alias("root_b")).distinct().join(tested, ["a", "b"], "left_anti")
+    may = stored(may, "pairs")
+    discard(groups, open_groups, stars, tested, sets)
     across = stored(_narrowed(may, members, similarity), "pairs")
     if not across.isEmpty():
         links = stored(_linked(across, stored(_sets(texts, _named(members, across), n), "sets"), similarity), "linked")

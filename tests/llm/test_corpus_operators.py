@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -437,3 +438,30 @@ def test_one_of_equal_rows_stays_and_names_do_not_clash(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 2, 3]
     other = docs.withColumn("lang", F.monotonically_increasing_id().cast("string"))
     assert sorted(r.doc_id for r in ngram_join.keep_one(other).collect()) == [0, 0, 2, 2, 3, 3]
+
+
+def test_wide_maps_bound_the_difference_and_are_no_longer_than_needed():
+    rng = np.random.default_rng(8)
+    for size, length in ((1024, 256), (1100, 512), (3000, 1024), (40_000, 2048)):
+        grams = np.unique(rng.integers(0, 1 << 63, size + 50, np.uint64))[:size]
+        for changed in (0, 7, size // 5):
+            other = np.unique(np.append(grams[changed:], rng.integers(0, 1 << 63, changed // 2, np.uint64)))
+            a, b = ngram_join.wide_parity(grams), ngram_join.wide_parity(other)
+            assert len(a) == length
+            if b is not None:
+                differ = len(np.setxor1d(grams, other))
+                assert ngram_join.wide_difference(a, b) == ngram_join.wide_difference(b, a) <= differ
+                assert size > 8192 or ngram_join.wide_difference(a, b) >= 0.7 * differ
+
+
+def test_join_leaves_no_groups_and_pairs_behind(spark):
+    """What a step wrote and shuffled goes once it is done: the disks held all of it to the end."""
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(500)}" for _ in range(60)]
+    texts = [" ".join(base[:i] + ["x"] + base[i + 1:]) for i in range(0, 60, 3)] + [" ".join(rnd.choices(base, k=40)) for _ in range(20)]
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    ngram_join.join(documents(spark, *texts), n=3, similarity=60).collect()
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert "nodes" in left and not left & {"groups", "open", "sets"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
