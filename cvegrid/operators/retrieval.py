@@ -128,6 +128,18 @@ def retrieve_many(
     and not by the size of the corpus. Questions naming CVEs join on the id.
     """
     filters = with_filters(intents)
+    found = retrieve_distinct(filters, vulns, packages, now, limit)
+    answers = filters.select("intent_id", "signature", "date_range_ignored").join(found, "signature")
+    return answers.select("cve_id", "intent_id", "date_range_ignored", "rank", *RESULT_COLUMNS[1:])
+
+
+def retrieve_distinct(
+    filters: DataFrame, vulns: DataFrame, packages: DataFrame, now: datetime, limit: int = RESULT_LIMIT
+) -> DataFrame:
+    """Top rows of every distinct question of ``with_filters``: ``(signature, rank, result columns…)``.
+
+    However many questions are equal, their rows are one answer's until they are handed out.
+    """
     signatures = filters.select(
         "signature", "cve_ids", "packages", "ecosystems", "levels", "days"
     ).dropDuplicates(["signature"])
@@ -147,8 +159,7 @@ def retrieve_many(
     ]
     found = reduce(DataFrame.unionByName, parts).dropDuplicates(["signature", "cve_id"])
     best = _top(found, ["signature"], limit).select("signature", "rank", "cve_id")
-    answers = filters.select("intent_id", "signature", "date_range_ignored").join(best, "signature")
-    return answers.drop("signature").join(vulns.select(*RESULT_COLUMNS), "cve_id")
+    return best.join(vulns.select(*RESULT_COLUMNS), "cve_id").select("signature", "rank", *RESULT_COLUMNS)
 
 
 def _join_classes(atoms: DataFrame, tags: DataFrame, corpus: DataFrame, limit: int) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.children import children_of
 from ..operators.context import blocks, contexts, pack
-from ..operators.retrieval import retrieve_many
+from ..operators.intents import has_filter, with_filters
+from ..operators.retrieval import retrieve_distinct
 from ..schemas import CHARS_PER_TOKEN, RESULT_LIMIT, TOKEN_BUDGET
 from ..session import cut
 
@@ -24,11 +25,18 @@ def ask(
     """``(intent_id, context, blocks, mode)`` for every question.
 
     Ranks first and fetches sub-records of the winners only. Winners and their
-    sub-records are each read twice further on, so they are written once.
+    sub-records are each read twice further on, so they are written once. Equal
+    questions have one context, which is handed to them at the end.
     """
-    rows = cut(retrieve_many(intents, vulns, packages, now, limit))
+    filters = with_filters(intents)
+    rows = cut(retrieve_distinct(filters, vulns, packages, now, limit))
     children = cut(children_of(rows, packages, exploits, references))
-    facts = rows.drop("intent_id", "rank", "date_range_ignored").dropDuplicates(["cve_id"])
+    facts = rows.drop("signature", "rank").dropDuplicates(["cve_id"])
     texts = blocks(facts, children, token_budget * CHARS_PER_TOKEN).select("cve_id", "block")
-    packed = pack(rows.select("intent_id", "rank", "cve_id").join(texts, "cve_id"), token_budget)
-    return contexts(intents, packed)
+    ranks = rows.select(F.col("signature").alias("intent_id"), "rank", "cve_id")
+    packed = pack(ranks.join(texts, "cve_id"), token_budget)
+    distinct = filters.select(F.col("signature").alias("intent_id")).distinct()
+    answers = contexts(distinct, packed).withColumnRenamed("intent_id", "signature")
+    asked = filters.select("intent_id", "signature").join(answers, "signature").drop("signature")
+    others = intents.where(~F.coalesce(has_filter(), F.lit(False)))
+    return asked.unionByName(contexts(others, packed.limit(0)))

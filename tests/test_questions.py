@@ -206,3 +206,17 @@ def test_grounding(spark):
     got = answers.grounding(rows).collect()
     assert (got[0].not_in_context, got[0].not_cited) == (["CVE-2024-9999"], ["CVE-2025-22222"])
     assert (got[1].not_in_context, got[1].not_cited) == ([], [])
+
+
+def test_equal_questions_are_packed_once(spark, data, monkeypatch):
+    """What is packed does not grow with the number of equal questions; each of them gets the context."""
+    import cvegrid.plans.ask as plan
+    _, _, v, p = data
+    e = spark.createDataFrame([], "cve_id string, source string, source_id string, url string, description string")
+    r = spark.createDataFrame([("CVE-2025-00003", "https://r")], "cve_id string, url string")
+    packed = []
+    monkeypatch.setattr(plan, "pack", lambda rows, budget: packed.append(rows.count()) or context.pack(rows, budget))
+    once = ask(intents_table(spark, [CASES[11]]), v, p, e, r, NOW).collect()
+    many = ask(intents_table(spark, [CASES[11]] * 30), v, p, e, r, NOW).collect()
+    assert packed[0] == packed[1] > 0 and len(many) == 30
+    assert {(x.context, x.blocks, x.mode) for x in many} == {(x.context, x.blocks, x.mode) for x in once}
