@@ -29,8 +29,8 @@ from .lexicon import Hasher, parts, split
 WORDS = 3
 #: Similarity in hundredths from which two sets are linked.
 SIMILARITY = 90
-#: Partitions beyond those needed, and one more for so many differences, so that a set need not sign its empty parts.
-SLACK, PER_SLACK = 2, 32
+#: Partitions beyond those needed, and of two parts one more for so many differences, so that a set can leave out its emptiest parts.
+SLACK, PER_SLACK = 2, 8
 #: Places where a task remembers nodes that it has signed.
 SIGNED = 1 << 20
 #: Bits of the map of wanted rows, and rows of a group's block that meet those of another.
@@ -98,7 +98,7 @@ def _ends(similarity: int) -> list[int]:
 
 def shape(k: int) -> tuple[int, int]:
     """Partitions and their parts for sets that differ in at most ``k`` elements: in one partition at most one does."""
-    return k // 2 + 1 + SLACK + k // PER_SLACK, 3 if k <= 8 else 2
+    return (k // 2 + 1 + SLACK, 3) if k <= 8 else (k // 2 + 1 + SLACK + k // PER_SLACK, 2)
 
 
 def signatures(grams: np.ndarray, similarity: int) -> np.ndarray:
@@ -106,6 +106,11 @@ def signatures(grams: np.ndarray, similarity: int) -> np.ndarray:
 
     Sets in one pair of bands that differ nowhere are equal, thus one node, and need none. A part without elements says
     nothing and is signed only if the set has so many that it may have nothing else in common with a similar one.
+
+    Of two parts an element is in one signature alone, so k differences leave one of any k + 1 alike. A set signs its k + 1
+    fullest parts, in an order that place and content decide: of two similar sets, the one whose last part comes earlier in
+    it shares one of its parts with the other, which signs that too. Parts of few elements are alike in many long texts
+    that have a passage in common, so the number of their pairs would grow with the square of that of long texts.
     """
     size = len(grams)
     band, before, here, after = band_ends(size, similarity)
@@ -124,7 +129,9 @@ def signatures(grams: np.ndarray, similarity: int) -> np.ndarray:
         held = counts.sum(axis=1, keepdims=True) - counts
         place = np.arange(partitions * parts, dtype=np.uint64) + np.uint64((pair << 32) + 1)
         signed = _mix(rest.reshape(-1) + _mix(place))
-        if (held == 0).any(axis=1).sum() < partitions - k // 2:
+        if parts == 2:
+            signed = signed[np.lexsort((signed, -held.reshape(-1)))[:k + 1]]
+        elif (held == 0).any(axis=1).sum() < partitions - k // 2:
             signed = signed[held.reshape(-1) > 0]
         out.append(signed)
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)

@@ -353,6 +353,23 @@ def test_similar_sets_share_a_signature():
                 assert len(np.intersect1d(ngram_join.signatures(a, similarity), ngram_join.signatures(b, similarity)))
 
 
+def test_long_sets_with_a_common_passage_meet_seldom_and_similar_ones_always():
+    numbers = np.random.default_rng(5)
+    draw = lambda m: numbers.integers(0, 2**64, m, np.uint64)
+    passage = draw(150)
+    sets = [np.unique(np.concatenate([passage, draw(3000 + 10 * i)])) for i in range(60)]
+    signs = [ngram_join.signatures(s, 80) for s in sets]
+    meet = sum(len(np.intersect1d(x, y)) > 0 for i, x in enumerate(signs) for y in signs[:i])
+    assert meet <= 60 * 59 // 2 // 6
+    for similarity in (80, 90):
+        for a in sets[:20]:
+            gone = len(a) * (100 - similarity) // (100 + similarity)  # the most that two sets of this size may differ by, on each side
+            b = np.unique(np.concatenate([numbers.permutation(a)[gone:], draw(gone)]))
+            shared = len(np.intersect1d(a, b))
+            assert 100 * shared >= similarity * (len(a) + len(b) - shared)
+            assert len(np.intersect1d(ngram_join.signatures(a, similarity), ngram_join.signatures(b, similarity)))
+
+
 def test_components_of_a_long_chain(spark):
     rows = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 102)]
     found = {r.node: r.root for r in ngram_join.components(spark.createDataFrame(rows, "a long, b long")).collect()}
