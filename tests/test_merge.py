@@ -118,3 +118,12 @@ def test_folds_of_observations_equal_those_of_states(spark):
         one, other = merge.FOLDS[name](unfolded), merge.FOLDS_OBSERVED[name](observed[name])
         assert one.columns == other.columns
         assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+
+
+def test_child_rows_are_shuffled_without_their_hash(spark):
+    corpus = Corpus(spark, "/root/testdata/sf0.001")
+    for rows in (corpus.merged_packages(), corpus.merged_exploits(), corpus.merged_references()):
+        rows.collect()
+        exchanges = re.findall(r"Exchange hashpartitioning\(([^\n]*)", rows._jdf.queryExecution().executedPlan().toString())
+        assert exchanges and not any("_hash" in e for e in exchanges)
+        assert len({e.split(", REPARTITION")[0] for e in exchanges}) == 1
