@@ -42,8 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit) instead of texts; ``exact`` says that they decode to the text."""
     text = F.coalesce("text", F.lit("")).cast("binary")
-    coded = bpe_prefix.decode(bpe_prefix.encode(docs))
-    return coded.select(
+    return bpe_prefix.round_trip(docs).select(
         "doc_id", "lang", "source", "n_chars", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         (F.col("decoded") == text).alias("exact"),
     )

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import LONG_KEY, Memo, session, worker_state
+from .common import LONG_KEY, Memo, free_name, session, worker_state
 
 #: Last tokens of prefixes that a worker remembers before it starts anew.
 PREFIXES = 300_000
@@ -176,3 +176,24 @@ def decode(docs: DataFrame, ids: str = "ids", into: str = "decoded", rank_file:
             yield pd.Series([encoder.decode(x) for x in batch], dtype=object)
 
     return docs.withColumn(into, decoded(F.coalesce(F.col(f"`{ids}`"), F.lit(b""))))
+
+
+def round_trip(docs: DataFrame, text: str = "text", into: str = "ids", back: str = "decoded", rank_file: str = RANK_FILE,
+               pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """Add ``into`` as ``encode`` does and ``back`` as ``decode`` does from it, both in one pass.
+
+    Two passes would keep two Python workers for each task, each with its own remembered pieces.
+    """
+    session(docs.sparkSession)
+    codec = _codec(docs, rank_file, pattern)
+
+    @pandas_udf("ids binary, decoded binary")
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = codec()
+        for batch in batches:
+            ids = [encoder.encode(text) for text in batch]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(list(map(encoder.decode, ids)), dtype=object)})
+
+    both = free_name(docs, "both")
+    return docs.withColumn(both, coded(F.coalesce(F.col(f"`{text}`"), F.lit("")))).withColumns(
+        {into: F.col(f"{both}.ids"), back: F.col(f"{both}.decoded")}).drop(both)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cvegrid.session import prepare, scratch
 
 ROWS_PER_BATCH = 512
-BYTES_PER_BATCH = 16 * 1024 * 1024
+BYTES_PER_BATCH = 4 * 1024 * 1024
 
 
 def session(spark: SparkSession) -> SparkSession:

@@ -16,7 +16,7 @@ from .spans import count_kind, fingerprint, joined
 
 
 def op9_bpe_prefix(spark: SparkSession, folder: str) -> DataFrame:
-    coded = bpe_prefix.decode(bpe_prefix.encode(table(spark, folder, "documents").select("doc_id", "text")))
+    coded = bpe_prefix.round_trip(table(spark, folder, "documents").select("doc_id", "text"))
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

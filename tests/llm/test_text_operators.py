@@ -10,6 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from cvegrid.llm import bpe_prefix, huffman, personal, repetition, secret_scan
 from cvegrid.llm.queries import QUERIES
 from cvegrid.llm.spans import fingerprint, joined
@@ -247,6 +248,16 @@ def test_bpe_awkward_rows(spark):
     assert bpe_prefix.encode(empty(spark)).count() == 0
 
 
+def test_bpe_round_trip_is_one_pass(spark):
+    docs = awkward(spark)
+    once, twice = bpe_prefix.round_trip(docs), bpe_prefix.decode(bpe_prefix.encode(docs))
+    assert once.columns == twice.columns and sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+    assert bpe_prefix.round_trip(empty(spark)).count() == 0
+    # each Python step of a stage has a worker a task, with its own remembered pieces
+    for rows in (QUERIES["op9_bpe_prefix"](spark, SF), corpus_pipeline.tokens(spark, docs, SF)):
+        assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 # ---------------------------------------------------------------- Huffman coding
 
 
