@@ -25,10 +25,13 @@ def _s(col: str) -> Column:
 
 
 def _landed(df: DataFrame, schema: str) -> DataFrame:
-    """JSON text, as it would lie in a landing folder, read with the feed's schema."""
-    parsed = df.select(F.from_json("json", schema).alias("j"), "page")
+    """JSON text, as it would lie in a landing folder, read with the feed's schema.
+
+    Its fields come out of a generator: else a filter on them would write and parse the text again for every field it names.
+    """
+    parsed = df.select("page", F.inline(F.array(F.from_json("json", schema))))
     return parsed.select(
-        "j.*",
+        *[c for c in parsed.columns if c != "page"],
         F.lit(None).cast("timestamp").alias("_landed_at"),
         F.col("page").cast("bigint").alias("_file_id"),
         F.lit(0).cast("bigint").alias("_block"),
@@ -192,7 +195,9 @@ def github_landed(c: Corpus) -> DataFrame:
         F.lit('"references":["https://r.example/'), _s("p_partkey"), F.lit('",{"url":"https://ignored.example"}]}'))
     text = F.to_json(advisory)
     json = F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(","), refs)
-    return _landed(c.table("part").select(json.alias("json"), F.floor(key / _PAGE).alias("page")), github.SCHEMA)
+    # pages are dealt while their rows are narrow: a table of few megabytes is read by one task, which would build them all
+    rows = c.table("part").withColumn("page", F.floor(key / _PAGE)).repartition("page").sortWithinPartitions("page", "p_partkey")
+    return _landed(rows.select(json.alias("json"), "page"), github.SCHEMA)
 
 
 _GH_DAY = "TIMESTAMP '2024-01-01' + to_days(CAST(p_partkey % 365 AS INTEGER))"

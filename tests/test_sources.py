@@ -7,6 +7,8 @@ from datetime import date, datetime, timezone
 
 from pyspark.sql import functions as F
 
+from cvegrid.plans import catalog_feeds
+from cvegrid.plans.corpus import Corpus
 from cvegrid.sources import EPSS, GITHUB, KEV, NVD, OSV, OSV_FILES, exploitdb, osv
 from cvegrid.sources.crawl import extracted, fetched, valid_vectors
 
@@ -198,3 +200,11 @@ def test_crawl_sources(spark):
     assert got == {"u1": (None, "ok"), "u2": ("HTTP 404 for u2", ""), "u3": (None, "")}
     vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0])], "url string, embedding array<float>")
     assert [r.url for r in valid_vectors(vectors, 2).collect()] == ["a"]
+
+
+def test_landed_advisories_are_dealt_by_page_and_parsed_once(spark):
+    """A part table of few megabytes is one file split; a filter on a parsed field parsed the text again for each field."""
+    for query in (catalog_feeds.normalize_github, catalog_feeds.scan_github_window):
+        rows = query(Corpus(spark, "/root/testdata/sf0.001"))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("from_json(StructField(ghsa_id") == 1 and plan.count("REPARTITION_BY_COL") == 1
