@@ -5,11 +5,11 @@ from datetime import datetime, timezone
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.crawl_state import fold_states, log_rows, log_states, lost_claims, queue, requeued
+from ..operators.crawl_state import JOB, fold_states, log_rows, log_states, lost_claims, queue, requeued
 from ..operators.frontier import claim, new_addresses
 from ..operators.merge import union_all
 from ..schemas import CLAIM_LIMIT, CRAWL_LOG, EMBEDDING_WIDTH
-from ..session import local, names_in
+from ..session import cut, local, names_in
 from ..sources.crawl import extracted, fetched, valid_vectors
 
 #: Folder beside the steps for the queues that rounds left; readers of the log skip names of this kind.
@@ -112,7 +112,9 @@ def run_round(
     claims = next_claims(earlier, references, vulns, now, limit, lease_hours, refetched)
     claims.write.mode("overwrite").parquet(f"{path}/{steps[0]}")
     claimed = _steps(spark, path, steps[:1]).where(F.col("event") == "claim")
-    jobs = outcomes(claimed, pages, vectors, width)
+    # written first, no more than the claims: a plan in one piece parses all pages before it joins, once for each kind of outcome
+    wanted = cut(pages.join(claimed.select(*JOB), list(JOB), "left_semi"))
+    jobs = cut(outcomes(claimed, wanted, vectors, width))
     outcome_rows(jobs, now).write.mode("overwrite").parquet(f"{path}/{steps[1]}")
     states = fold_states(union_all(earlier, log_states(_steps(spark, path, steps))))
     kept = f"{path}/{_QUEUES}/at={mark}"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cvegrid.functions.text import cap_utf8, content_type, domain_of, estimate_tokens, html_text
 from cvegrid.functions.versions import match_level, parse_ranges, version_key
 from cvegrid.operators import crawl_state, dependencies, frontier, semantic, stats
+from cvegrid.plans import enrich
 from cvegrid.plans.enrich import queue_before, read_log, run_round, seed_and_claim
 from cvegrid.schemas import CRAWL_LOG
 from cvegrid.streaming.crawl import crawl_stream, current_queue
@@ -287,3 +288,14 @@ def test_a_round_folds_what_the_last_queue_does_not_hold(spark, tmp_path):
     assert len(steps) == 6 and not any("/step=" in f for f in files) and any("/_queues/" in f for f in files)
     assert [(r.status, r.attempts) for r in crawl_state.queue(states).collect()] == [("dead", 3)]
     assert read_log(spark, path).count() == 7
+
+
+def test_a_round_parses_no_more_pages_than_it_claims(spark, tmp_path, monkeypatch):
+    refs = spark.createDataFrame([("c1", f"https://h/{i}") for i in range(50)], "cve_id string, url string")
+    pages = refs.select("cve_id", "url", F.lit(200).alias("status"), F.encode(F.concat(F.lit("<p>"), "url"), "UTF-8").alias("body"))
+    vectors = refs.select("cve_id", "url", F.array(F.lit(0.5).cast("float")).alias("embedding"))
+    vulns = spark.createDataFrame([("c1", True, 0.5, 5.0)], "cve_id string, cisa_kev boolean, epss_score double, cvss_score double")
+    given, outcomes = [], enrich.outcomes
+    monkeypatch.setattr(enrich, "outcomes", lambda claimed, landed, *rest: given.append(landed.count()) or outcomes(claimed, landed, *rest))
+    queue = enrich.run_round(spark, str(tmp_path / "log"), refs, vulns, pages, vectors, NOW, limit=3, width=1)
+    assert given == [3] and queue.where("status = 'complete'").count() == 3
