@@ -126,10 +126,12 @@ def _page_text(pages: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def html_text(html: Column, max_bytes: int = MAX_TEXT_BYTES) -> Column:
+def html_text(html: Column, max_bytes: int | None = MAX_TEXT_BYTES) -> Column:
     """Readable text of a page: head and page furniture removed, character references decoded, blanks collapsed.
 
     A fragment without body yields its own text. Text nodes of neighbouring
-    elements join without a separator. Empty input gives ''.
+    elements join without a separator. Empty input gives ''. What the crawl
+    stores has a limit; without ``max_bytes`` the text is whole.
     """
-    return cap_utf8(collapse_space(_page_text(F.coalesce(html, F.lit("")))), max_bytes)
+    text = collapse_space(_page_text(F.coalesce(html, F.lit(""))))
+    return text if max_bytes is None else cap_utf8(text, max_bytes)

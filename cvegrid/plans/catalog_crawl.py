@@ -105,7 +105,7 @@ _TEXT = f"trim(regexp_replace({_TEXT}, '\\s+', ' ', 'g'))"
 
 @query("html_text", f"SELECT page_id, {_TEXT} AS text FROM pages")
 def page_text(c: Corpus) -> DataFrame:
-    return c.table("pages").select("page_id", html_text(F.col("html")).alias("text"))
+    return c.table("pages").select("page_id", html_text(F.col("html"), max_bytes=None).alias("text"))
 
 
 @query("funnel_counts", """

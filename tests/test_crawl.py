@@ -3,10 +3,12 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
 from cvegrid.functions.text import cap_utf8, content_type, domain_of, estimate_tokens, html_text
 from cvegrid.functions.versions import match_level, parse_ranges, version_key
 from cvegrid.operators import crawl_state, dependencies, frontier, semantic, stats
@@ -44,6 +46,16 @@ def test_text_cap_counts_bytes(spark):
     assert tuple(got) == ("a", "aé", "aé€")
 
 
+def test_text_of_long_pages_is_whole(spark, tmp_path):
+    long = "wörd " * 40_000 + "end"
+    rows = [(1, f"<html><body><p>{long}</p></body></html>"), (2, "<html><body><p>short</p></body></html>")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.text for r in queries()["html_text"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == dict(con.execute(oracle_sql()["html_text"]).fetchall()) == {1: long, 2: "short"}
+
+
 def test_addresses(spark):
     urls = ["https://h.example/x", "http://h.example", "ftp://h", "https://github.com/advisories/G",
             "https://www.exploit-db.com/exploits/1", "https://blog.h.example/a"]
