@@ -20,6 +20,10 @@ def prepare(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         # hash instead of sort where every partition of a side is measured small
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+        # steps go on from what was written: the shuffle files of a finished one would only fill the disks
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        # for rows of some MB, such as blocks of vectors
+        "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
     }.items():
         spark.conf.set(key, value)
     return spark

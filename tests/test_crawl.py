@@ -174,6 +174,40 @@ def test_nearest(spark, space, block):
         k: x for k, x in expected(space, 7, days, {"HIGH"}).items() if x}
 
 
+def shuffled_rows(df):
+    """Rows that each exchange of the plan has written, once ``df`` is collected."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif kind != "ReusedExchangeExec":
+            if kind == "ShuffleExchangeExec":
+                found.append(node.metrics().apply("shuffleRecordsWritten").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_nearest_shuffles_no_vector_for_each_block(spark, space, monkeypatch):
+    monkeypatch.setattr(semantic, "VECTOR_BLOCK", 16)
+    q, v = frames(spark, space)
+    found = semantic.nearest(q.drop("days"), v, 7, query_block=2)
+    assert ranked(found) == expected(space, 7)
+    # nine blocks of queries and nineteen of vectors: only the best of each query are dealt out
+    assert sum(shuffled_rows(found)) <= 17 * 7
+
+
+def test_nearest_keeps_equal_ids_and_takes_floats(spark):
+    v = spark.createDataFrame([(str(i % 3), [1.0, float(i)]) for i in range(6)], "item_id string, embedding array<float>")
+    q = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("z", [0.0, 0.0])], "query_id string, embedding array<float>")
+    got = [(r.query_id, r.rank, r.item_id, r.similarity) for r in semantic.nearest(q, v, 3).orderBy("rank").collect()]
+    assert got == [("a", 1, "0", 1.0), ("a", 2, "2", 0.980581), ("a", 3, "1", 0.970143)]
+
+
 def test_other_vector_paths_agree(spark, space):
     q, v = frames(spark, space)
     want = expected(space, 5)
