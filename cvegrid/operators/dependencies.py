@@ -37,12 +37,21 @@ def affected(versions: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFra
     return points.join(placed, ["size", "place"]).select(*keys, "version", "cve_id", "patched_version")
 
 
-def match(dependencies: DataFrame, packages: DataFrame) -> DataFrame:
+def match(
+    dependencies: DataFrame, packages: DataFrame, facts: DataFrame | None = None, within: list[str] | None = None
+) -> DataFrame:
     """Dependencies ``(project, ecosystem, package, version, ...)`` with the CVEs they may have.
 
     ``status`` is affected or unknown; a version outside every range gives no
     row. Each distinct version is looked up once, by the order of its ecosystem,
     then handed to its projects with whatever else their rows say.
+
+    ``facts`` ``(cve_id, ...)`` are joined to the CVEs of a version before these
+    are handed out, far fewer rows than the matches; CVEs without facts give no
+    row. With ``within``, columns of the dependencies, ``again`` says whether a
+    CVE may come more than once among the rows of equal values there: never
+    where they have one dependency, or one version of each package and a CVE
+    of a single package.
     """
     deps = dependencies.withColumns({"ecosystem_lc": F.lower("ecosystem"), "package_lc": F.lower("package")})
     keys = ["ecosystem_lc", "package_lc"]
@@ -64,9 +73,20 @@ def match(dependencies: DataFrame, packages: DataFrame) -> DataFrame:
     )
     hits = found.unionByName(unclear).groupBy(*keys, "version", "cve_id").agg(
         F.max("_level").alias("_level"), F.max("patched_version").alias("patched_version"))
+    more = []
+    if facts is not None:
+        hits = hits.join(facts, "cve_id")
+        more += [c for c in facts.columns if c != "cve_id"]
+    if within:
+        several = ranges.select(*keys, "cve_id").distinct().groupBy("cve_id").agg((F.count("*") > 1).alias("_several"))
+        hits = hits.join(several.where("_several"), "cve_id", "left")
+        deps = deps.withColumn("_same", F.count("*").over(Window.partitionBy(*within, *keys))).withColumn(
+            "_all", F.count("*").over(Window.partitionBy(*within)))
+        again = (F.col("_all") > 1) & ((F.col("_same") > 1) | F.col("_several").isNotNull())
+        more.append(again.alias("again"))
     return deps.join(hits, [*keys, "version"]).select(
         *dependencies.columns, "cve_id",
-        F.when(F.col("_level") == 2, "affected").otherwise("unknown").alias("status"), "patched_version",
+        F.when(F.col("_level") == 2, "affected").otherwise("unknown").alias("status"), "patched_version", *more,
     )
 
 
@@ -79,12 +99,29 @@ def alerts(matches: DataFrame, vulns: DataFrame, min_severity: str = "HIGH", min
     return matches.where(F.col("status") == "affected").join(facts, "cve_id")
 
 
-def severity_trend(matches: DataFrame, vulns: DataFrame, day: str = "day") -> DataFrame:
-    """Per project and day: CVEs per level and the change of the total since the day before listed."""
-    rows = matches.select("project", day, "cve_id").distinct().join(vulns.select("cve_id", "severity"), "cve_id")
-    counts = rows.groupBy("project", day).agg(
+_LEVELS = [*[level.lower() for level in SEVERITY_LADDER], "total"]
+
+
+def level_counts(vulns: DataFrame) -> DataFrame:
+    """What a CVE counts for in ``severity_trend``: one row each, its rows per level and in all."""
+    return vulns.groupBy("cve_id").agg(
         *[F.count_if(F.col("severity") == level).alias(level.lower()) for level in SEVERITY_LADDER],
         F.count("*").alias("total"),
     )
+
+
+def severity_trend(matches: DataFrame, vulns: DataFrame, day: str = "day") -> DataFrame:
+    """Per project and day: CVEs per level and the change of the total since the day before listed.
+
+    A CVE counts once, whatever it comes from. Matches may bring their ``level_counts`` as facts, and ``again`` for
+    equal ``project`` and ``day``: then the tasks that make them add up what comes once, and only the rest is shuffled.
+    """
+    rows = matches if set(_LEVELS) <= set(matches.columns) else matches.join(level_counts(vulns), "cve_id")
+    again = F.col("again") if "again" in matches.columns else F.lit(True)
+    by = rows.withColumn("_cve", F.when(again, F.col("cve_id"))).groupBy("project", day, "_cve")
+    sums = by.agg(*[F.sum(c).alias(c) for c in _LEVELS], F.count("*").alias("_n"))
+    # rows of one CVE have equal counts
+    once = {c: F.when(F.col("_cve").isNull(), F.col(c)).otherwise(F.expr(f"{c} div _n")) for c in _LEVELS}
+    counts = sums.withColumns(once).groupBy("project", day).agg(*[F.sum(c).alias(c) for c in _LEVELS])
     before = F.lag("total").over(Window.partitionBy("project").orderBy(day))
     return counts.withColumn("change", F.col("total") - F.coalesce(before, F.lit(0)))

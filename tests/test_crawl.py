@@ -248,6 +248,61 @@ def test_projects(spark):
     assert dependencies.alerts(found, vulns, min_severity="CRITICAL").count() == 0
 
 
+_PACKAGES = "cve_id string, ecosystem_lc string, package_lc string, vulnerable_versions string, patched_version string"
+_DEPS = "project string, ecosystem string, package string, version string, day int"
+
+
+def trend_rows(df):
+    return sorted(map(tuple, df.select("project", "day", "critical", "high", "medium", "low", "total", "change").collect()), key=str)
+
+
+def test_trend_counts_a_cve_once(spark):
+    rng = random.Random(7)
+    packages = [(f"c{c}", "pypi", f"p{p}", ">=1, <3" if c % 3 else None, "3") for c in range(12) for p in rng.sample(range(6), 1 + c % 3)]
+    deps = [(rng.choice(["a", "b", None]), rng.choice(["pypi", "PyPI"]), f"p{rng.randrange(6)}", f"{rng.randrange(4)}.0", rng.choice([1, 2, 3, 4, None]))
+            for _ in range(40)]
+    deps += deps[:5] + [("z", "pypi", "p1", "2.0", 1), ("z", "pypi", "p1", "2.1", 1), ("y", "pypi", "p2", "2.0", 1)]
+    # some CVEs have two rows, others none
+    vulns = [(f"c{c}", rng.choice(["CRITICAL", "HIGH", "MEDIUM", "LOW", None])) for c in [*range(10), 2, 5, 5]]
+    p, d = spark.createDataFrame(packages, _PACKAGES), spark.createDataFrame(deps, _DEPS)
+    v = spark.createDataFrame(vulns, "cve_id string, severity string")
+    plain = dependencies.match(d, p)
+    seen = {(r.project, r.day, r.cve_id) for r in plain.collect()}
+    want = {}
+    for project, day, cve in seen:
+        for level in [s for c, s in vulns if c == cve]:
+            counts = want.setdefault((project, day), dict.fromkeys(["CRITICAL", "HIGH", "MEDIUM", "LOW", None], 0))
+            counts[level] += 1
+    totals = {k: sum(x.values()) for k, x in want.items()}
+    days = lambda x: sorted((d for p, d in want if p == x), key=lambda d: (d is not None, d))
+    before = {(x, d): totals.get((x, e), 0) for x, _ in want for e, d in zip([0, *days(x)], days(x))}
+    expected = sorted(((*k, *[x[s] for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW")], totals[k], totals[k] - before[k])
+                       for k, x in want.items()), key=str)
+    facts = dependencies.level_counts(v)
+    assert trend_rows(dependencies.severity_trend(plain, v)) == expected
+    assert trend_rows(dependencies.severity_trend(dependencies.match(d, p, facts), v)) == expected
+    marked = dependencies.match(d, p, facts, within=["project", "day"])
+    assert {r.again for r in marked.collect()} == {True, False}
+    assert trend_rows(dependencies.severity_trend(marked, v)) == expected
+
+
+def test_trend_shuffles_no_match_of_a_lone_dependency(spark, tmp_path):
+    spark.range(120).select(
+        F.col("id").alias("p_partkey"), F.lit("n").alias("p_name"), F.lit("b").alias("p_brand"), F.lit("PROMO").alias("p_type"),
+        F.lit(1).alias("p_size"), F.lit(1000.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    # 120 CVEs of one package in one ecosystem; fifty projects use one version of it, on a day each
+    day = F.lit(datetime(2024, 1, 1)).cast("timestamp")
+    spark.range(120).select(
+        F.col("id").alias("l_orderkey"), F.col("id").alias("l_partkey"), F.lit(0).cast("long").alias("l_suppkey"), F.lit(1).alias("l_linenumber"),
+        F.lit(1.0).alias("l_quantity"), F.lit(1.0).alias("l_extendedprice"), F.lit(0.0).alias("l_discount"), F.lit(0.0).alias("l_tax"),
+        F.lit("A").alias("l_returnflag"), F.lit("F").alias("l_linestatus"), day.alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(50).select(
+        (F.col("id") * 2310 + 6).alias("o_orderkey"), (F.col("id") * 100).alias("o_custkey"), day.alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    trend = queries()["project_trend"](spark, str(tmp_path))
+    assert {(r.critical, r.total, r.change) for r in trend.collect()} == {(120, 120, 120)}
+    assert max(shuffled_rows(trend)) < 50 * 120 / 4
+
+
 def test_reports(spark):
     runs = spark.createDataFrame([("nvd", NOW - timedelta(hours=7), 5), ("nvd", NOW - timedelta(hours=6), 2), ("epss", NOW - timedelta(hours=7), 1)],
                                  "source_name string, synced_at timestamp, records bigint")
